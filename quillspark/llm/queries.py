@@ -1,10 +1,11 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
-from quillspark.llm import q_decontaminate, q_simhash, q_substring
+from quillspark.llm import q_decontaminate, q_simhash, q_substring, q_toxicity
 
 QUERIES = {
     "op1_decontaminate": q_decontaminate.op1_decontaminate,
     "op5_simhash": q_simhash.op5_simhash,
     "op7_substring": q_substring.op7_substring,
+    "op8_toxicity": q_toxicity.op8_toxicity,
 }
 ORACLES = {
     "op1_decontaminate": q_decontaminate.SQL,
