@@ -1,10 +1,11 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
-from quillspark.llm import q_decontaminate, q_licenses, q_lines, q_mixing, q_quality, q_simhash, q_substring, q_toxicity, q_urls
+from quillspark.llm import q_decontaminate, q_licenses, q_lines, q_lm, q_mixing, q_quality, q_simhash, q_substring, q_toxicity, q_urls
 
 QUERIES = {
     "op1_decontaminate": q_decontaminate.op1_decontaminate,
     "op2_lines": q_lines.op2_lines,
     "op3_licenses": q_licenses.op3_licenses,
+    "op4_lm": q_lm.op4_lm,
     "op5_simhash": q_simhash.op5_simhash,
     "op6_mixing": q_mixing.op6_mixing,
     "op7_substring": q_substring.op7_substring,
