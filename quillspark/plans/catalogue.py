@@ -1,4 +1,462 @@
 """Queries over the driver's tables, with the SQL that gives the same rows."""
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES = {}
-ORACLES = {}
+from quillspark.functions import ids, text
+from quillspark.functions import vectors as V
+from quillspark.operators import chunking, dedup, retrieval, routing, sqlqa, stats
+from quillspark.plans.fixtures import MD_SQL, md_documents
+from quillspark.sources.documents import read_table
+from quillspark.streaming import ingest
+
+QUERIES, ORACLES = {}, {}
+
+
+def query(sql: str | None = None):
+    """Register a function by its name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+MD = f"md as ({MD_SQL})"
+_STRIP = r"'^\s+|\s+$', '', 'g'"
+
+# ---------------------------------------------------------------- cleaning
+
+
+@query(rf"""with {MD}, c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_STRIP}) as t from md)
+select doc_id, cast(length(t) as bigint) as n_chars, cast(len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+')) as bigint) as n_words, sha256(t) as digest,
+ contains(t, '```') as has_code, regexp_matches(t, '(?m)^\s*\|?\s*:?-{{3,}}:?\s*(\|\s*:?-{{3,}}:?\s*)+\|?\s*$') as has_table from c""")
+def normalize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """White space rules, counts and flags."""
+    c = md_documents(spark, sf_dir).select("doc_id", text.clean_text(F.col("text")).alias("t"))
+    return c.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), text.n_words(F.col("t")).alias("n_words"), ids.text_hash(F.col("t")).alias("digest"), text.has_code(F.col("t")).alias("has_code"), text.has_table(F.col("t")).alias("has_table"))
+
+
+@query(rf"""with {MD}, f as (select doc_id, regexp_extract(text, '(?s)^\s*---[ \t]*\n(.*?)\n---[ \t]*(\n|$)', 1) as fm, regexp_replace(text, '(?s)^\s*---[ \t]*\n.*?\n---[ \t]*\n', '') as body from md),
+h as (select doc_id, regexp_extract(fm, '(?m)^title:[ \t]*["'']?(.*?)["'']?[ \t]*$', 1) as ft, nullif(trim(replace(regexp_replace(regexp_extract(body, '(?m)^[ \t]*#[ \t]+(.+?)[ \t]*$', 1), '<[^>]+>', '', 'g'), '`', '')), '') as h1,
+ list_last(regexp_extract_all(body, '(?m)^[ \t]*#{{2,3}}[ \t]+(.+?)[ \t]*$', 1)) as last_h, sha256(body) as body_digest from f)
+select doc_id, h1, coalesce(h1, nullif(ft, ''), 'Document') as title, trim(regexp_replace(translate(lower(last_h), 'é', 'e'), '[^a-z0-9]+', '-', 'g'), '-') as anchor, body_digest from h""")
+def front_matter_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Front matter, headings and titles."""
+    md = md_documents(spark, sf_dir).select("doc_id", "text", text.without_front_matter(F.col("text")).alias("body"))
+    h1 = text.first_h1(F.col("body"))
+    return md.select("doc_id", h1.alias("h1"), F.coalesce(h1, text.front_matter_title(F.col("text")), text.title_from_path(F.lit(""))).alias("title"), text.last_heading_anchor(F.col("body")).alias("anchor"), F.sha2("body", 256).alias("body_digest"))
+
+
+_TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(x, '[\x{1F1E6}-\x{1FAFF}\x{2700}-\x{27BF}\x{2600}-\x{26FF}\x{FE0F}\x{200D}\x{1F3FB}-\x{1F3FF}\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), chr(160), ' '), '[ \t]+\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '([\p{L}\p{N}_]+)-\n([\p{L}\p{N}_]+)', '\1\2', 'g'), '(?m)^\s*([-*]|\d+\.)\s+', chr(10) || '• ', 'g'), '$^', '')"""
+
+
+@query(rf"""with {MD}, parts as (select doc_id, string_split_regex(text, '(?s)```.*?```') as p, regexp_extract_all(text, '(?s)```.*?```') as f from md),
+first as (select doc_id, list_concat([regexp_replace(p[1], '(?m)^[ \t]*#[ \t]+.+\n+', '')], p[2:]) as p, f from parts),
+flat as (select doc_id, unnest(range(1, len(p) + 1)) as i, unnest(p) as x, f from first),
+done as (select doc_id, i, {_TIDY} || coalesce(f[i], '') as x from flat),
+whole as (select doc_id, regexp_replace(string_agg(x, '' order by i), {_STRIP}) || chr(10) as t from done group by doc_id)
+select doc_id, cast(length(t) as bigint) as n_chars, sha256(t) as digest from whole""")
+def preprocess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts ready for chunking, fences untouched."""
+    c = md_documents(spark, sf_dir).select("doc_id", text.preprocess(F.col("text")).alias("t"))
+    return c.select("doc_id", F.char_length("t").cast("long").alias("n_chars"), F.sha2("t", 256).alias("digest"))
+
+
+@query(r"""with s as (select doc_id, string_split(regexp_replace(replace(replace(text, 'Dr.', 'Dr∯'), 'No.', 'No∯'), '([.!?]) *([A-Z"''(\[])', '\1␞\2', 'g'), '␞') as l from documents),
+f as (select doc_id, trim(replace(unnest(l), '∯', '.'), ' ' || chr(10)) as x from s)
+select doc_id, count(*) as n_sentences, cast(max(length(x)) as bigint) as longest from f where x <> '' group by doc_id""")
+def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of each document."""
+    s = read_table(spark, sf_dir, "documents").select("doc_id", text.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", lambda x: F.char_length(x))).cast("long").alias("longest")).where("n_sentences > 0")
+
+
+@query(r"""select page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) as title, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) as h1,
+ cast(length(trim(regexp_replace(regexp_replace(html, '</?[A-Za-z][^<>]*>', ' ', 'g'), '\s+', ' ', 'g'))) as bigint) as n_text from pages""")
+def html_strip_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, first heading and text length of pages without tags."""
+    flat = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    p = read_table(spark, sf_dir, "pages")
+    return p.select("page_id", flat(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)).alias("title"), flat(F.regexp_replace(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"<[^>]+>", "")).alias("h1"), F.char_length(flat(F.regexp_replace("html", r"</?[A-Za-z][^<>]*>", " "))).cast("long").alias("n_text"))
+
+
+@query(r"""with p as (select page_id, url, list_filter(string_split(regexp_extract(url, '^\w+://[^/]+/(.*)$', 1), '/'), lambda x: not list_contains(['docs','site','content','src','source','en'], lower(x))) as parts from pages)
+select page_id, coalesce(nullif(regexp_extract(url, '^\w+://([^/]+)/', 1), ''), 'root') as section_key, case when len(parts) > 1 then '/' || array_to_string(parts[1:least(2, len(parts) - 1)], '/') || '/' else '/' end as section from p""")
+def url_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authority and path section of page urls."""
+    p = read_table(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    return p.select("page_id", text.section_key(none, F.col("url"), none).alias("section_key"), text.section_from_path(F.regexp_extract("url", r"^\w+://[^/]+/(.*)$", 1)).alias("section"))
+
+
+# ---------------------------------------------------------------- identifiers and dedup
+
+
+@query(r"""with n as (select doc_id, lang, source, text, row_number() over (partition by source order by doc_id) as seq from documents),
+c as (select doc_id, source || '_' || cast(seq as varchar) || '_' || left(sha1(text), 16) as chunk_id from n),
+u as (select doc_id, chunk_id, left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(chunk_id)), 32) as x from c)
+select doc_id, chunk_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', x[17:17]) - 1) % 4 + 1, 1) || x[18:20] || '-' || x[21:32] as point_id from u""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequence numbers, chunk ids and their version-5 UUIDs."""
+    n = read_table(spark, sf_dir, "documents").withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    c = n.select("doc_id", ids.chunk_id(F.col("source"), F.col("seq"), F.col("text")).alias("chunk_id"))
+    return c.select("doc_id", "chunk_id", ids.uuid5(F.col("chunk_id")).alias("point_id"))
+
+
+@query("select doc_id, sha256(text) as digest from documents qualify row_number() over (partition by sha256(text) order by doc_id) = 1")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First document of each text. min() sums up before the shuffle, so a large group of copies costs one row a task."""
+    d = read_table(spark, sf_dir, "documents")
+    return d.groupBy(ids.text_hash(F.col("text")).alias("digest")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "digest")
+
+
+@query("""select lang || ':' || source || ':' || cast(length(text) // 1000 * 1000 as varchar) || '-' || cast(length(text) // 1000 * 1000 + 1000 as varchar) as bucket, count(*) as n, min(doc_id) as first_doc
+from documents where length(text) >= 600 group by 1""")
+def near_dup_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buckets of near-duplicate search and their sizes."""
+    d = read_table(spark, sf_dir, "documents").where(F.char_length("text") >= 600)
+    return d.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+def _bucket():
+    return F.concat_ws(":", "lang", "source", text.length_bucket(F.char_length("text")))
+
+
+@query()
+def near_dup_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against their bucket's last kept text, in order of id."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", _bucket().alias("bucket"), "text")
+    return dedup.sequential_near_dup(d, bucket="bucket", order="doc_id", text="text").select("doc_id", "bucket", "is_dup")
+
+
+@query("""select user_id, event_id, cast(value as double) as value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
+def upsert_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's last event, as two batches merged by key."""
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
+    return dedup.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")
+
+
+@query()
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a file stream: a directory's files once, merged by micro-batches."""
+    import uuid
+
+    base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
+    e.write.parquet(f"{base}/in")
+    path = ingest.stream_upsert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, key=["user_id"], version=["ts", "event_id"])
+    return spark.read.parquet(path).select("user_id", "event_id", "value")
+
+
+ORACLES["stream_ingest"] = ORACLES["upsert_last_wins"]
+
+
+def _scratch(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only in a local session that names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="quillspark-")
+    return folder.rstrip("/")
+
+
+@query("select s_suppkey, s_name from supplier where s_suppkey % 2 = 0 union all select n_nationkey * 3, 'Nation ' || n_name from nation where n_nationkey * 3 not in (select s_suppkey from supplier where s_suppkey % 2 = 0)")
+def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose key is not there yet."""
+    base = read_table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey", "s_name")
+    new = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("s_suppkey"), F.concat(F.lit("Nation "), "n_name").alias("s_name"))
+    return dedup.insert_absent(base, new, ["s_suppkey"])
+
+
+# ---------------------------------------------------------------- chunks
+
+
+@query()
+def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of Markdown documents: counts by kind."""
+    md = md_documents(spark, sf_dir).select("doc_id", text.preprocess(text.without_front_matter(F.col("text"))).alias("text"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"))
+    c = chunking.chunk_documents(md, doc="doc_id", text="text", title="title", budget=chunking.Budget(min_chars=5))
+    return c.select("document_id", "seq", "chunk_id", "chunk_size", F.array_join("h_path", "/").alias("h_path"), "has_code", "has_table", "code_lang")
+
+
+@query()
+def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk report over all documents."""
+    return stats.chunk_report(chunking.chunk_documents(read_table(spark, sf_dir, "documents"), doc="doc_id", text="text"))
+
+
+@query("select conv_id, turn, lag(turn) over w as prev_id, lead(turn) over w as next_id from conversations window w as (partition by conv_id order by turn)")
+def neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring turns."""
+    c = read_table(spark, sf_dir, "conversations")
+    return chunking.neighbours(c, group=["conv_id"], seq="turn", chunk="turn").select("conv_id", "turn", "prev_id", "next_id")
+
+
+@query("""with recursive t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) as i from conversations),
+r as (select conv_id, i, text as acc, 1 as ordinal, 1 as members from t where i = 1
+ union all select t.conv_id, t.i, case when length(r.acc || chr(10) || chr(10) || t.text) // 4 > 60 then t.text else r.acc || chr(10) || chr(10) || t.text end,
+  case when length(r.acc || chr(10) || chr(10) || t.text) // 4 > 60 then r.ordinal + 1 else r.ordinal end,
+  case when length(r.acc || chr(10) || chr(10) || t.text) // 4 > 60 then 1 else r.members + 1 end
+ from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
+select conv_id, ordinal, cast(max(members) as bigint) as n_children, cast(max(length(acc)) as bigint) as n_chars from r group by conv_id, ordinal""")
+def parent_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns packed in order into parents of at most 60 tokens."""
+    p = chunking.parents(read_table(spark, sf_dir, "conversations"), group=["conv_id"], seq="turn", chunk="turn", text="text", target=60)
+    return p.select("conv_id", "ordinal", F.size("child_ids").cast("long").alias("n_children"), F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query("""with recursive t as (select conv_id, turn, greatest(1, length(text) // 4) as n, row_number() over (partition by conv_id order by turn) as i from conversations),
+r as (select conv_id, turn, i, n as last, true as keep from t where i = 1
+ union all select t.conv_id, t.turn, t.i, case when greatest(0, t.n - least(r.last, t.n)) >= 0.1 * t.n then t.n else r.last end, greatest(0, t.n - least(r.last, t.n)) >= 0.1 * t.n from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
+select conv_id, turn from r where keep""")
+def growth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns that grow by a tenth over the last kept one."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", text.n_tokens(F.col("text")).alias("n"))
+    return dedup.grown(c, group="conv_id", seq="turn", size="n")
+
+
+# ---------------------------------------------------------------- vectors
+
+_VEC = "v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), d as (select label, i, avg(x) as m from (select label, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from v) group by all), c as (select label, list(m order by i) as m from d group by label), q as (select e as qv from v where vec_id = 0)"
+_COS = "least(1.0, greatest(0.0, list_cosine_similarity({}, {})))"
+
+
+@query("select label, count(*) as n, bool_and(abs(sqrt(list_dot_product(e, e)) - 1) <= 0.001) as unit, round(sum(sqrt(list_dot_product(e, e))), 4) as total_norm from (select label, cast(embedding as double[]) as e from embeddings) group by label")
+def l2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether vectors have length one."""
+    v = read_table(spark, sf_dir, "embeddings").select("label", V.norm(V.doubles(F.col("embedding"))).alias("n"))
+    return v.groupBy("label").agg(F.count("*").alias("n"), F.every(F.abs(F.col("n") - 1) <= 1e-3).alias("unit"), F.round(F.sum("n"), 4).alias("total_norm"))
+
+
+def _vectors(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    q = e.where("vec_id = 0").select(F.lit(0).alias("query_id"), V.doubles(F.col("embedding")).alias("query_vec"))
+    parents = retrieval.centroids(e, "label", "embedding", "vec_id").withColumnRenamed("label", "parent_id")
+    children = e.select(F.col("label").alias("parent_id"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
+    return q, parents, children
+
+
+@query(f"with {_VEC} select label as parent_id, round({_COS.format('m', 'qv')}, 6) as score from c, q order by {_COS.format('m', 'qv')} desc, label limit 3")
+def topk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three nearest centroids."""
+    q, parents, _ = _vectors(spark, sf_dir)
+    return retrieval.top_k(q, parents, 3, vec="parent_vec", id_="parent_id").select("parent_id", F.round("score", 6).alias("score"))
+
+
+@query(f"with {_VEC}, s as (select label as parent_id, vec_id, {_COS.format('e', 'qv')} as s from v, q) select parent_id, vec_id, round(s, 6) as score from s qualify row_number() over (partition by parent_id order by s desc, vec_id) <= 4")
+def topk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four nearest vectors of each label."""
+    q, parents, children = _vectors(spark, sf_dir)
+    hits = parents.select("parent_id").join(F.broadcast(q), F.lit(True))
+    found = retrieval.children_of(hits, children, 4, query_vec="query_vec")
+    return found.select("parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("score"))
+
+
+_RAG = f"""{_VEC}, p as (select label as parent_id, {_COS.format('m', 'qv')} as ps from c, q order by ps desc, label limit 3),
+k as (select p.parent_id, ps, vec_id, {_COS.format('e', 'qv')} as cs from v join p on v.label = p.parent_id, q qualify row_number() over (partition by p.parent_id order by cs desc, vec_id) <= 4),
+r as (select parent_id, vec_id, 0.7 * ps + 0.3 * cs as s, cs from k where cs >= 0.05)"""
+
+
+@query(f"with {_RAG} select parent_id, vec_id, round(cs, 6) as child_score, round(s, 6) as score from r")
+def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-stage retrieval: parents, children, threshold, rescoring."""
+    found = retrieval.retrieve(*_vectors(spark, sf_dir), min_score=0.05)
+    return found.select("parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("child_score"), F.round("score", 6).alias("score"))
+
+
+@query(f"""with {_RAG} select vec_id, row_number() over (order by s desc, vec_id) as n, left(text, 197) || '...' as preview, round(s, 6) as score from r join documents on doc_id = vec_id where length(text) > 200""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered citations of the retrieved evidence."""
+    docs = read_table(spark, sf_dir, "documents").where(F.char_length("text") > 200).select(F.col("doc_id").alias("point_id"), "text")
+    found = retrieval.retrieve(*_vectors(spark, sf_dir), min_score=0.05).join(docs, "point_id")
+    c = retrieval.citations(found, query="query_id", text="text", score="score", id_="point_id")
+    return c.select(F.col("point_id").alias("vec_id"), F.col("n").cast("long").alias("n"), "preview", "score")
+
+
+@query("""with s as (select doc_id, lang, n_chars, sum(greatest(1, length(text) // 4)) over (partition by lang order by n_chars desc, doc_id rows unbounded preceding) + 11 as run from documents) select lang, doc_id, cast(run as bigint) as run_tokens from s where run <= 3744 * 10""")
+def budget_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest documents of each language while a token budget lasts."""
+    d = read_table(spark, sf_dir, "documents")
+    return retrieval.within_budget(d, query="lang", question_tokens=10, text="text", score="n_chars", id_="doc_id", tokens=37_696, margin=256).select("lang", "doc_id", "run_tokens")
+
+
+@query("select vec_id, label from embeddings where label = 3 and vec_id in (select doc_id from labels where quality = 1)")
+def payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equality and membership filters before any scoring."""
+    good = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return read_table(spark, sf_dir, "embeddings").where("label = 3").join(good, "vec_id", "left_semi").select("vec_id", "label")
+
+
+@query("select doc_id, source, text_sha from (select doc_id, source, sha256(text) as text_sha, row_number() over (partition by left(text, 500) order by n_chars desc, doc_id) as n from documents) where n = 1")
+def evidence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best document of each 500-character prefix."""
+    d = read_table(spark, sf_dir, "documents").withColumn("all", F.lit(1))
+    return retrieval.distinct_evidence(d, query="all", text="text", score="n_chars", id_="doc_id").select("doc_id", "source", F.sha2("text", 256).alias("text_sha"))
+
+
+@query("""select conv_id, string_agg('[Source ' || cast(i as varchar) || ']' || chr(10) || text, chr(10) || chr(10) order by i) as prompt from (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations where role <> 'system') group by conv_id""")
+def prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered source blocks of each conversation."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = read_table(spark, sf_dir, "conversations").where("role <> 'system'").withColumn("i", F.row_number().over(w))
+    block = F.concat(F.lit("[Source "), F.col("i").cast("string"), F.lit("]\n"), "text")
+    folded = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("i", block.alias("b")))).alias("bs"))
+    return folded.select("conv_id", F.array_join(F.transform("bs", lambda s: s["b"]), "\n\n").alias("prompt"))
+
+
+# ---------------------------------------------------------------- routing
+
+
+def _literal(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _raw(route: str) -> str:
+    words, patterns = routing.RULES[route]
+    w, p = routing.WEIGHTS[route]
+    found = " + ".join(["0"] + [f"cast(regexp_matches(q, '(?i){x.replace(chr(39), chr(39) * 2)}') as int)" for x in patterns])
+    return f"{w} * len(list_filter({_literal(words)}, lambda k: contains(q, k))) + {p} * ({found})"
+
+
+_SCORES = rf"""t as (select conv_id, turn, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) as q from conversations),
+w as (select conv_id, turn, {', '.join(f'cast({_raw(r)} as double) as {r}_w' for r in routing.RULES)} from t),
+s as (select conv_id, turn, {', '.join(f'case when greatest(docs_w, sql_w, web_w) > 0 then {r}_w / greatest(docs_w, sql_w, web_w) else 0.0 end as {r}' for r in routing.RULES)} from w)"""
+
+
+@query(f"with {_SCORES} select conv_id, turn, round(docs, 6) as docs, round(sql, 6) as sql, round(web, 6) as web from s")
+def route_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyword scores of each turn."""
+    s = routing.scored(read_table(spark, sf_dir, "conversations"), "text")
+    return s.select("conv_id", "turn", *[F.round(r, 6).alias(r) for r in routing.RULES])
+
+
+@query(f"with {_SCORES} select conv_id, turn, case when docs >= 0.6 then 'docs' when sql >= 0.6 then 'sql' when web >= 0.6 then 'web' else '' end as route from s")
+def route_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first route by priority that scores enough."""
+    return routing.pick(routing.scored(read_table(spark, sf_dir, "conversations"), "text")).select("conv_id", "turn", "route")
+
+
+@query("select conv_id, arg_max(text, (length(text), text)) as answer, cast(max(length(text)) as double) as score from conversations group by conv_id")
+def best_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best answer of each conversation."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("text").alias("answer"), F.char_length("text").cast("double").alias("score"))
+    return routing.best(c, "conv_id", "answer", "score")
+
+
+# ---------------------------------------------------------------- questions over tables
+
+_STATEMENTS = ["select 1", "SELECT a FROM t;", "with x as (select 1) select * from x", "select replace(a, 'b', 'c') from t", "select 1 -- drop it", "select x from t limit\n5", "delete from t", "", "select /* insert */ y from t", "SELECT updated FROM t", "select a from t where b = 'set'"]
+_FORBID = " ".join(f"when regexp_matches(n, '\\b{w}\\b') then 'Forbidden keyword detected: {w}'" for w in sqlqa.FORBIDDEN)
+
+
+@query(rf"""with s as (select unnest({_literal(_STATEMENTS)}) as sql), n as (select sql, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g'), '^[\s;]+|[\s;]+$', '', 'g'), '\s+', ' ', 'g')) as n from s)
+select sql, case when sql = '' then 'Empty SQL query' when contains(sql, ';') then 'Only one statement is allowed (no semicolons).' when not starts_with(n, 'select ') then 'Only SELECT statements are allowed.' {_FORBID} else '' end as verdict from n""")
+def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of the text guard."""
+    s = spark.range(1).select(F.explode(F.array(*map(F.lit, _STATEMENTS))).alias("sql"))
+    return s.select("sql", sqlqa.verdict(F.col("sql")).alias("verdict"))
+
+
+def _team(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation")
+    n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.when(F.col("n_regionkey") == 1, "maintainer").otherwise("core-dev").alias("role")).createOrReplaceTempView("team")
+    read_table(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("owner_id")).createOrReplaceTempView("modules")
+
+
+_TEAM = "team as (select n_nationkey as id, n_name as name, case when n_regionkey = 1 then 'maintainer' else 'core-dev' end as role from nation), modules as (select s_name as name, s_nationkey as owner_id from supplier)"
+
+
+def _asked(spark, sf_dir, question):
+    _team(spark, sf_dir)
+    sql, args = sqlqa.template(question)
+    return sqlqa.ask(spark, sql, {"team", "modules"}, args=args)
+
+
+@query(f"with {_TEAM} select name from team where role = 'maintainer' order by id limit 1")
+def nlsql_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question after the lead."""
+    return _asked(spark, sf_dir, "Who is the team lead?")
+
+
+@query(f"with {_TEAM} select count(*) as count from team where role = 'core-dev'")
+def nlsql_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A counting question."""
+    return _asked(spark, sf_dir, "Сколько core разработчиков?")
+
+
+@query(f"with {_TEAM} select m.name from modules m join team t on m.owner_id = t.id where t.role = 'maintainer' and t.name = (select name from team where role = 'maintainer' order by id limit 1)")
+def nlsql_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question after an owner's modules, the name as a parameter."""
+    _team(spark, sf_dir)
+    name = spark.sql("select name from team where role = 'maintainer' order by id limit 1").first()[0]
+    return _asked(spark, sf_dir, f"Какие модули у maintainer {name}?").limit(1_000_000)
+
+
+@query(f"with {_TEAM}, r as (select count(*) as n from team where role = 'core-dev') select 1::bigint as n_rows, case when n = 0 then 0.3 else 0.9 end as confidence from r")
+def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far an answer may be trusted."""
+    return sqlqa.confidence(_asked(spark, sf_dir, "core-dev count"), limited=False)
+
+
+# ---------------------------------------------------------------- reports
+
+
+@query("select lang, source, count(*) as n_docs, cast(sum(n_chars) as bigint) as total_size, grouping_id(lang, source) as level from documents group by rollup (lang, source)")
+def store_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and sizes by language and source with subtotals."""
+    return stats.store_rollup(read_table(spark, sf_dir, "documents"), ["lang", "source"], F.col("n_chars"))
+
+
+@query("select count(*) as total, count(*) filter (n_chars >= 600) as n_ok, count(*) filter (n_chars < 100) as n_error, round(count(*) filter (n_chars >= 600) / (count(*) filter (n_chars >= 600) + count(*) filter (n_chars < 100)), 6) as success_rate from documents")
+def ingest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ingest counters and success rate, from two merged parts."""
+    d = read_table(spark, sf_dir, "documents")
+    part = lambda rows: stats.ingest_stats(rows, F.col("n_chars") >= 600, F.col("n_chars") < 100)
+    return stats.merged(part(d.where("doc_id % 2 = 0")), part(d.where("doc_id % 2 = 1"))).withColumn("success_rate", F.round("success_rate", 6))
+
+
+@query("select cast(date_trunc('day', ts) as timestamp) as start, event_type, count(*) as n from events group by all")
+def windowed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by kind of event."""
+    return ingest.windowed_counts(read_table(spark, sf_dir, "events"), ts="ts", kind="event_type")
+
+
+# ---------------------------------------------------------------- delegated SQL: the same text in both engines
+
+_SHARED = {
+    "sql_pricing": "select l_returnflag, l_linestatus, round(sum(l_quantity), 2) as sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, round(avg(l_discount), 6) as avg_disc, count(*) as n from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by l_returnflag, l_linestatus",
+    "sql_join_revenue": "select n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, count(distinct o_orderkey) as n_orders from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join nation on c_nationkey = n_nationkey group by n_name having count(*) > 10",
+    "sql_window": "select c_custkey, c_nationkey, rank() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as r, ntile(4) over (partition by c_nationkey order by c_acctbal, c_custkey) as quartile, dense_rank() over (order by c_mktsegment) as d from customer",
+    "sql_cube": "select c_mktsegment, c_nationkey, count(*) as n, round(sum(c_acctbal), 2) as total from customer group by cube (c_mktsegment, c_nationkey)",
+    "sql_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
+    "sql_set_ops": "select c_nationkey as k from customer except select s_nationkey from supplier union all (select p_size as k from part intersect select n_nationkey from nation)",
+    "sql_semi_anti": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000) and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')",
+    "sql_outer": "select coalesce(c_nationkey, s_nationkey) as k, count(distinct c_custkey) as n_c, count(distinct s_suppkey) as n_s from customer full outer join (select s_suppkey, s_nationkey from supplier where s_suppkey % 7 = 0) s on c_nationkey = s_nationkey and c_custkey % 5 = 0 group by coalesce(c_nationkey, s_nationkey)",
+    "sql_lateral": "select n_name, t.c_name, t.c_acctbal from nation, lateral (select c_name, c_acctbal, c_custkey from customer where c_nationkey = n_nationkey order by c_acctbal desc, c_custkey limit 2) t",
+    "sql_theta": "select r_name, count(*) as n from region join nation on n_regionkey < r_regionkey group by r_name",
+}
+
+
+def _delegated(sql: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [t for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem") if t in sql]
+        return spark.sql(_braced(sql, names), **{t: read_table(spark, sf_dir, t) for t in names})
+
+    return run
+
+
+def _braced(sql: str, names: list[str]) -> str:
+    import re
+
+    return re.sub(rf"\b(from|join|,)\s+({'|'.join(names)})\b", r"\1 {\2}", sql)
+
+
+for _name, _text in _SHARED.items():
+    QUERIES[_name] = _delegated(_text)
+    ORACLES[_name] = _text
