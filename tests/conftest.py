@@ -1,6 +1,8 @@
+import numbers
 import os
 import sys
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
@@ -48,7 +50,7 @@ def same_rows(df, sql, sf_dir=SF):
     def plain(frame):
         out = []
         for row in frame[cols].itertuples(index=False):
-            out.append(tuple("~" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x) for x in row))
+            out.append(tuple("~" if pd.isna(x) else f"{float(x):.6f}" if isinstance(x, numbers.Number) and not isinstance(x, (bool, np.bool_)) else str(x) for x in row))
         return sorted(out)
 
     a, b = plain(got), plain(ref)
