@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import SF, same_rows
+from compare import SF, same_rows
 from quillspark.plans.catalogue import ORACLES, QUERIES
 
 
