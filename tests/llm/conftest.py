@@ -1,6 +1,12 @@
+import os
+import sys
+
 import pytest
 from pyspark.sql import types as T
 
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from llm_fixtures import sentence  # noqa: E402
+
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("id", T.LongType()), T.StructField("key", T.StringType())])
 
 
@@ -15,10 +21,6 @@ def make(spark):
     return made
 
 
-def sentence(rng, n, vocabulary=400):
-    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Null, empty, blank, very long and repeated texts; null and repeated ids."""
