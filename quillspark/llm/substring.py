@@ -8,7 +8,7 @@ starts in a document with a smaller id. Three passes:
    only windows of `window - PERIOD + 1` words at cover positions are hashed,
    and two equal long windows share an aligned anchor.
 2. Extension. Around anchors that stand in two documents or more, the full
-   windows are hashed with 128 bits and each finds its smallest document.
+   windows are hashed with 96 bits and each finds its smallest document.
 3. Removal. Each document's windows that have a smaller owner are cut out.
 
 No pairs are made. Before each shuffle, every map task keeps one document for
@@ -36,7 +36,7 @@ WINDOW = 13
 #: A difference cover: every residue of PERIOD is a difference of two members.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Records that a map task gathers before it sums them up and sends them on.
-GATHER = 4_000_000
+GATHER = 500_000
 #: Compressed input bytes behind one partition.
 EACH = 4 << 20
 
@@ -59,9 +59,11 @@ def _pack(*cols: np.ndarray) -> bytes:
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
+    """Columns of the given kinds, and the places: two or four bytes each, as many as the column before has."""
     out, at = [], 8
-    for kind in kinds:
+    for kind in (*kinds, None):
         n = int(np.frombuffer(blob, np.int64, 1, at)[0])
+        kind = kind or (np.uint16 if n == 2 * len(out[-1]) else np.uint32)
         out.append(np.frombuffer(blob, kind, n // np.dtype(kind).itemsize, at + 8))
         at += 8 + n
     return out
@@ -98,7 +100,6 @@ def _routed(keys: np.ndarray, low: np.ndarray, owner: np.ndarray, ids: np.ndarra
     idx = np.flatnonzero(sent)
     idx = idx[np.lexsort((at[idx], owner[idx], bucket[idx]))]
     gone = np.flatnonzero(done)
-    gone = gone[np.lexsort((at[gone], owner[gone]))]
     b = bucket[idx]
     begin = _runs(b) if len(b) else np.zeros(0, np.int64)
     for i, (lo, hi) in enumerate(zip(begin, np.append(begin[1:], len(idx)))):
@@ -107,16 +108,27 @@ def _routed(keys: np.ndarray, low: np.ndarray, owner: np.ndarray, ids: np.ndarra
         o = owner[part[runs]]
         n = np.diff(np.append(runs, len(part))).astype(np.uint32)
         k = keys[part]
-        wide = (k,) if not keep_least else (k, low[part])
-        flags = np.packbits(many[part])
-        out.append((int(b[lo]), _pack(ids[o], ths[o], n, at[part].astype(np.uint32), flags, *(wide if keep_least else _six(k)))))
-    if len(gone):
-        runs = _runs(owner[gone])
-        o = owner[gone[runs]]
-        cut = np.append(runs, len(gone))
-        for x, lo, hi in zip(o.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
-            # settled places go straight to a bucket of their document
-            out.append((-1 - int(x), np.array([ids[x], ths[x]], np.int64).tobytes() + at[gone[lo:hi]].astype(np.uint32).tobytes()))
+        spots = at[part]
+        narrow = np.uint16 if spots.max() < 1 << 16 else np.uint32
+        wide = (k, (low[part] >> np.uint64(32)).astype(np.uint32)) if keep_least else _six(k)
+        out.append((int(b[lo]), _pack(ids[o], ths[o], n, np.packbits(many[part]), *wide, spots.astype(narrow))))
+    out += [(-1 - dest, blob) for dest, blob in _by_document(owner[gone], at[gone], ids, ths, buckets)]
+    return out
+
+
+def _by_document(owner: np.ndarray, at: np.ndarray, ids: np.ndarray, ths: np.ndarray, dests: int) -> list[tuple[int, bytes]]:
+    """Blobs of places by the partition of their document."""
+    if not len(owner):
+        return []
+    dest = (mixed(ids.view(np.uint64) ^ ths.view(np.uint64)) >> np.uint64(40)).astype(np.int64)[owner] % dests
+    order = np.lexsort((at, owner, dest))
+    owner, at, dest = owner[order], at[order].astype(np.uint32), dest[order]
+    out = []
+    begin = _runs(dest)
+    for lo, hi in zip(begin.tolist(), np.append(begin[1:], len(dest)).tolist()):
+        runs = _runs(owner[lo:hi])
+        o = owner[lo:hi][runs]
+        out.append((int(dest[lo]), _pack(ids[o], ths[o], np.diff(np.append(runs, hi - lo)).astype(np.uint32), at[lo:hi])))
     return out
 
 
@@ -126,7 +138,7 @@ def _six(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _gathered(select: Callable, buckets: int, keep_least: bool, text_at: int) -> Callable:
-    """A map over batches (id, th, text, ...): select gives (row, word place, hash, second hash) of records of a slice."""
+    """A map over batches (id, th, text, known, ...): select gives (row, word place, hash, second hash) of records of a slice."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = space_words()
@@ -137,15 +149,11 @@ def _gathered(select: Callable, buckets: int, keep_least: bool, text_at: int) ->
             base = np.concatenate(([0], np.cumsum([len(x[4]) for x in lot])[:-1]))
             owner = np.concatenate([x[0] + b for x, b in zip(lot, base)])
             ids, ths = np.concatenate([x[4] for x in lot]), np.concatenate([x[5] for x in lot])
-            rows = _routed(cols[2], cols[3], owner, ids, ths, cols[1], buckets, keep_least)
-            for lo in range(0, len(rows), 4096):
-                some = rows[lo : lo + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "blob"])
+            yield from _rows(_routed(cols[2], cols[3], owner, ids, ths, cols[1], buckets, keep_least))
 
         for batch in batches:
-            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            ids = batch.column(0).fill_null(0).to_numpy()
-            ths = batch.column(1).to_numpy()
+            ids, ths = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            known = batch.column(3).to_numpy(zero_copy_only=False)
             for lo, hi, buf, offs in text_slices(batch.column(text_at)):
                 w = Words(buf, offs, table)
                 row, at, k, k2 = select(w, batch, lo, hi)
@@ -177,9 +185,9 @@ def _anchors(window: int) -> Callable:
 def _extended(window: int) -> Callable:
     def select(w: Words, batch, lo, hi):
         starts = np.zeros(len(w.starts) + 1, bool)
-        for r, blobs in enumerate(batch.column(3).slice(lo, hi - lo).to_pylist()):
+        for r, blob in enumerate(batch.column(4).slice(lo, hi - lo).to_pylist()):
             first, end = int(w.first[r]), int(w.first[r + 1])
-            spots = np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64)
+            spots = np.frombuffer(blob, np.uint32).astype(np.int64)
             s = (spots[:, None] - np.arange(PERIOD)[None, :]).ravel()
             starts[first + s[(s >= 0) & (s + window <= end - first)]] = True
         at = np.flatnonzero(starts)
@@ -189,30 +197,35 @@ def _extended(window: int) -> Callable:
     return select
 
 
-def _settled(keep_least: bool) -> Callable:
-    """A map over a bucket's blobs: places of hashes that stand in another (keep_least: a smaller) document."""
+def _rows(pairs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(pairs), 4096):
+        some = pairs[lo : lo + 4096]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["bucket", "blob"])
+
+
+def _settled(keep_least: bool, dests: int) -> Callable:
+    """A map over a bucket's blobs: by document, places of hashes that stand in another (keep_least: a smaller) document."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, lot = ["id", "th", "at"], []
+        lot = []
         for batch in batches:
             done = []
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = blob.as_py()
                 if bucket < 0:
-                    done.append((*np.frombuffer(raw, np.int64, 2).tolist(), raw[16:]))
+                    done.append((-1 - bucket, raw))
                     continue
                 if keep_least:
-                    ids, ths, n, at, flags, k, k2 = _unpack(raw, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint64, np.uint64)
+                    ids, ths, n, flags, k, k2, at = _unpack(raw, np.int64, np.int64, np.uint32, np.uint8, np.uint64, np.uint32)
                 else:
-                    ids, ths, n, at, flags, hi, mid = _unpack(raw, np.int64, np.int64, np.uint32, np.uint32, np.uint8, np.uint32, np.uint16)
-                    k, k2 = (hi.astype(np.uint64) << np.uint64(16)) | mid, np.full(len(at), bucket, np.uint64)
+                    ids, ths, n, flags, hi, mid, at = _unpack(raw, np.int64, np.int64, np.uint32, np.uint8, np.uint32, np.uint16)
+                    k, k2 = (hi.astype(np.uint64) << np.uint64(16)) | mid, np.full(len(at), bucket, np.uint32)
                 lot.append((ids, ths, n, at, np.unpackbits(flags, count=len(at)).astype(bool), k, k2))
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=names)
+            yield from _rows(done)
         if not lot:
             return
         base = np.concatenate(([0], np.cumsum([len(x[0]) for x in lot])[:-1]))
-        owner = np.concatenate([np.repeat(np.arange(len(x[0])) + b, x[2]) for x, b in zip(lot, base)])
+        owner = np.concatenate([np.repeat(np.arange(len(x[0]), dtype=np.int32) + np.int32(b), x[2]) for x, b in zip(lot, base)])
         ids, ths, _, at, many, k, k2 = (np.concatenate([x[i] for x in lot]) for i in range(7))
         lot.clear()
         own_id = ids[owner]
@@ -225,35 +238,46 @@ def _settled(keep_least: bool) -> Callable:
         else:
             last = np.append(first[1:], len(k)) - 1
             hit = np.repeat((own_id[first] != own_id[last]) | np.logical_or.reduceat(many, first), size)
-        o, a = owner[hit], at[hit]
-        if not len(o):
-            return
-        o = o[order2 := np.lexsort((a, o))]
-        a = a[order2].astype(np.uint32)
-        runs = _runs(o)
-        cut_at = np.append(runs, len(o)).tolist()
-        who = o[runs]
-        for lo in range(0, len(runs), 8192):
-            hi = min(lo + 8192, len(runs))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[who[lo:hi]]), pa.array(ths_of(ths, who[lo:hi])), pa.array([a[cut_at[i] : cut_at[i + 1]].tobytes() for i in range(lo, hi)], pa.binary())], names=names)
-
-    def ths_of(ths, who):
-        return ths[who]
+        yield from _rows(_by_document(owner[hit], at[hit], ids, ths, dests))
 
     return each
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document from the blobs of its partition."""
+    lot = [_unpack(blob.as_py(), np.int64, np.int64, np.uint32) for batch in batches for blob in batch.column(1)]
+    if not lot:
+        return
+    n = np.concatenate([x[2] for x in lot])
+    ids, ths = (np.repeat(np.concatenate([x[i] for x in lot]), n) for i in (0, 1))
+    at = np.concatenate([x[3] for x in lot])
+    lot.clear()
+    order = np.lexsort((at, ths, ids))
+    ids, ths, at = ids[order], ths[order], at[order]
+    first = _runs(ids, ths)
+    end = np.append(first[1:], len(at))
+    for lo in range(0, len(first), 1024):
+        part = first[lo : lo + 1024]
+        spots = [np.unique(at[a:b]).tobytes() for a, b in zip(part.tolist(), end[lo : lo + 1024].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(ths[part]), pa.array(spots, pa.binary())], names=["id", "th", "at"])
+
+
 def repeated_places(docs: DataFrame, *, window: int = WINDOW, parts: int | None = None) -> DataFrame:
-    """Start places (uint32 as bytes, in pieces) of the windows that also start in a document with a smaller id: id, th, at.
+    """Start places (uint32 as bytes) of the windows that also start in a document with a smaller id: id, th, at.
 
-    docs: columns id (long), th (hash of the text) and text, dealt by id and th.
+    docs: columns id (long), th (hash of the text), text, and known (false: the
+    row takes no part); id, th and known are never null. So a join by id and th
+    adds no filter, and Spark deals the texts out once for all joins.
     """
     parts = parts or parts_for(docs, EACH)
-    shared = docs.mapInArrow(_gathered(_anchors(window), parts, False, 2), _ROUTED)
-    shared = shared.repartition(parts, "bucket").mapInArrow(_settled(False), _PLACES)
-    around = docs.join(shared.groupBy("id", "th").agg(F.collect_list("at").alias("ats")), ["id", "th"]).select("id", "th", "text", "ats")
-    wide = around.mapInArrow(_gathered(_extended(window), parts, True, 2), _ROUTED)
-    return wide.repartition(parts, "bucket").mapInArrow(_settled(True), _PLACES)
+
+    def settle(records: DataFrame, keep_least: bool) -> DataFrame:
+        by_document = records.repartition(parts, "bucket").mapInArrow(_settled(keep_least, parts), _ROUTED)
+        return by_document.repartition(parts, "bucket").mapInArrow(_merged, _PLACES)
+
+    shared = settle(docs.mapInArrow(_gathered(_anchors(window), parts, False, 2), _ROUTED), False)
+    around = docs.join(shared, ["id", "th"]).select("id", "th", "text", "known", "at")
+    return settle(around.mapInArrow(_gathered(_extended(window), parts, True, 2), _ROUTED), True)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -261,9 +285,10 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if window < 2 * PERIOD - 1 - max(COVER):
         raise ValueError(f"a window needs {2 * PERIOD - 1 - max(COVER)} words or more")
     parts = parts_for(docs.select(id_col, text_col), EACH)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
-    gone = repeated_places(src, window=window, parts=parts).groupBy("id", "th").agg(F.collect_list("at").alias("ats"))
-    both = src.join(gone, ["id", "th"], "left").select("id", "text", "ats")
+    key = F.col(id_col).cast("long")
+    src = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col(text_col), key.isNull()).alias("th"), F.col(text_col).cast("string").alias("text"), key.isNotNull().alias("known"))
+    gone = repeated_places(src, window=window, parts=parts)
+    both = src.join(gone, ["id", "th"], "left").select(F.when(F.col("known"), F.col("id")).alias("id"), "text", "at")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_words", T.LongType(), False), T.StructField("n_removed", T.LongType(), False), T.StructField("kept", T.StringType(), False)])
 
     def each(batches):
@@ -272,9 +297,9 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for lo, hi, buf, offs in text_slices(batch.column(1)):
                 w, raw = Words(buf, offs, table), buf.tobytes()
                 marks = [np.zeros(0, np.int64)]
-                for r, blobs in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
-                    if blobs:
-                        marks.append(np.frombuffer(b"".join(blobs), np.uint32).astype(np.int64) + w.first[r])
+                for r, blob in enumerate(batch.column(2).slice(lo, hi - lo).to_pylist()):
+                    if blob:
+                        marks.append(np.frombuffer(blob, np.uint32).astype(np.int64) + w.first[r])
                 gone = covered(len(w.starts), np.concatenate(marks), window)
                 removed = np.diff(np.concatenate(([0], np.cumsum(gone)))[w.first])
                 texts = []

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 #: Odd multipliers of the polynomials, one for each independent hash.
 BASES = (0x9E3779B97F4A7C15 | 3, 0xD1B54A32D192ED03)
