@@ -17,7 +17,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def read_files(spark: SparkSession, root: str, include: str = "*.md*", exclude: str | None = None) -> DataFrame:
     """path and text of each file below root that matches a glob and not a pattern."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", include).text(root)
+    df = spark.read.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", include).load(root)
     df = df.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return df.where(~F.col("path").rlike(exclude)) if exclude else df
 
