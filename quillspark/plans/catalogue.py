@@ -398,7 +398,7 @@ def nlsql_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _asked(spark, sf_dir, f"Какие модули у maintainer {name}?").limit(1_000_000)
 
 
-@query(f"with {_TEAM}, r as (select count(*) as n from team where role = 'core-dev') select 1::bigint as n_rows, case when n = 0 then 0.3 else 0.9 end as confidence from r")
+@query(f"with {_TEAM}, r as (select count(*) as n from team where role = 'core-dev') select 1::bigint as n_rows, cast(case when n = 0 then 0.3 else 0.9 end as double) as confidence from r")
 def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far an answer may be trusted."""
     return sqlqa.confidence(_asked(spark, sf_dir, "core-dev count"), limited=False)
