@@ -30,7 +30,7 @@ from quillspark.llm.texts import join_small, n_space_words
 #: Weights by a source's rank, most times a source is repeated.
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Words of a block, slots of an output shard, documents of a chunk, slots that unfold from one row, seed.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK, RANGE, SEED = 64, 65_536, 4000, 4096, 20_240
+BLOCK_WORDS, SHARD_SLOTS, CHUNK, RANGE, SEED = 64, 65_536, 1000, 4096, 20_240
 ROUNDS = 8
 
 
