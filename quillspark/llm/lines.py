@@ -3,7 +3,7 @@
 Lines (cut at line feeds) are normalised: lower-cased, each run of ASCII
 characters other than letters and digits becomes one space, trimmed. Equal
 normal forms collapse by a 128-bit key. Each form has a 64-bit SimHash over its
-words (a tied bit is taken from the exclusive-or of all word hashes). Forms whose
+words (a tied bit comes from the least and the greatest word hash). Forms whose
 SimHashes differ by at most RADIUS = 3 bits are candidates: of five blocks of
 12 or 13 bits two must agree, so distinct SimHashes meet in equi-joins on the
 ten pairs of blocks. Candidates are verified by edit similarity of the normal
@@ -11,7 +11,8 @@ forms (LEAST = 0.8 or more): by characters up to CHARS characters, beyond that
 by words, each coded as one character. Verified links make components, and of
 each component the first occurrence (by id, then line) stays.
 
-Texts never travel for the search: it shuffles keys and SimHashes only.
+Texts are dealt out once by document, so that words unfold and are summed up in
+place; the search itself shuffles keys and SimHashes only.
 Candidate texts and the lines to remove come back to one more scan, broadcast if
 their counted rows are few, by a shuffle join beyond that.
 
@@ -25,49 +26,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.session import cut
+from quillspark.llm.session import cut, parts_for
 
-RADIUS, LEAST, CHARS = 3, 0.8, 1000
+RADIUS, LEAST, CHARS = 3, 0.8, 200
 #: Bit ranges of the five blocks; two of them agree if at most three bits differ.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Rows that a broadcast of line places may have.
 FEW = 1_000_000
-_LANES = 0x0101010101010101
 
 
 def normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
-def simhash(form: Column) -> Column:
-    """64 majority bits over the hashes of a normal form's words.
+def simhashes(forms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and sim, the 64 majority bits over the hashes of a normal form's words, of rows (keys, form) dealt by some of the keys.
 
-    Eight counters of eight bits each share a long, over pieces of at most 127 words, so that no sum reaches the sign bit.
+    Words unfold and are summed where they are. A long sums the counters of two
+    bits, 32 bits apart.
     """
-    hashes = F.transform(F.split(form, " "), lambda w: F.xxhash64(w))
-
-    def lanes(part):
-        zero = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(8)])
-        return F.aggregate(part, zero, lambda a, h: F.struct(*[(a[f"s{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES))).alias(f"s{k}") for k in range(8)]))
-
-    def bits(hs):
-        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(hs) - 1) / 127).cast("int")), lambda i: lanes(F.slice(hs, i * 127 + 1, F.lit(127))))
-        ties = F.aggregate(hs, F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(h))
-
-        def count(ps, k, byte):
-            lane = lambda p: F.shiftrightunsigned(p[f"s{k}"], 8 * byte).bitwiseAND(F.lit(255))
-            return F.when(F.size(ps) == 1, lane(F.get(ps, F.lit(0)))).otherwise(F.aggregate(ps, F.lit(0).cast("long"), lambda a, p: a + lane(p)))
-
-        def all_bits(ps, tie):
-            out = F.lit(0).cast("long")
-            for b in range(64):
-                n, one = count(ps, b % 8, b // 8), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
-                out = out.bitwiseOR(F.when(2 * n > F.size(hs), one).when(2 * n == F.size(hs), tie.bitwiseAND(one)).otherwise(F.lit(0).cast("long")))
-            return out
-
-        return F.get(F.transform(F.array(F.struct(pieces.alias("p"), ties.alias("t"))), lambda x: all_bits(x["p"], x["t"])), F.lit(0))
-
-    return F.get(F.transform(F.array(hashes), bits), F.lit(0))
+    words = forms.select(*keys, F.explode(F.split("form", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    both = F.lit(1 << 32 | 1)
+    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(f"s{k}") for k in range(32)]
+    counted = words.groupBy(*keys).agg(*sums, F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).withColumn("tie", F.xxhash64("lo", "hi"))
+    sim = F.lit(0).cast("long")
+    for b in range(64):
+        count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit((1 << 32) - 1))
+        one = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
+        sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), one).when(2 * count == F.col("n"), F.col("tie").bitwiseAND(one)).otherwise(F.lit(0).cast("long")))
+    return counted.select(*keys, sim.alias("sim"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -77,24 +64,34 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (key of the normal form), id, th (hash of the text), line (from 0), sim of each line with letters or digits."""
-    lines = docs.select(*_keyed(docs, id_col, text_col)).select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th")
+    # rows equal in id and text are one document
+    lines = dealt.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
     forms = lines.select("id", "th", "line", normal(F.col("raw")).alias("form")).where("form <> ''")
-    return forms.select(F.xxhash64("form").alias("k1"), F.xxhash64(F.lit("second"), "form").alias("k2"), "id", "th", "line", simhash(F.col("form")).alias("sim"))
+    keyed = forms.select(F.xxhash64("form").alias("k1"), F.xxhash64(F.lit("second"), "form").alias("k2"), "id", "th", "line", "form")
+    return simhashes(keyed, ["k1", "k2", "id", "th", "line"])
 
 
-def near_sims(sims: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs (s, t), s < t, of distinct SimHashes that differ by at most `radius` (three or fewer) bits."""
-    if radius > 3:
-        raise ValueError("two of five blocks agree only if at most three bits differ")
+def _block_keys(sim: Column) -> Column:
+    """The ten keys of a SimHash, one for each pair of blocks."""
     keys = []
     for n, pair in enumerate(combinations(BLOCKS, 2)):
         key = F.lit(n).cast("long")
         for start, width in pair:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("sim", start).bitwiseAND(F.lit((1 << width) - 1)))
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << width) - 1)))
         keys.append(key)
-    dealt = sims.select(F.explode(F.array(*keys)).alias("key"), "sim")
-    pairs = dealt.select("key", F.col("sim").alias("s")).join(dealt.select("key", F.col("sim").alias("t")), "key").where((F.col("s") < F.col("t")) & (F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= radius))
-    return pairs.select("s", "t").distinct()
+    return F.array(*keys)
+
+
+def _near(radius: int) -> Column:
+    return F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= radius
+
+
+def buckets(sims: DataFrame, parts: int) -> DataFrame:
+    """key, sim, pivot (the key's least SimHash) of keys that two SimHashes or more share. Rows are dealt by key once, for the counts and the join."""
+    dealt = sims.select(F.explode(_block_keys(F.col("sim"))).alias("key"), "sim").repartition(parts, "key")
+    shared = dealt.groupBy("key").agg(F.min("sim").alias("pivot"), F.max("sim").alias("last")).where("pivot < last")
+    return dealt.join(shared.select("key", "pivot"), "key")
 
 
 def _word_code(form: Column) -> Column:
@@ -105,9 +102,13 @@ def _word_code(form: Column) -> Column:
 
 def similar(a: str, b: str, least: float = LEAST, chars: int = CHARS) -> Column:
     """Whether the edit similarity 1 - distance / longer length of two columns of normal forms is at least `least`."""
+
     def verdict(x: str, y: str) -> Column:
-        most = f"cast(floor((1 - {least}) * greatest(char_length({x}), char_length({y})) + 1e-9) as int)"
-        return F.expr(f"abs(char_length({x}) - char_length({y})) <= {most} and levenshtein({x}, {y}, {most}) >= 0")
+        long = f"greatest(char_length({x}), char_length({y}))"
+        most = f"cast(floor((1 - {least}) * {long} + 1e-9) as int)"
+        # a narrow band tells near forms at a fraction of the full band's cost
+        few = f"least({most}, 2 + cast({long} div 50 as int))"
+        return F.expr(f"abs(char_length({x}) - char_length({y})) <= {most} and (levenshtein({x}, {y}, {few}) >= 0 or levenshtein({x}, {y}, {most}) >= 0)")
 
     return F.when((F.char_length(a) <= chars) & (F.char_length(b) <= chars), verdict(a, b)).otherwise(verdict(f"{a}_code", f"{b}_code"))
 
@@ -116,26 +117,62 @@ def _join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str) ->
     return big.join(F.broadcast(small) if small.count() <= FEW else small, on, how)
 
 
-def links(docs: DataFrame, occ: DataFrame, *, id_col: str, text_col: str, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
-    """Links (a, b) of keys, as strings, of different forms that are near."""
-    forms = cut(occ.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line")).alias("at"), F.min("sim").alias("sim")))
-    sims = forms.select("sim").distinct()
-    near = cut(near_sims(sims, radius))
+def verified(docs: DataFrame, forms: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, least: float) -> DataFrame:
+    """Those of the pairs (a, b) of keys whose forms are similar."""
     key = F.struct("k1", "k2")
-    # forms of one SimHash, and forms of two near ones
-    twins = forms.join(forms.groupBy("sim").agg(F.count("*").alias("n")).where("n > 1").select("sim"), "sim")
-    same = twins.select("sim", key.alias("a")).join(twins.select("sim", key.alias("b")), "sim").where("a < b").select("a", "b")
-    other = near.join(forms.select(F.col("sim").alias("s"), key.alias("a")), "s").join(forms.select(F.col("sim").alias("t"), key.alias("b")), "t").select("a", "b")
-    pairs = cut(same.union(other))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k.k1", "k.k2")
     places = cut(forms.join(wanted, ["k1", "k2"]).groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), key.alias("k"))).alias("want")))
-    src = docs.select(*_keyed(docs, id_col, text_col)).withColumn("key", F.struct("id", "th"))
-    got = _join_counted(src.select("key", "text"), places.select(F.struct("id", "th").alias("key"), "want"), ["key"], "inner")
+    src = docs.select(*_keyed(docs, id_col, text_col)).select(F.struct("id", "th").alias("key"), "text")
+    got = _join_counted(src, places.select(F.struct("id", "th").alias("key"), "want"), ["key"], "inner")
+    # rows equal in id and text give the same lines: any one of them will do
     texts = got.select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w")).select(F.col("w.k").alias("k"), normal(F.get("ls", F.col("w.line"))).alias("form")).dropDuplicates(["k"])
-    texts = cut(texts.withColumn("code", F.when(F.char_length("form") > CHARS, _word_code(F.col("form"))).otherwise("")))
-    both = pairs.join(texts.select(F.col("k").alias("a"), F.col("form").alias("x"), F.col("code").alias("x_code")), "a").join(texts.select(F.col("k").alias("b"), F.col("form").alias("y"), F.col("code").alias("y_code")), "b")
-    both = both.withColumn("x_code", F.when(F.col("x_code") == "", _word_code(F.col("x"))).otherwise(F.col("x_code"))).withColumn("y_code", F.when(F.col("y_code") == "", _word_code(F.col("y"))).otherwise(F.col("y_code")))
-    return both.where(similar("x", "y", least)).select("a", "b")
+    texts = cut(texts.withColumn("code", _word_code(F.col("form"))))
+    side = lambda k, x: texts.select(F.col("k").alias(k), F.col("form").alias(x), F.col("code").alias(f"{x}_code"))
+    return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar("x", "y", least)).select("a", "b"))
+
+
+def links(docs: DataFrame, occ: DataFrame, *, id_col: str, text_col: str, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
+    """Links (a, b) of keys of different forms that join what all near pairs join.
+
+    First each bucket's members are compared with its pivot alone, and the links
+    found make components. Then only members of different components are
+    compared: in each bucket those outside of its largest component, with all
+    others. So a bucket of many near copies costs rows in proportion to it.
+    """
+    if radius > 3:
+        raise ValueError("two of five blocks agree only if at most three bits differ")
+    forms = cut(occ.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line")).alias("at"), F.min("sim").alias("sim")))
+    key = F.struct("k1", "k2")
+    own = forms.select("sim", key.alias("form"))
+    shared = cut(buckets(forms.select("sim").distinct(), parts_for(docs, 8 << 20)))
+    twins = cut(own.join(own.groupBy("sim").agg(F.min("form").alias("pivot"), F.max("form").alias("last")).where("pivot < last").select("sim", "pivot"), "sim"))
+
+    def expanded(sims: DataFrame) -> DataFrame:
+        return sims.join(own.select(F.col("sim").alias("s"), F.col("form").alias("a")), "s").join(own.select(F.col("sim").alias("t"), F.col("form").alias("b")), "t").select("a", "b")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verified(docs, forms, cut(pairs.distinct()), id_col=id_col, text_col=text_col, least=least)
+
+    first = shared.select(F.col("pivot").alias("s"), F.col("sim").alias("t")).where((F.col("s") < F.col("t")) & _near(radius)).distinct()
+    found = check(expanded(first).union(twins.where("pivot < form").select(F.col("pivot").alias("a"), F.col("form").alias("b"))))
+    member = cut(components(found))
+    placed = own.join(member.select(F.col("node").alias("form"), "root"), "form", "left").withColumn("root", F.coalesce("root", "form"))
+    # a SimHash belongs to a component if all its forms do; else it is one of its own and compared with all
+    of_sim = placed.groupBy("sim").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    of_sim = of_sim.select("sim", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo.k1", "lo.k2")).otherwise(F.xxhash64("sim")).alias("comp"))
+
+    def stragglers(rows: DataFrame, bucket: str, item: str) -> DataFrame:
+        """(s, t) of items of one bucket and different components, at least one of them outside of the bucket's largest."""
+        sizes = rows.groupBy(bucket, "comp").agg(F.count("*").alias("n")).groupBy(bucket).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
+        mixed = rows.join(sizes.select(bucket, "main"), bucket)
+        out = mixed.where("comp <> main").select(bucket, F.col(item).alias("o"), F.col("comp").alias("oc"))
+        both = out.join(mixed, bucket).where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col(item))))
+        return both.select(F.least("o", item).alias("s"), F.greatest("o", item).alias("t"))
+
+    again = stragglers(shared.join(of_sim, "sim"), "key", "sim").where(_near(radius)).distinct()
+    again_twins = stragglers(twins.join(placed, ["sim", "form"]).withColumn("comp", F.xxhash64("root.k1", "root.k2")), "sim", "form")
+    more = check(expanded(again).union(again_twins.select(F.col("s").alias("a"), F.col("t").alias("b"))))
+    return found.union(more)
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = LEAST) -> DataFrame:

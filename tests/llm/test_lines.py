@@ -1,8 +1,9 @@
+import random
 import re
 
 import xxhash
 
-from quillspark.llm.lines import LEAST, RADIUS, dedup_lines
+from quillspark.llm.lines import CHARS, LEAST, RADIUS, dedup_lines
 
 
 def form(line):
@@ -11,9 +12,10 @@ def form(line):
 
 def sim(f):
     hs = [xxhash.xxh64_intdigest(w.encode(), 42) for w in f.split(" ")]
-    tie = 0
-    for h in hs:
-        tie ^= h
+    signed = sorted(h - (h >> 63 << 64) for h in hs)
+    tie = 42
+    for x in (signed[0], signed[-1]):
+        tie = xxhash.xxh64_intdigest(x.to_bytes(8, "little", signed=True), tie)
     out = 0
     for b in range(64):
         n = sum(h >> b & 1 for h in hs)
@@ -46,7 +48,7 @@ def brute(rows):
         for b in forms[i + 1 :]:
             if (sims[a] ^ sims[b]).bit_count() <= RADIUS:
                 long = max(len(a), len(b))
-                x, y = (a, b) if long <= 1000 else (a.split(" "), b.split(" "))
+                x, y = (a, b) if long <= CHARS else (a.split(" "), b.split(" "))
                 if edit(x, y) <= (1 - LEAST) * max(len(x), len(y)) + 1e-9:
                     up[root(a)] = root(b)
     first = {}
@@ -77,6 +79,13 @@ def test_near_lines(make):
     base = " ".join(f"word{i}" for i in range(60))
     near = [base.replace(f"word{k} ", f"other{k} ") for k in range(12)]
     rows = [(1, "Top line!\n" + base), (2, "top   LINE\n--\n" + near[0]), (3, "\n".join(near[1:])), (4, "top line\nsomething else"), (5, ""), (6, "a b c d e f\n" * 3)]
+    rng = random.Random(1)
+    many = base.split(" ")
+    for k in range(60):  # a crowd of near copies, most of them linked through others only
+        w = list(many)
+        for _ in range(rng.randrange(1, 9)):
+            w[rng.randrange(60)] = f"new{rng.randrange(5)}"
+        rows.append((100 + k, " ".join(w) + "\n" + " ".join(rng.sample(w[:5], 5))))
     left = check(make(rows), rows)
     assert ("4", "something else") in left
 
