@@ -35,17 +35,23 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 FEW = 1_000_000
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line's normal form."""
+    return F.array_remove(F.split(F.lower(line), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+
+
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
+    return F.array_join(line_words(line), " ")
 
 
 def simhashes(forms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and sim, the 64 majority bits over the hashes of a normal form's words, of rows (keys, form) dealt by some of the keys.
+    """keys and sim, the 64 majority bits over the hashes of a normal form's words, of rows (keys, words) dealt by some of the keys.
 
     Words unfold and are summed where they are. A long sums the counters of two
     bits, 32 bits apart.
     """
-    words = forms.select(*keys, F.explode(F.split("form", " ")).alias("w")).select(*keys, F.xxhash64("w").alias("h"))
+    # an outer explode, as a plain one makes Spark cut the texts once more for a filter
+    words = forms.select(*keys, F.explode_outer("words").alias("w")).where("w is not null").select(*keys, F.xxhash64("w").alias("h"))
     both = F.lit(1 << 32 | 1)
     sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(f"s{k}") for k in range(32)]
     counted = words.groupBy(*keys).agg(*sums, F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).withColumn("tie", F.xxhash64("lo", "hi"))
@@ -66,9 +72,9 @@ def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """k1, k2 (key of the normal form), id, th (hash of the text), line (from 0), sim of each line with letters or digits."""
     dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th")
     # rows equal in id and text are one document
-    lines = dealt.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    forms = lines.select("id", "th", "line", normal(F.col("raw")).alias("form")).where("form <> ''")
-    keyed = forms.select(F.xxhash64("form").alias("k1"), F.xxhash64(F.lit("second"), "form").alias("k2"), "id", "th", "line", "form")
+    lines = dealt.select("id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw")).where("raw is not null")
+    forms = lines.select("id", "th", "line", line_words(F.col("raw")).alias("words"))
+    keyed = forms.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), "words").alias("k2"), "id", "th", "line", "words")
     return simhashes(keyed, ["k1", "k2", "id", "th", "line"])
 
 
