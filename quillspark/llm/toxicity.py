@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from quillspark.llm.textnum import U, Words, mixed, plain_words, text_slices
 
 #: Labelled rows that the learner reads at most.
-MAX_ROWS = 16_000
+MAX_ROWS = 8_000
 #: Learning rate, its damping, L1 and L2 strength, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 0.3, 8
 #: Features in fewer sampled rows than this cannot outgrow L1 and are left out.
@@ -57,9 +57,9 @@ def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1,
     found = found[count >= min_rows]
     places = []
     for _, x in rows:
-        k = np.searchsorted(found, x)
+        k = np.searchsorted(found, x).astype(np.int32)
         k[k == len(found)] = 0
-        places.append(np.append(k[found[k] == x] if len(found) else k[:0], len(found)))
+        places.append(np.append(k[found[k] == x] if len(found) else k[:0], np.int32(len(found))))
     z, n = np.zeros(len(found) + 1), np.zeros(len(found) + 1)
 
     def weight(zi, ni, last):
