@@ -106,6 +106,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words)))
     pieces = spread.select("*", F.explode_outer(blocks).alias("block"))
     here = F.least(last + 1, (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
-    got = pieces.withColumn("words", here).join(times, ["rank", "block"], "left")
+    # slots unfold from a few rows, so Spark would take the draws for small and broadcast them
+    got = pieces.withColumn("words", here).join(times.hint("merge"), ["rank", "block"], "left")
     taken = got.groupBy("rank", "chunk", "row", "id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
     return drawn, taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
