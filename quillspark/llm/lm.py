@@ -11,9 +11,8 @@ class times that of the subword in its class:
   vocabulary, then smoothed by the shares after any group);
 * the class comes from one layer of causal self-attention with relative
   position biases. It is trained by Adam in numpy, in rounds: every task trains
-  on its own sample of windows from the current parameters, and the parameters
-  are averaged by tokens. The sample is a fixed share of all windows, so it grows
-  with the corpus, and it is all of a small one.
+  on its own windows from the current parameters, and the parameters are averaged
+  by windows. Every round takes all training windows, at any size of the corpus.
 
 Scoring cuts each text into windows of WINDOW positions that overlap by CONTEXT:
 each position is scored once, with at least CONTEXT positions before it where
@@ -40,8 +39,8 @@ PIECES, END, START = 32_000, 2, 1
 WINDOW, CONTEXT, WIDTH, CLASSES, INPUTS, GROUPS = 32, 6, 16, 64, 2048, 256
 #: Weight, in counts, of a subword's share over all predecessors against its share after the group before it.
 PRIOR = 6.0
-#: Share of training windows that a round uses, and the windows below which all are used; rounds, windows in a step, rate.
-SAMPLE, LEAST_WINDOWS, ROUNDS, STEP_WINDOWS, RATE = 1 / 100, 60_000, 4, 48, 0.015
+#: Rounds, windows in a step, rate.
+ROUNDS, STEP_WINDOWS, RATE = 4, 48, 0.015
 #: Windows in one batch of scoring, words kept with their pieces in a process.
 BATCH, CACHED = 512, 300_000
 
@@ -208,7 +207,7 @@ def gradient(p: dict, inputs: np.ndarray, kinds: np.ndarray, scored: np.ndarray)
     return float(loss), g
 
 
-def windows(ids: np.ndarray, bound: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(ids: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, inputs' places, scored) of windows over texts that lie one after the other: each place is scored once.
 
     An input place of -1 stands for the start; places past a text's end are not scored.
@@ -218,8 +217,6 @@ def windows(ids: np.ndarray, bound: np.ndarray, keep: np.ndarray | None = None)
     many = -(-size // fresh)
     text = np.repeat(np.arange(len(size)), many)
     nth = np.arange(len(text)) - np.repeat(np.concatenate(([0], np.cumsum(many)[:-1])), many)
-    if keep is not None:
-        text, nth = text[keep[: len(text)]], nth[keep[: len(text)]]
     first = np.where(nth == 0, 0, nth * fresh - CONTEXT)  # the first window has no context before it
     new = np.where(nth == 0, 0, CONTEXT)
     place = first[:, None] + np.arange(WINDOW)[None, :]
@@ -233,8 +230,8 @@ def _inputs(vocab: dict, ids: np.ndarray, before: np.ndarray) -> np.ndarray:
     return np.where(before < 0, 0, vocab["input"][ids[np.maximum(before, 0)]])
 
 
-def train_round(toks: DataFrame, vocab: dict, p: dict, rnd: int, share: float, groups: int) -> dict:
-    """Parameters after one round: the mean, by windows, of what tasks trained on their samples."""
+def train_round(toks: DataFrame, vocab: dict, p: dict, rnd: int, groups: int) -> dict:
+    """Parameters after one round: the mean, by windows, of what tasks trained on all their windows."""
     held = toks.sparkSession.sparkContext.broadcast(({k: vocab[k] for k in ("kind", "input")}, p))
 
     def each(batches):
@@ -257,10 +254,9 @@ def train_round(toks: DataFrame, vocab: dict, p: dict, rnd: int, share: float, g
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, bound = _flat(part.column(1))
-                # the sample follows the texts' hashes, so reruns draw it again
+                # the order follows the texts' hashes, so reruns have it again
                 rng = np.random.default_rng([rnd, int(part.column(0)[0].as_py()) & 0x7FFFFFFF])
-                total = int((-(-np.diff(bound) // (WINDOW - CONTEXT))).sum())
-                places, before, scored = windows(ids, bound, rng.random(total) < share)
+                places, before, scored = windows(ids, bound)
                 order = rng.permutation(len(places))
                 for a in range(0, len(order), STEP_WINDOWS):
                     some = order[a : a + STEP_WINDOWS]
@@ -338,13 +334,12 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
         F.col(text_col).cast("string").alias("text"),
     )
     toks = cut(tokens(src, model))
-    sums = toks.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count("*").alias("docs"), F.coalesce(F.sum(F.octet_length("ids")), F.lit(0)).alias("b")).first()
+    sums = toks.where("train").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("n"), F.count("*").alias("docs")).first()
     base, words = base_scores(src.select("id", "th", "text", "train"), sums.n, parts)
     vocab = vocabulary(pair_counts(toks))
     p = start(vocab)
-    share = min(1.0, max(SAMPLE, LEAST_WINDOWS / max(1, sums.b // 2 // (WINDOW - CONTEXT))))
     for rnd in range(ROUNDS):
-        p = train_round(toks, vocab, p, rnd, share, max(1, parts // 64))
+        p = train_round(toks, vocab, p, rnd, max(1, parts // 64))
     # rows equal in id and text have one base, of which each has its part
     copies = toks.groupBy("id", "th").agg(F.count("*").alias("copies"))
     each_ = base.join(copies, ["id", "th"]).select("id", "th", (F.col("part_known") / F.col("copies")).cast("long").alias("known"), (F.col("part_score") / F.col("copies")).alias("sum"))

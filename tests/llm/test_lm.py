@@ -104,3 +104,13 @@ def test_gradient(key):
     down[key][at] -= 1e-3
     slope = (lm.gradient(up, x, y, scored)[0] - lm.gradient(down, x, y, scored)[0]) / 2e-3
     assert abs(slope - g[key][at]) < 2e-3 * max(1, abs(slope)) + 2e-4
+
+
+def test_a_long_corpus_is_learned_from_whole(spark, monkeypatch):
+    """Training steps grow with the corpus: a task takes all its windows, with no share by size."""
+    monkeypatch.setattr(lm, "LEAST_WINDOWS", 0, raising=False)
+    seen, real = [], lm.train_round
+    monkeypatch.setattr(lm, "train_round", lambda toks, vocab, p, rnd, *more: seen.append(more) or real(toks, vocab, p, rnd, *more))
+    docs = spark.createDataFrame([(i, " ".join(["red green"] * 50)) for i in range(20)], "doc_id long, text string")
+    lm.score(docs, F.lit(False)).count()
+    assert len(seen) == lm.ROUNDS and all(len(more) == 1 for more in seen)  # groups of the sum alone, no share
