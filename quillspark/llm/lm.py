@@ -12,7 +12,9 @@ class times that of the subword in its class:
 * the class comes from one layer of causal self-attention with relative
   position biases. It is trained by Adam in numpy, in rounds: every task trains
   on its own windows from the current parameters, and the parameters are averaged
-  by windows. Every round takes all training windows, at any size of the corpus.
+  by windows. Every round learns from every training window, at any size of the
+  corpus. Windows that do not fill a step wait for those of the task's next texts;
+  its last step may be short.
 
 Scoring cuts each text into windows of WINDOW positions that overlap by CONTEXT:
 each position is scored once, with at least CONTEXT positions before it where
@@ -238,30 +240,40 @@ def train_round(toks: DataFrame, vocab: dict, p: dict, rnd: int, groups: int) ->
         vocab, p = held.value
         p = {k: v.copy() for k, v in p.items()}
         m, s = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-        rng, step, seen, wait = None, 0, 0, []
+        step, seen, wait = 0, 0, []
 
-        def learn(places, before, scored, ids):
+        def learn(inputs, kinds, scored):
             nonlocal step, seen
             step += 1
-            seen += len(places)
-            _, g = gradient(p, _inputs(vocab, ids, before), vocab["kind"][ids[places]], scored)
+            seen += len(inputs)
+            _, g = gradient(p, inputs, kinds, scored)
             for key, v in g.items():
                 m[key] += 0.1 * (v - m[key])
                 s[key] += 0.01 * (v * v - s[key])
                 p[key] -= (RATE * (0.7**rnd) * (m[key] / (1 - 0.9**step)) / (np.sqrt(s[key] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
 
+        def learn_waiting(least):
+            """Learn from windows that wait, while there are `least` of them."""
+            nonlocal wait
+            if sum(len(x) for x, _, _ in wait) < least:
+                return
+            full = [np.concatenate(c) for c in zip(*wait)]
+            a = 0
+            while len(full[0]) - a >= least:
+                learn(*(c[a : a + STEP_WINDOWS] for c in full))
+                a += STEP_WINDOWS
+            wait = [tuple(c[a:] for c in full)]
+
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 ids, bound = _flat(part.column(1))
-                # the order follows the texts' hashes, so reruns have it again
-                rng = np.random.default_rng([rnd, int(part.column(0)[0].as_py()) & 0x7FFFFFFF])
                 places, before, scored = windows(ids, bound)
-                order = rng.permutation(len(places))
-                for a in range(0, len(order), STEP_WINDOWS):
-                    some = order[a : a + STEP_WINDOWS]
-                    if len(some) >= STEP_WINDOWS // 4:
-                        learn(places[some], before[some], scored[some], ids)
+                # the order follows the texts' hashes, so reruns have it again
+                order = np.random.default_rng([rnd, int(part.column(0)[0].as_py()) & 0x7FFFFFFF]).permutation(len(places))
+                wait.append((_inputs(vocab, ids, before[order]), vocab["kind"][ids[places[order]]], scored[order]))
+                learn_waiting(STEP_WINDOWS)
+        learn_waiting(1)
         flat = np.concatenate([p[k].ravel() for k in sorted(p)]).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([(flat * np.float32(seen)).tobytes()], pa.binary())], names=["seen", "p"])
 

@@ -114,3 +114,18 @@ def test_a_long_corpus_is_learned_from_whole(spark, monkeypatch):
     docs = spark.createDataFrame([(i, " ".join(["red green"] * 50)) for i in range(20)], "doc_id long, text string")
     lm.score(docs, F.lit(False)).count()
     assert len(seen) == lm.ROUNDS and all(len(more) == 1 for more in seen)  # groups of the sum alone, no share
+
+
+def test_a_task_learns_from_all_windows(spark):
+    """Texts of one window and less than a quarter of a step in all, and steps filled over slices of texts: each window is learned from."""
+    vocab, rng = small(7)
+    start = lm.start(vocab)
+
+    def moved(n):
+        rows = [(i, rng.integers(3, 300, 9).astype(np.uint16).tobytes(), True) for i in range(n)]
+        got = lm.train_round(spark.createDataFrame(rows, "th long, ids binary, train boolean").coalesce(1), vocab, start, 0, 1)
+        return np.abs(got["b"] - start["b"]).max() / lm.RATE
+
+    # Adam moves a parameter by about its rate in a step
+    assert 0.5 < moved(11) < 1.01
+    assert moved(260) > 3 and moved(3000) > moved(260)
