@@ -11,7 +11,10 @@ pseudorandom permutation of all slots, so a shard's source counts are
 multinomial draws given each source's total (free draws would overshoot the cap
 and miss small targets). Within a source, draw m takes block perm(m) of its
 epoch; each epoch permutes the blocks anew, so no block is drawn twice before
-all were drawn once. Draws join blocks by (source, index).
+all were drawn once. Draws join the blocks' contents by (source, index) and are
+written to the shared folder: each drawn row has its shard, its slot and its
+pieces of documents with their words, and what a document gives to the mix is
+summed over the pieces of the written rows.
 
 Running offsets are summed in bounded hash chunks and then over chunks, and
 slots unfold from ranges of 4096, so a source that holds a third of all rows
@@ -25,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.session import cut
-from quillspark.llm.texts import join_small, n_space_words
+from quillspark.llm.texts import n_space_words, space_words
 
 #: Weights by a source's rank, most times a source is repeated.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -82,31 +85,49 @@ def draws(planned: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS)
 
 
 def packed(ranked: DataFrame, chunks: int) -> DataFrame:
-    """ranked (rank, id, size, ...) with chunk, row in the chunk and start, the offset of its words in its source."""
+    """ranked (rank, id, size, th, ...) with chunk, row in the chunk and start, the offset of its words in its source."""
     dealt = ranked.withColumn("chunk", F.pmod(F.xxhash64("id", "size"), F.lit(chunks)))
-    order = Window.partitionBy("rank", "chunk").orderBy("id", "size")
+    order = Window.partitionBy("rank", "chunk").orderBy("id", "size", "th")
     inside = dealt.withColumn("row", F.row_number().over(order)).withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     totals = dealt.groupBy("rank", "chunk").agg(F.sum("size").alias("chunk_size"))
     ahead = totals.select("rank", "chunk", (F.sum("chunk_size").over(Window.partitionBy("rank").orderBy("chunk")) - F.col("chunk_size")).alias("offset"))
     return inside.join(ahead, ["rank", "chunk"]).withColumn("start", F.col("offset") + F.col("run") - F.col("size")).drop("run", "offset")
 
 
+def contents(spread: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """rank, block, pieces of each block: at (offset in the block), chunk, row, id, first (word of the document), words, text, in order.
+
+    Of packed rows with their words in one string, `all`. A block has at most block_words pieces.
+    """
+    last = F.col("start") + F.col("size") - 1
+    low = lambda b: F.greatest(F.col("start"), b * block_words)
+    size = lambda b: F.least(last + 1, (b + 1) * block_words) - low(b)
+    text = lambda all_, b: F.array_join(F.slice(all_, (low(b) - F.col("start") + 1).cast("int"), size(b).cast("int")), " ")
+    piece = lambda all_, b: F.struct((low(b) - b * block_words).alias("at"), "chunk", "row", "id", (low(b) - F.col("start")).alias("first"), size(b).alias("words"), text(all_, b).alias("text"))
+    numbers = F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words))
+    # an array of one, so that a text is cut into words once and not for each block
+    cuts = F.transform(F.array(F.split("all", " ")), lambda all_: F.transform(numbers, lambda b: F.struct(b.alias("block"), piece(all_, b).alias("piece"))))
+    each = spread.where("size > 0").select("rank", F.explode(F.get(cuts, F.lit(0))).alias("x"))
+    return each.groupBy("rank", "x.block").agg(F.sort_array(F.collect_list("x.piece")).alias("pieces"))
+
+
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = BLOCK_WORDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(the draws, one row per document). Documents: id, source, size, source_size, target, taken."""
-    sizes = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_space_words(F.col(text_col).cast("string")).alias("size")))
+    """(the mix: rank, block, shard, slot, pieces of each draw; one row per document). Documents: id, source, size, source_size, target, taken."""
+    text = F.col(text_col).cast("string")
+    own = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_space_words(text).alias("size"), F.xxhash64(text).alias("th")]
+    sizes = cut(docs.select(*own))
     sources = cut(plan(targets(sizes), block_words), 1)
-    rows = sizes.count()
-    drawn = draws(sources, seed)
-    times = drawn.groupBy("rank", "block").agg(F.count("*").alias("times"))
+    chunks = max(1, math.ceil(sizes.count() / CHUNK))
     keys = sources.select(F.col("source").alias("s"), "rank", "source_size", "target")
     small = keys.count() <= 50_000
-    ranked = sizes.join(F.broadcast(keys) if small else keys, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    spread = packed(ranked, max(1, math.ceil(rows / CHUNK)))
-    last = F.col("start") + F.col("size") - 1
-    blocks = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block_words), F.floor(last / block_words)))
-    pieces = spread.select("*", F.explode_outer(blocks).alias("block"))
-    here = F.least(last + 1, (F.col("block") + 1) * block_words) - F.greatest("start", F.col("block") * block_words)
+
+    def spread(rows: DataFrame) -> DataFrame:
+        return packed(rows.join(F.broadcast(keys) if small else keys, F.col("source").eqNullSafe(F.col("s"))).drop("s"), chunks)
+
+    # rows equal in id, size and text are alike, so both scans pack them alike
+    blocks = contents(spread(docs.select(*own, F.array_join(space_words(text), " ").alias("all"))), block_words)
     # slots unfold from a few rows, so Spark would take the draws for small and broadcast them
-    got = pieces.withColumn("words", here).join(times.hint("merge"), ["rank", "block"], "left")
-    taken = got.groupBy("rank", "chunk", "row", "id", "source", "size", "source_size", "target").agg(F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).cast("long").alias("taken"))
+    drawn = cut(blocks.join(draws(sources, seed).hint("merge"), ["rank", "block"]).select("rank", "block", "shard", "slot", "pieces"))
+    got = drawn.select("rank", F.explode("pieces").alias("x")).groupBy("rank", "x.chunk", "x.row").agg(F.sum("x.words").alias("got"))
+    taken = spread(sizes).join(got.hint("merge"), ["rank", "chunk", "row"], "left").withColumn("taken", F.coalesce("got", F.lit(0)).cast("long"))
     return drawn, taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")

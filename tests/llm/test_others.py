@@ -153,6 +153,26 @@ def test_mixing(make, odd_rows, case):
     assert len(set(slots)) == len(slots) and sorted(s for _, s in slots) == list(range(len(slots)))
 
 
+def test_mix_holds_the_words(make, odd_rows):
+    """Every drawn block has the words of its pieces, each slot one block, and documents give what the pieces hold."""
+    rows = [*odd_rows, *[(100 + i, " ".join(f"d{i}w{j}" for j in range(1 + 7 * i % 50)), "en", f"s{i % 3}") for i in range(60)]]
+    draws, docs = mixing.mix(make(rows), block_words=8)
+    mixed = draws.collect()
+    assert mixed and len({(r.shard, r.slot) for r in mixed}) == len(mixed)
+    texts, given = {}, Counter()
+    for i, t, *_ in rows:
+        texts.setdefault(i, []).append(re.sub("[ \t\n\x0b\x0c\r]+", " ", t or "").strip(" ").split(" "))
+    for r in mixed:
+        assert sum(p.words for p in r.pieces) <= 8 and [p["at"] for p in r.pieces] == np.cumsum([0, *[p.words for p in r.pieces]])[:-1].tolist()
+        for p in r.pieces:
+            assert any(t[p.first : p.first + p.words] == p.text.split(" ") for t in texts[p.id])
+            given[p.id] += p.words
+    want = Counter()
+    for r in docs.collect():
+        want[r.doc_id] += r.taken
+    assert +given == +want
+
+
 def test_mixing_empty(make):
     assert mixing.mix(make([]))[1].count() == 0
     assert [r.taken for r in mixing.mix(make([(1, None), (2, "")]))[1].collect()] == [0, 0]
