@@ -1,22 +1,37 @@
 """Two-stage vector retrieval for batches of queries."""
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import vectors as V
 from quillspark.functions.text import n_tokens
 
-#: Query tables up to so many rows are broadcast; larger ones go in blocks of as many.
+#: Query tables up to so many rows are broadcast; larger ones go in blocks of about as many.
 QUERY_BLOCK = 1000
 
 
+def _in_blocks(queries: DataFrame, query: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a search gives for all queries, from blocks of about QUERY_BLOCK queries, dealt by a hash of their id."""
+    n = -(-queries.count() // QUERY_BLOCK)
+    if n <= 1:
+        return search(queries)
+    block = F.pmod(F.xxhash64(query), F.lit(n))
+    return reduce(DataFrame.unionByName, [search(queries.where(block == b)) for b in range(n)])
+
+
 def top_k(queries: DataFrame, points: DataFrame, k: int, *, query_vec: str = "query_vec", vec: str = "vec", id_: str = "point_id", query: str = "query_id", score: str = "score") -> DataFrame:
     """The k best points of each query by clamped cosine, ties by id.
 
-    A stated, bounded query set is broadcast against all points; each partition
+    Each block of queries is broadcast against all points; each partition
     keeps k rows for each query before the shuffle.
     """
-    if len(queries.take(QUERY_BLOCK + 1)) > QUERY_BLOCK:
-        raise ValueError(f"pass queries in blocks of at most {QUERY_BLOCK}")
+    names = {"query_vec": query_vec, "vec": vec, "id_": id_, "query": query, "score": score}
+    return _in_blocks(queries, query, lambda some: _block_top_k(some, points, k, **names))
+
+
+def _block_top_k(queries: DataFrame, points: DataFrame, k: int, *, query_vec: str, vec: str, id_: str, query: str, score: str) -> DataFrame:
     held = F.broadcast(queries.select(F.col(query), F.col(query_vec).alias("_q")))
     scored = points.join(held, F.lit(True)).withColumn(score, V.clamp01(V.cosine(V.doubles(F.col(vec)), V.doubles(F.col("_q"))))).drop("_q")
     w = Window.partitionBy(query).orderBy(F.desc(score), F.col(id_))
@@ -40,7 +55,15 @@ def children_of(hits: DataFrame, children: DataFrame, k: int, *, query_vec: str,
 
 def retrieve(queries: DataFrame, parents: DataFrame, children: DataFrame, *, top_parents: int = 3, top_children: int = 4, min_score: float = 0.3, alpha: float = 0.7) -> DataFrame:
     """Evidence of each query: parents, their children above min_score, rescored."""
-    hits = top_k(queries, parents, top_parents, vec="parent_vec", id_="parent_id", score="parent_score").select("query_id", "parent_id", "parent_score")
+
+    def search(some: DataFrame) -> DataFrame:
+        return _retrieve(some, parents, children, top_parents, top_children, min_score, alpha)
+
+    return _in_blocks(queries, "query_id", search)
+
+
+def _retrieve(queries: DataFrame, parents: DataFrame, children: DataFrame, top_parents: int, top_children: int, min_score: float, alpha: float) -> DataFrame:
+    hits = _block_top_k(queries, parents, top_parents, query_vec="query_vec", query="query_id", vec="parent_vec", id_="parent_id", score="parent_score").select("query_id", "parent_id", "parent_score")
     hits = hits.join(F.broadcast(queries.select("query_id", "query_vec")), "query_id")
     found = children_of(hits, children, top_children, query_vec="query_vec").where(F.col("child_score") >= min_score)
     return found.withColumn("score", V.rescored(F.col("child_score"), F.col("parent_score"), alpha))

@@ -194,3 +194,17 @@ def test_stream(spark, tmp_path):
 def test_stats(spark):
     df = spark.createDataFrame([(0,)], "x int").where("x > 0")
     assert stats.ingest_stats(df, F.col("x") > 0, F.col("x") < 0).first().success_rate == 0
+
+
+def test_top_k_of_more_queries_than_a_block(spark, monkeypatch):
+    """Queries beyond a block are searched like those of one."""
+    from quillspark.operators import retrieval
+
+    points = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(12)], "point_id long, vec array<double>")
+    queries = spark.createDataFrame([(i, [1.0, i / 25]) for i in range(25)], "query_id long, query_vec array<double>")
+    parents = points.selectExpr("point_id as parent_id", "vec as parent_vec")
+    children = points.selectExpr("point_id % 3 as parent_id", "point_id", "vec")
+    search = lambda: (sorted(map(str, retrieval.top_k(queries, points, 2).collect())), sorted(map(str, retrieval.retrieve(queries, parents, children).collect())))
+    want = search()
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
+    assert search() == want and len(want[0]) == 50
