@@ -56,11 +56,11 @@ def guard(spark: SparkSession, sql: str, tables: set[str]) -> bool:
     return root == "GlobalLimit"
 
 
-def ask(spark: SparkSession, sql: str, tables: set[str], *, limit: int = LIMIT, args: dict | None = None) -> DataFrame:
-    """A guarded query, limited unless it limits itself."""
+def ask(spark: SparkSession, sql: str, tables: set[str], *, limit: int | None = LIMIT, args: dict | None = None) -> DataFrame:
+    """A guarded query, limited unless it limits itself or limit is None."""
     limited = guard(spark, sql, tables)
     df = spark.sql(sql, args=args) if args else spark.sql(sql)
-    return df if limited else df.limit(limit)
+    return df if limited or limit is None else df.limit(limit)
 
 
 def within(spark: SparkSession, df: DataFrame, seconds: float = TIMEOUT_S) -> list:

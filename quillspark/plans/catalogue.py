@@ -372,10 +372,10 @@ def _team(spark, sf_dir):
 _TEAM = "team as (select n_nationkey as id, n_name as name, case when n_regionkey = 1 then 'maintainer' else 'core-dev' end as role from nation), modules as (select s_name as name, s_nationkey as owner_id from supplier)"
 
 
-def _asked(spark, sf_dir, question):
+def _asked(spark, sf_dir, question, limit=sqlqa.LIMIT):
     _team(spark, sf_dir)
     sql, args = sqlqa.template(question)
-    return sqlqa.ask(spark, sql, {"team", "modules"}, args=args)
+    return sqlqa.ask(spark, sql, {"team", "modules"}, limit=limit, args=args)
 
 
 @query(f"with {_TEAM} select name from team where role = 'maintainer' order by id limit 1")
@@ -395,7 +395,7 @@ def nlsql_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question after an owner's modules, the name as a parameter."""
     _team(spark, sf_dir)
     name = spark.sql("select name from team where role = 'maintainer' order by id limit 1").first()[0]
-    return _asked(spark, sf_dir, f"Какие модули у maintainer {name}?").limit(1_000_000)
+    return _asked(spark, sf_dir, f"Какие модули у maintainer {name}?", limit=None)
 
 
 @query(f"with {_TEAM}, r as (select count(*) as n from team where role = 'core-dev') select 1::bigint as n_rows, cast(case when n = 0 then 0.3 else 0.9 end as double) as confidence from r")

@@ -208,3 +208,12 @@ def test_top_k_of_more_queries_than_a_block(spark, monkeypatch):
     want = search()
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 10)
     assert search() == want and len(want[0]) == 50
+
+
+def test_modules_beyond_the_default_limit(spark, tmp_path):
+    """The registered question has no limit in its SQL, so more than 100 modules come back."""
+    from quillspark.plans.catalogue import QUERIES
+
+    spark.createDataFrame([(1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(f"m{i}", 1) for i in range(150)], "s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert QUERIES["nlsql_modules"](spark, str(tmp_path)).count() == 150
