@@ -18,10 +18,10 @@ from quillspark.llm.textnum import Words, mixed, space_words, text_slices
 SHARE, LEAST_COMMON = 100_000, 200
 #: Words that a map task gathers before it sums them up and sends them on.
 GATHER = 1_000_000
-_ROUTED = "bucket int, blob binary"
+ROUTED = "bucket int, blob binary"
 
 
-def _bucket(h: np.ndarray, parts: int) -> np.ndarray:
+def bucket_of(h: np.ndarray, parts: int) -> np.ndarray:
     return (mixed(h) >> np.uint64(33)).astype(np.int64) % parts
 
 
@@ -45,23 +45,28 @@ def _narrow(n: np.ndarray) -> np.ndarray:
     return n.astype(np.uint16 if not len(n) or n.max() < 1 << 16 else np.uint32)
 
 
-def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFrame, int]:
-    """(id, th, part_known, part_score) of each id and text, and the number of distinct training words.
+def columns(blob: bytes, *kinds) -> list[np.ndarray]:
+    """Columns of the given kinds of a packed blob."""
+    out, at = [], 8
+    for kind in kinds:
+        size = int(np.frombuffer(blob, np.int64, 1, at)[0])
+        out.append(np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at + 8))
+        at += 8 + size
+    return out
 
-    src: id (long), th, text, train, none null. part_score adds up log10(c + 1)
-    over a document's words, without ends; for r equal rows both are r-fold.
-    """
 
-    def counted(batches):
-        for h, row, _, _, train in _lots(batches):
-            h, n = np.unique(h[train[row]], return_counts=True)
-            b = _bucket(h, parts)
-            order = np.argsort(b, kind="stable")
-            h, n, b = h[order], n[order], b[order]
-            first = _runs(b) if len(b) else []
-            yield from _rows([(int(b[lo]), _pack(h[lo:hi], _narrow(n[lo:hi]))) for lo, hi in zip(first, np.append(first[1:], len(b)))])
+def count_blobs(h: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """Counts of distinct hashes, one blob for each partition of hashes."""
+    h, n = np.unique(h, return_counts=True)
+    b = bucket_of(h, parts)
+    order = np.argsort(b, kind="stable")
+    h, n, b = h[order], n[order], b[order]
+    first = _runs(b) if len(b) else []
+    return [(int(b[lo]), _pack(h[lo:hi], _narrow(n[lo:hi]))) for lo, hi in zip(first, np.append(first[1:], len(b)))]
+
 
-    least = max(LEAST_COMMON, train_tokens // SHARE)
+def common_items(blobs: DataFrame, least: int, parts: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(sorted hashes that occur more than `least` times, their counts, distinct hashes, occurrences of hashes that occur twice or more) of counts' blobs."""
 
     def common(batches):
         lot = [_unpack(x.as_py(), np.uint64) for batch in batches for x in batch.column(1)]
@@ -70,14 +75,28 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
         h, k = np.unique(np.concatenate([x[0] for x in lot]), return_inverse=True)
         c = np.bincount(k, np.concatenate([x[1] for x in lot]).astype(float)).astype(np.int64)
         often = c > least
-        out = [(h[often].tobytes(), c[often].tobytes(), len(h))]
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.int64())], names=["h", "c", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array([h[often].tobytes()], pa.binary()), pa.array([c[often].tobytes()], pa.binary()), pa.array([len(h)], pa.int64()), pa.array([int(c[c > 1].sum())], pa.int64())], names=["h", "c", "v", "again"])
 
-    found = src.mapInArrow(counted, _ROUTED).repartition(parts, "bucket").mapInArrow(common, "h binary, c binary, v long").collect()
+    found = blobs.repartition(parts, "bucket").mapInArrow(common, "h binary, c binary, v long, again long").collect()
     keys = np.concatenate([np.frombuffer(r.h, np.uint64) for r in found] or [np.zeros(0, np.uint64)])
     counts = np.concatenate([np.frombuffer(r.c, np.int64) for r in found] or [np.zeros(0, np.int64)])
     order = np.argsort(keys)
-    held = src.sparkSession.sparkContext.broadcast((keys[order], counts[order]))
+    return keys[order], counts[order], sum(r.v for r in found), sum(r.again for r in found)
+
+
+def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFrame, int]:
+    """(id, th, part_known, part_score) of each id and text, and the number of distinct training words.
+
+    src: id (long), th, text, train, none null. part_score adds up log10(c + 1)
+    over a document's words, without ends; for r equal rows both are r-fold.
+    """
+
+    def counted(batches):
+        for h, row, _, _, train in _lots(batches):
+            yield from _rows(count_blobs(h[train[row]], parts))
+
+    keys, counts, distinct, _ = common_items(src.mapInArrow(counted, ROUTED), max(LEAST_COMMON, train_tokens // SHARE), parts)
+    held = src.sparkSession.sparkContext.broadcast((keys, counts))
 
     def parts_of(ids, ths, known, score):
         dest = (mixed(ids.view(np.uint64) ^ ths.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % parts
@@ -102,7 +121,7 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
             score = np.bincount(row[often], n[often] * np.log10(counts[at[often]] + 1.0), len(ids))
             out = parts_of(ids, ths, known, score)
             h, row, n = h[~often], row[~often], n[~often]
-            b = _bucket(h, parts)
+            b = bucket_of(h, parts)
             order = np.lexsort((h, row, b))
             h, row, n, b = h[order], row[order], n[order], b[order]
             begin = _runs(b) if len(b) else []
@@ -142,11 +161,7 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
         lot = []
         for batch in batches:
             for x in batch.column(1):
-                raw, at, cols = x.as_py(), 8, []
-                for kind in (np.int64, np.int64, np.int64, np.float64):
-                    size = int(np.frombuffer(raw, np.int64, 1, at)[0])
-                    cols.append(np.frombuffer(raw, kind, size // 8, at + 8))
-                    at += 8 + size
+                cols = columns(x.as_py(), np.int64, np.int64, np.int64, np.float64)
                 lot.append(cols)
         if not lot:
             return
@@ -155,5 +170,5 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
         first = _runs(ids[order], ths[order])
         yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(ths[order][first]), pa.array(np.add.reduceat(known[order], first)), pa.array(np.add.reduceat(score[order], first))], names=["id", "th", "part_known", "part_score"])
 
-    out = src.mapInArrow(dealt, _ROUTED).repartition(parts, "bucket").mapInArrow(summed, _ROUTED).repartition(parts, "bucket")
-    return out.mapInArrow(merged, "id long, th long, part_known long, part_score double"), sum(r.v for r in found)
+    out = src.mapInArrow(dealt, ROUTED).repartition(parts, "bucket").mapInArrow(summed, ROUTED).repartition(parts, "bucket")
+    return out.mapInArrow(merged, "id long, th long, part_known long, part_score double"), distinct
