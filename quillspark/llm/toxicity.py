@@ -12,7 +12,9 @@ Words: A-Z lower-cased, `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`, so marks around
 a word do not hide it. Defined cases: a null or empty text has the intercept's
 score; labels that are null or lack a document teach nothing; several labels of
 a document count as toxic if any is; without both classes the score is the
-share of toxic rows (0 if there are none). Only the text enters a score.
+share of toxic rows (0 if there are none); repeated rows are scored one by one,
+and each labelled copy teaches; texts of any length are taken whole; an empty
+table gives no rows; further columns stay. Only the text enters a score.
 """
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ from quillspark.llm.textnum import U, Words, mixed, plain_words, text_slices
 MAX_ROWS = 8_000
 #: Learning rate, its damping, L1 and L2 strength, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 0.3, 8
-#: Features in fewer sampled rows than this cannot outgrow L1 and are left out.
-MIN_ROWS = 5
 
 
 def _features(w: Words) -> list[np.ndarray]:
@@ -47,19 +47,14 @@ def _features(w: Words) -> list[np.ndarray]:
     return [low[a:b] for a, b in zip(cut[:-1], cut[1:])]
 
 
-def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS, min_rows=MIN_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
+def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1, l2=L2, epochs=EPOCHS) -> tuple[float, np.ndarray, np.ndarray]:
     """(intercept, sorted feature hashes, their weights) from (label, features) rows."""
     toxic = sum(y for y, _ in rows)
     empty = np.zeros(0, np.uint32), np.zeros(0, np.float64)
     if not toxic or toxic == len(rows):
         return (40.0 if toxic else -40.0), *empty
-    found, count = np.unique(np.concatenate([x for _, x in rows]), return_counts=True)
-    found = found[count >= min_rows]
-    places = []
-    for _, x in rows:
-        k = np.searchsorted(found, x).astype(np.int32)
-        k[k == len(found)] = 0
-        places.append(np.append(k[found[k] == x] if len(found) else k[:0], np.int32(len(found))))
+    found = np.unique(np.concatenate([x for _, x in rows]))
+    places = [np.append(np.searchsorted(found, x).astype(np.int32), np.int32(len(found))) for _, x in rows]
     z, n = np.zeros(len(found) + 1), np.zeros(len(found) + 1)
 
     def weight(zi, ni, last):
