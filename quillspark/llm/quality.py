@@ -5,14 +5,18 @@ a document first. The verdict on the rest comes from thresholds that adapt to
 each language and source: a log-binned quantile sketch of every measure
 (relative error 1 %; bins merge by adding counts, so map-side sums are small
 whatever a source's share) gives quartiles, and the fences are the quartiles
-plus or minus REACH times their distance, of which a least width is assumed. A
-language and source of fewer than LEAST_ROWS documents uses its language's
-sketch, a small language the one of all documents; both are merged from the
-same bins. Fences are joined back to the measures.
+plus or minus REACH times their distance, of which a least width is assumed.
+Quartiles of every language and source come from its own sketch, drawn towards
+those of its language by SHRINK documents' weight, and a language's are drawn
+towards those of all documents alike; so a group of any size has thresholds of
+its own, and the fewer documents it has, the nearer they are to its parent's. The
+wider sketches are merged from the same bins. Fences are joined back to the
+measures.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Defined cases: a null or empty text has no
 words and fails the base rules; null languages and sources are groups of their
-own; repeated rows count each time; further columns are passed over.
+own; repeated rows count each time; texts of any length are measured whole; an
+empty table gives no rows; further columns are passed over.
 """
 import math
 
@@ -26,8 +30,8 @@ from quillspark.llm.texts import SPACE_CHARS, join_small, space_words
 SYMBOLS, RUN = "#*$%&|<>", 5
 #: Base rules: least words, most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 10, 20
-#: Ratio of a sketch's neighbouring bins, distance of the fences, rows for a sketch of its own.
-GAMMA, REACH, LEAST_ROWS = 1.02, 3.0, 200
+#: Ratio of a sketch's neighbouring bins, distance of the fences, documents that a wider sketch counts for.
+GAMMA, REACH, SHRINK = 1.02, 3.0, 50
 #: Measures: least quartile distance, whether low values fail too.
 MEASURES = {"symbols": (0.05, False), "dup_lines": (0.15, False), "word_length": (0.75, True)}
 _ZERO = -1_000_000
@@ -96,8 +100,9 @@ def fences(bins: DataFrame) -> DataFrame:
     wider = quartiles(["lang"]).select("lang", "measure", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
     widest = quartiles([]).select("measure", *[F.col(c).alias(f"g_{c}") for c in ("q1", "q3")])
     both = own.join(wider, ["lang", "measure"]).join(F.broadcast(widest), "measure")  # a row for each measure
-    pick = lambda c: F.when(F.col("rows") >= LEAST_ROWS, F.col(c)).when(F.col("l_rows") >= LEAST_ROWS, F.col(f"l_{c}")).otherwise(F.col(f"g_{c}"))
-    both = both.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    drawn = lambda n, near, far: (F.col(n) * F.col(near) + SHRINK * far) / (F.col(n) + SHRINK)
+    pick = lambda c: drawn("rows", c, drawn("l_rows", f"l_{c}", F.col(f"g_{c}"))).alias(c)
+    both = both.select("lang", "source", "measure", pick("q1"), pick("q3"))
     out = []
     for k, (least, two) in MEASURES.items():
         reach = REACH * F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
