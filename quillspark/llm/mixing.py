@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.session import cut
+from quillspark.llm.session import cut, parts_for
 from quillspark.llm.texts import n_space_words, space_words
 
 #: Weights by a source's rank, most times a source is repeated.
@@ -73,11 +73,10 @@ def plan(sources: DataFrame, block_words: int = BLOCK_WORDS, most: int = MOST) -
     return out.withColumn("slots", F.sum("q").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).withColumn("first_slot", upto - F.col("q"))
 
 
-def draws(planned: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """rank, block, shard, slot: every drawn block and its place in the output."""
-    parts = planned.where("q > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("q") - 1) / RANGE))).alias("hi"))
-    parts = parts.repartition(F.col("rank"), F.col("hi"))
-    each = parts.select("*", F.explode(F.sequence(F.col("hi") * RANGE, F.least(F.col("q"), (F.col("hi") + 1) * RANGE) - 1)).alias("m"))
+def draws(planned: DataFrame, seed: int = SEED, shard_slots: int = SHARD_SLOTS, parts: int = 200) -> DataFrame:
+    """rank, block, shard, slot: every drawn block and its place in the output. Slots unfold in `parts` partitions."""
+    ranges = planned.where("q > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("q") - 1) / RANGE))).alias("hi"))
+    each = ranges.repartition(parts, "rank", "hi").select("*", F.explode(F.sequence(F.col("hi") * RANGE, F.least(F.col("q"), (F.col("hi") + 1) * RANGE) - 1)).alias("m"))
     epoch = F.floor(F.col("m") / F.col("n"))
     block = permuted(F.pmod("m", "n"), F.col("n"), F.xxhash64(F.lit(seed), F.col("rank"), epoch))
     at = permuted(F.col("first_slot") + F.col("m"), F.col("slots"), F.xxhash64(F.lit(seed)))
@@ -127,7 +126,7 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     # rows equal in id, size and text are alike, so both scans pack them alike
     blocks = contents(spread(docs.select(*own, F.array_join(space_words(text), " ").alias("all"))), block_words)
     # slots unfold from a few rows, so Spark would take the draws for small and broadcast them
-    drawn = cut(blocks.join(draws(sources, seed).hint("merge"), ["rank", "block"]).select("rank", "block", "shard", "slot", "pieces"))
+    drawn = cut(blocks.join(draws(sources, seed, parts=parts_for(docs.select(text_col), 8 << 20)).hint("merge"), ["rank", "block"]).select("rank", "block", "shard", "slot", "pieces"))
     got = drawn.select("rank", F.explode("pieces").alias("x")).groupBy("rank", "x.chunk", "x.row").agg(F.sum("x.words").alias("got"))
     taken = spread(sizes).join(got.hint("merge"), ["rank", "chunk", "row"], "left").withColumn("taken", F.coalesce("got", F.lit(0)).cast("long"))
     return drawn, taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
