@@ -2,16 +2,20 @@
 
 The benchmark is read in blocks of bounded size. Each block's windows of
 `window` normalised words are broadcast as a sorted array of hashes; the
-documents are scanned once for each block, in one chain of narrow maps with no
-shuffle, and each hash hit is verified against the window's bytes.
+documents are scanned by a narrow map with no shuffle, and each hash hit is
+verified against the window's bytes. Where the benchmark has more than one block,
+what is marked is written to the shared folder between two blocks' scans, so a
+task never holds more than one block's index.
 
 Words: A-Z lower-cased, then `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`. An item of
 fewer words than a window, but not none, is one window.
 
 Defined cases: a null or empty text has no words; a null item text has no
 windows; a null item id marks words but is not listed; repeated rows are judged
-one by one; further columns of the inputs are passed over by `find_overlap` and
-kept by `remove_overlap`, whatever their names.
+one by one; an item that is repeated is listed once; texts of any length are
+scanned whole; an empty benchmark marks nothing, an empty table gives no rows;
+further columns of the inputs are passed over by `find_overlap` and kept by
+`remove_overlap`, whatever their names.
 """
 from collections.abc import Iterator
 
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.llm.session import cut
 from quillspark.llm.textnum import Words, covered, lowered, plain_words, span_hash, text_slices
 
 WINDOW = 10
@@ -132,9 +137,11 @@ def _mark(df: DataFrame, at: int, benchmark: DataFrame, item_col: str, bench_tex
 
         return each
 
+    marked = None
     for block in _blocks(benchmark, item_col, bench_text, block_words) if benchmark.take(1) else [[]]:
-        df = df.mapInArrow(scan(sc.broadcast(window_index(block, window))), inner)
-    return df
+        # what an earlier block marked is written first, so a task holds the index of one block
+        marked = (df if marked is None else cut(marked)).mapInArrow(scan(sc.broadcast(window_index(block, window))), inner)
+    return marked
 
 
 def find_overlap(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
