@@ -9,7 +9,9 @@ scan; the weights are an array literal of fixed size.
 
 Defined cases: a null url or one without `://` has an empty host and path, fits
 no rule and gets the model's verdict for them (its intercept); long urls are
-taken whole (n-grams come from one linear pass); further columns stay.
+taken whole (n-grams come from one linear pass); repeated rows are judged one by
+one; an empty table gives no rows, an empty labelled table a score of a half;
+further columns stay, whatever their names.
 """
 import math
 
@@ -49,9 +51,9 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "block") -> tuple[float, list[float]]:
-    """Intercept and bucket weights from labelled urls (block: 0 or 1), at most MOST_ROWS of them."""
+    """Intercept and bucket weights from labelled urls (block: 0 or 1), the first MOST_ROWS of them by a hash."""
     u = labelled.select(F.col(url_col).alias("u"), F.col(label_col).cast("int").alias("y")).where("y is not null")
-    rows = u.select("y", grams(host_of(F.col("u")), path_of(F.col("u"))).alias("g")).limit(MOST_ROWS).collect()
+    rows = u.select("y", grams(host_of(F.col("u")), path_of(F.col("u"))).alias("g"), F.xxhash64("u").alias("o"), "u").orderBy("o", "u", "y").limit(MOST_ROWS).collect()
     data = sorted((r.y, tuple(sorted(r.g))) for r in rows)
     w, bias = [0.0] * BUCKETS, 0.0
     for _ in range(STEPS if data else 0):
@@ -71,16 +73,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[floa
     """pages with host, path, rule, block_score and verdict at the end; columns of these names are replaced."""
     bias, weights = model
     held = F.array(*[F.lit(float(x)) for x in weights])
-    out = pages.withColumn("host", F.coalesce(host_of(F.col(url_col)), F.lit(""))).withColumn("path", F.coalesce(path_of(F.col(url_col)), F.lit("")))
+    names = pages.schema.names
+    out = pages.toDF(*[f"c{i}" for i in range(len(names))])
+    url = F.col(f"c{names.index(url_col)}")
+    out = out.withColumn("host", F.coalesce(host_of(url), F.lit(""))).withColumn("path", F.coalesce(path_of(url), F.lit("")))
     rule, ruled = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: (len(r[1] + r[2]), r)):
         fits = ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
         rule, ruled = F.when(fits, F.lit(host + path)).otherwise(rule), F.when(fits, F.lit(verdict)).otherwise(ruled)
-    out = out.withColumn("_grams", grams(F.col("host"), F.col("path")))
-    total = F.aggregate("_grams", F.lit(0.0), lambda a, g: a + F.get(held, g))
-    margin = F.lit(bias) + total / F.sqrt(F.greatest(F.size("_grams"), F.lit(1)))
+    out = out.withColumn("grams", grams(F.col("host"), F.col("path")))
+    total = F.aggregate("grams", F.lit(0.0), lambda a, g: a + F.get(held, g))
+    margin = F.lit(bias) + total / F.sqrt(F.greatest(F.size("grams"), F.lit(1)))
     out = out.withColumn("rule", rule).withColumn("block_score", 1 / (1 + F.exp(-margin)))
-    return out.withColumn("verdict", F.coalesce(ruled, F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))).drop("_grams")
+    out = out.withColumn("verdict", F.coalesce(ruled, F.when(F.col("block_score") >= threshold, "block").otherwise("allow")))
+    new = ["host", "path", "rule", "block_score", "verdict"]
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names) if c not in new], *new)
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
