@@ -17,18 +17,33 @@ def test_licences_query(spark, sf):
 
 
 def test_licences_rules(make, odd_rows):
+    import textwrap
+
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    bsd = "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at x."
+    wrap = lambda t, w, mark="": "\n".join(mark + x for x in textwrap.wrap(t, w))
     rows = [
-        (50, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. The above copyright notice and this permission notice shall be included in all copies."),
-        (51, "Intro.\nRELEASED under the   MIT License!\nLicensed under CC BY-NC 4.0."),
-        (52, "All rights reserved. Something between. Redistribution and use in source and binary forms, with or without modification, are permitted."),
-        (53, "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted."),
+        (50, mit),
+        (51, "Intro without an end\nRELEASED under the   MIT License!\nLicensed under CC BY-NC 4.0."),
+        (52, "Some title\n\n" + wrap(mit, 72, "// ")),
+        (53, wrap(gpl, 40, " * ")),
+        (54, bsd),
+        (55, "All rights reserved."),
+        (56, wrap(mpl, 60)),
+        (57, "Permission is hereby granted to nobody."),
     ]
     got = {r.doc_id: r for r in licenses.scan(make([*odd_rows, *rows])).collect()}
-    assert (got[50].licence, got[50].sentence_ids) == ("mit", ",8,9,")
+    assert (got[50].licence, got[50].sentence_ids) == ("mit", ",10,11,")
     assert got[51].licences == "mit;cc-by-nc-4.0" and got[51].n_known == 2
-    assert got[53].licences == "bsd;proprietary" and got[52].licence == "bsd"
+    assert got[52].licence == "mit" and got[52].n_known == 0 and ",10,11," in got[52].wrapped_ids
+    assert (got[53].licence, got[53].kind) == ("gpl-3.0-or-later", "copyleft")
+    assert got[54].licences == "bsd;proprietary" and got[55].licence == "proprietary" and got[56].licence == "mpl-2.0"
+    assert got[57].licence is None
     for i in (1, 2, 3):
         assert (got[i].n_sentences, got[i].licence, got[i].licences) == (0, None, "")
+    assert got[7].n_sentences == 1 and len(got) == len({i for i, *_ in odd_rows}) + len(rows)
     assert licenses.scan(make([])).count() == 0
 
 
