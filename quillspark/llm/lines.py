@@ -2,23 +2,44 @@
 
 Lines (cut at line feeds) are normalised: lower-cased, each run of ASCII
 characters other than letters and digits becomes one space, trimmed. Equal
-normal forms collapse by a 128-bit key. Each form has a 64-bit SimHash over its
-words (a tied bit comes from the least and the greatest word hash). Forms whose
-SimHashes differ by at most RADIUS = 3 bits are candidates: of five blocks of
-12 or 13 bits two must agree, so distinct SimHashes meet in equi-joins on the
-ten pairs of blocks. Candidates are verified by edit similarity of the normal
-forms (LEAST = 0.8 or more): by characters up to CHARS characters, beyond that
-by words, each coded as one character. Verified links make components, and of
-each component the first occurrence (by id, then line) stays.
+normal forms collapse by a 128-bit key.
+
+A form's features are its pairs of neighbouring words, with an edge at either
+end. Features are dealt to PARTS = 12 parts by their hash, and each part is hashed
+by itself. An edit touches the parts of the few features that it changes and
+leaves the others as they are, so by the pigeonhole principle two forms with
+fewer changed features than parts agree in a block:
+
+* a block of a form of LONG words or more is one part;
+* a block of a form of up to SHORT words is two of the six pairs of parts.
+
+A block must hold CHARS characters or more (all of the form, if it has fewer) and
+one in SHARE of the form's, so that a few common words are no block. A SimHash in the plain sense, bits by the
+majority of all features of a line, cut into blocks of bits, misses nine of ten
+lines of edit similarity 0.8 at three bits, as each feature moves every bit. Here
+each block has features of its own, and all but the touched ones stay equal.
+
+Forms that agree in a block are candidates, verified by edit similarity of the
+normal forms (LEAST = 0.8 or more, by characters, whatever their length).
+Verified links make components, and of each component the first occurrence (by
+id, then line) stays.
+
+In a bucket (the forms of one block) all are compared with the form that occurs
+most often; then only forms outside of the bucket's largest component with those
+of other components, so a crowd of near copies costs rows in proportion to it.
+Forms of a crowd that are not similar to each other share no block unless they
+share runs of words.
 
 Texts are dealt out once by document, so that words unfold and are summed up in
-place; the search itself shuffles keys and SimHashes only.
-Candidate texts and the lines to remove come back to one more scan, broadcast if
-their counted rows are few, by a shuffle join beyond that.
+place; the search itself shuffles keys only. Texts of candidates and the lines to
+remove come back to one more scan, broadcast if their counted places are few, by
+a shuffle join beyond that.
 
 Defined cases: a null text has no lines and stays null; lines without letters or
 digits always stay; rows equal in id and text are one document; a null id sorts
-first; forms of equal SimHash are verified like others; further columns stay.
+first; of ties (equal ids) the smaller text hash is first; an empty table gives
+no rows; a text or line of any length is treated alike; further columns stay,
+whatever their names.
 """
 from itertools import combinations
 
@@ -26,12 +47,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.session import cut, parts_for
-
-RADIUS, LEAST, CHARS = 3, 0.8, 200
-#: Bit ranges of the five blocks; two of them agree if at most three bits differ.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: Rows that a broadcast of line places may have.
+from quillspark.llm.session import cut, drop_cut, parts_for
+
+LEAST = 0.8
+#: Parts of a form's features; words from which one part is a block, and up to which two pairs of parts are.
+PARTS, LONG, SHORT = 12, 16, 20
+#: Characters that a block's features have at least (all of the form, if it has fewer), and their least share: one in SHARE.
+CHARS, SHARE = 14, 30
+#: Bits of a feature's hash: sums of 2 ** 27 of them fit into a long, more than a string of 2 GB has.
+HASH_BITS = 36
+#: Line places that a broadcast may have.
 FEW = 1_000_000
 
 
@@ -44,23 +69,38 @@ def normal(line: Column) -> Column:
     return F.array_join(line_words(line), " ")
 
 
-def simhashes(forms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and sim, the 64 majority bits over the hashes of a normal form's words, of rows (keys, words) dealt by some of the keys.
+def _parts(forms: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, p0.. and c0.. of rows (keys, words) dealt by some of the keys: for each part the sum of its features' hashes, and for each two parts their characters.
 
-    Words unfold and are summed where they are. A long sums the counters of two
-    bits, 32 bits apart.
+    Features unfold and are summed where they are.
     """
+    edge = F.array(F.lit(""))
+    both = forms.select(*keys, F.concat(edge, "words").alias("a"), F.concat("words", edge).alias("b"))
     # an outer explode, as a plain one makes Spark cut the texts once more for a filter
-    words = forms.select(*keys, F.explode_outer("words").alias("w")).where("w is not null").select(*keys, F.xxhash64("w").alias("h"))
-    both = F.lit(1 << 32 | 1)
-    sums = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(both)).alias(f"s{k}") for k in range(32)]
-    counted = words.groupBy(*keys).agg(*sums, F.min("h").alias("lo"), F.max("h").alias("hi"), F.count("*").alias("n")).withColumn("tie", F.xxhash64("lo", "hi"))
-    sim = F.lit(0).cast("long")
-    for b in range(64):
-        count = F.shiftrightunsigned(f"s{b % 32}", 32 * (b // 32)).bitwiseAND(F.lit((1 << 32) - 1))
-        one = F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")
-        sim = sim.bitwiseOR(F.when(2 * count > F.col("n"), one).when(2 * count == F.col("n"), F.col("tie").bitwiseAND(one)).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, sim.alias("sim"))
+    pairs = both.select(*keys, F.explode_outer(F.arrays_zip("a", "b")).alias("x")).where("x is not null and (x.a <> '' or x.b <> '')")
+    hashed = pairs.select(*keys, F.xxhash64("x.a", "x.b").alias("h"), (F.char_length("x.a") + F.char_length("x.b")).alias("chars"))
+    dealt = hashed.select(*keys, F.pmod(F.shiftrightunsigned("h", 44), F.lit(PARTS)).cast("int").alias("part"), F.col("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("h"), "chars")
+    none = F.lit(0).cast("long")
+    mine = [F.sum(F.when(F.col("part") == p, F.col("h")).otherwise(none)).alias(f"p{p}") for p in range(PARTS)]
+    # a long sums the characters of two parts, 32 bits apart
+    wide = F.when(F.col("part") % 2 == 0, F.col("chars").cast("long")).otherwise(F.shiftleft(F.col("chars").cast("long"), 32))
+    return dealt.select("*", wide.alias("wide")).groupBy(*keys).agg(*mine, *[F.sum(F.when(F.shiftright("part", 1) == c, F.col("wide")).otherwise(none)).alias(f"c{c}") for c in range(PARTS // 2)])
+
+
+def _block_keys(parts: DataFrame, keys: list[str], n_words: str) -> DataFrame:
+    """keys and the keys of the blocks of each form, of the columns of its parts."""
+    part = [F.col(f"p{p}") for p in range(PARTS)]
+    chars = [F.shiftrightunsigned(f"c{p // 2}", 32 * (p % 2)).bitwiseAND(F.lit((1 << 32) - 1)) for p in range(PARTS)]
+    known = parts.select(*keys, n_words, *part, *[c.alias(f"n{p}") for p, c in enumerate(chars)], sum(chars, F.lit(0).cast("long")).alias("all"))
+    known = known.withColumn("least", F.greatest(F.least(F.lit(CHARS), "all"), F.ceil(F.col("all") / SHARE)))
+    n = [F.col(f"n{p}") for p in range(PARTS)]
+    one = [F.when(n[p] >= F.col("least"), F.xxhash64(F.lit(p), part[p], n[p])) for p in range(PARTS)]
+    two = []
+    for i, j in combinations(range(0, PARTS, 2), 2):
+        four = (i, i + 1, j, j + 1)
+        two.append(F.when(sum((n[p] for p in four), F.lit(0)) >= F.col("least"), F.xxhash64(F.lit(i), F.lit(j), *[c for p in four for c in (part[p], n[p])])))
+    words = F.col(n_words)
+    return known.select(*keys, F.array_compact(F.when(words < LONG, F.array(*two)).when(words > SHORT, F.array(*one)).otherwise(F.array(*two, *one))).alias("keys"))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
@@ -69,141 +109,119 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k1, k2 (key of the normal form), id, th (hash of the text), line (from 0), sim of each line with letters or digits."""
-    dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th")
+    """k1, k2 (key of the normal form), id, th (hash of the text), line (from 0), keys (of its blocks) of each line with letters or digits."""
     # rows equal in id and text are one document
+    dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th").dropDuplicates(["id", "th"])
     lines = dealt.select("id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw")).where("raw is not null")
     forms = lines.select("id", "th", "line", line_words(F.col("raw")).alias("words"))
-    keyed = forms.select(F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), "words").alias("k2"), "id", "th", "line", "words")
-    return simhashes(keyed, ["k1", "k2", "id", "th", "line"])
-
-
-def _block_keys(sim: Column) -> Column:
-    """The ten keys of a SimHash, one for each pair of blocks."""
-    keys = []
-    for n, pair in enumerate(combinations(BLOCKS, 2)):
-        key = F.lit(n).cast("long")
-        for start, width in pair:
-            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << width) - 1)))
-        keys.append(key)
-    return F.array(*keys)
-
+    keys = ["id", "th", "line", "k1", "k2", "words_n"]
+    keyed = forms.select("id", "th", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), "words").alias("k2"), F.size("words").alias("words_n"), "words")
+    return _block_keys(_parts(keyed, keys), ["k1", "k2", "id", "th", "line"], "words_n")
 
-def _near(radius: int) -> Column:
-    return F.bit_count(F.col("s").bitwiseXOR(F.col("t"))) <= radius
 
+def buckets(forms: DataFrame, parts: int) -> DataFrame:
+    """key, form, pivot (the bucket's form that occurs most often) of blocks that two forms or more share. Rows are dealt by key once, for the pivots and the join."""
+    dealt = forms.select(F.explode("keys").alias("key"), F.col("k1").alias("form"), F.least("n", F.lit(1 << 20)).cast("int").alias("n")).repartition(parts, "key")
+    order = F.shiftleft(F.col("n").cast("long"), 40).bitwiseOR(F.col("form").bitwiseAND(F.lit((1 << 40) - 1)))
+    shared = dealt.groupBy("key").agg(F.max_by("form", order).alias("pivot"), F.count("*").alias("all")).where("all > 1")
+    return dealt.select("key", "form").join(shared.select("key", "pivot").hint("shuffle_hash"), "key")
 
-def buckets(sims: DataFrame, parts: int) -> DataFrame:
-    """key, sim, pivot (the key's least SimHash) of keys that two SimHashes or more share. Rows are dealt by key once, for the counts and the join."""
-    dealt = sims.select(F.explode(_block_keys(F.col("sim"))).alias("key"), "sim").repartition(parts, "key")
-    shared = dealt.groupBy("key").agg(F.min("sim").alias("pivot"), F.max("sim").alias("last")).where("pivot < last")
-    return dealt.join(shared.select("key", "pivot"), "key")
 
-
-def _word_code(form: Column) -> Column:
-    """A string with one character for each word, by 15 bits of its hash."""
-    codes = F.transform(F.split(form, " "), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x8000)) + 0x3400), 4, "0"))
-    return F.decode(F.unhex(F.array_join(codes, "")), "UTF-16BE")
-
-
-def similar(a: str, b: str, least: float = LEAST, chars: int = CHARS) -> Column:
+def similar(a: str, b: str, least: float = LEAST) -> Column:
     """Whether the edit similarity 1 - distance / longer length of two columns of normal forms is at least `least`."""
-
-    def verdict(x: str, y: str) -> Column:
-        long = f"greatest(char_length({x}), char_length({y}))"
-        most = f"cast(floor((1 - {least}) * {long} + 1e-9) as int)"
-        # a narrow band tells near forms at a fraction of the full band's cost
-        few = f"least({most}, 2 + cast({long} div 50 as int))"
-        return F.expr(f"abs(char_length({x}) - char_length({y})) <= {most} and (levenshtein({x}, {y}, {few}) >= 0 or levenshtein({x}, {y}, {most}) >= 0)")
-
-    return F.when((F.char_length(a) <= chars) & (F.char_length(b) <= chars), verdict(a, b)).otherwise(verdict(f"{a}_code", f"{b}_code"))
-
-
-def _join_counted(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    return big.join(F.broadcast(small) if small.count() <= FEW else small, on, how)
-
-
-def verified(docs: DataFrame, forms: DataFrame, pairs: DataFrame, *, id_col: str, text_col: str, least: float) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose forms are similar."""
-    key = F.struct("k1", "k2")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k.k1", "k.k2")
-    places = cut(forms.join(wanted, ["k1", "k2"]).groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), key.alias("k"))).alias("want")))
+    long = f"greatest(char_length({a}), char_length({b}))"
+    most = f"cast(floor((1 - {least}) * {long} + 1e-9) as int)"
+    # replacing words place by place is one way to edit, so it bounds the distance from above
+    word = "if(x <=> y, 0, greatest(coalesce(char_length(x), 0), coalesce(char_length(y), 0)) + if(x is null or y is null, 1, 0))"
+    placed = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> {word}), 0, (n, k) -> n + k) <= {most}"
+    # narrow bands tell near forms at a fraction of the full band's cost
+    bands = [f"least({most}, 16)", f"least({most}, 48 + cast({long} div 50 as int))", most]
+    return F.expr(f"abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or {' or '.join(f'levenshtein({a}, {b}, {band}) >= 0' for band in bands)})")
+
+
+def _join_few(big: DataFrame, small: DataFrame, places: str, how: str) -> DataFrame:
+    """big joined by `key` with a written table, which is broadcast if the lengths of its arrays `places` are few in all."""
+    n = small.agg(F.coalesce(F.sum(F.size(places) + 1), F.lit(0))).first()[0]
+    return big.join(F.broadcast(small) if n <= FEW else small, ["key"], how)
+
+
+def _texts(docs: DataFrame, forms: DataFrame, shared: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
+    """k, form of all forms that share a block."""
+    wanted = shared.select(F.col("form").alias("k1")).distinct()
+    found = forms.join(wanted, "k1", "left_semi")
+    places = cut(found.groupBy(F.struct("at.id", "at.th").alias("key")).agg(F.collect_list(F.struct(F.col("at.line").alias("line"), F.col("k1").alias("k"))).alias("want")))
     src = docs.select(*_keyed(docs, id_col, text_col)).select(F.struct("id", "th").alias("key"), "text")
-    got = _join_counted(src, places.select(F.struct("id", "th").alias("key"), "want"), ["key"], "inner")
+    got = _join_few(src, places, "want", "inner").select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w"))
     # rows equal in id and text give the same lines: any one of them will do
-    texts = got.select(F.split("text", "\n").alias("ls"), F.explode("want").alias("w")).select(F.col("w.k").alias("k"), normal(F.get("ls", F.col("w.line"))).alias("form")).dropDuplicates(["k"])
-    texts = cut(texts.withColumn("code", _word_code(F.col("form"))))
-    side = lambda k, x: texts.select(F.col("k").alias(k), F.col("form").alias(x), F.col("code").alias(f"{x}_code"))
-    return cut(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar("x", "y", least)).select("a", "b"))
+    out = cut(got.select(F.col("w.k").alias("k"), normal(F.get("ls", F.col("w.line"))).alias("form")).dropDuplicates(["k"]))
+    drop_cut(places)
+    return out
 
 
-def links(docs: DataFrame, occ: DataFrame, *, id_col: str, text_col: str, radius: int = RADIUS, least: float = LEAST) -> DataFrame:
-    """Links (a, b) of keys of different forms that join what all near pairs join.
+def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """(node, root) of forms (k1) that links join, as written tables. forms: k1, at, n, keys.
 
     First each bucket's members are compared with its pivot alone, and the links
     found make components. Then only members of different components are
     compared: in each bucket those outside of its largest component, with all
-    others. So a bucket of many near copies costs rows in proportion to it.
+    others but the pivot.
     """
-    if radius > 3:
-        raise ValueError("two of five blocks agree only if at most three bits differ")
-    forms = cut(occ.groupBy("k1", "k2").agg(F.min(F.struct("id", "th", "line")).alias("at"), F.min("sim").alias("sim")))
-    key = F.struct("k1", "k2")
-    own = forms.select("sim", key.alias("form"))
-    shared = cut(buckets(forms.select("sim").distinct(), parts_for(docs, 8 << 20)))
-    twins = cut(own.join(own.groupBy("sim").agg(F.min("form").alias("pivot"), F.max("form").alias("last")).where("pivot < last").select("sim", "pivot"), "sim"))
-
-    def expanded(sims: DataFrame) -> DataFrame:
-        return sims.join(own.select(F.col("sim").alias("s"), F.col("form").alias("a")), "s").join(own.select(F.col("sim").alias("t"), F.col("form").alias("b")), "t").select("a", "b")
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return verified(docs, forms, cut(pairs.distinct()), id_col=id_col, text_col=text_col, least=least)
-
-    first = shared.select(F.col("pivot").alias("s"), F.col("sim").alias("t")).where((F.col("s") < F.col("t")) & _near(radius)).distinct()
-    found = check(expanded(first).union(twins.where("pivot < form").select(F.col("pivot").alias("a"), F.col("form").alias("b"))))
+    parts = parts_for(docs, 8 << 20)
+    shared = cut(buckets(forms, parts))
+    texts = _texts(docs, forms, shared, id_col=id_col, text_col=text_col)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda k, x: texts.select(F.col("k").alias(k), F.col("form").alias(x))
+        return cut(both.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar("x", "y", least)).select("a", "b"))
+
+    found = verified(shared.select(F.col("pivot").alias("a"), F.col("form").alias("b")))
     member = cut(components(found))
-    placed = own.join(member.select(F.col("node").alias("form"), "root"), "form", "left").withColumn("root", F.coalesce("root", "form"))
-    # a SimHash belongs to a component if all its forms do; else it is one of its own and compared with all
-    of_sim = placed.groupBy("sim").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    of_sim = of_sim.select("sim", F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo.k1", "lo.k2")).otherwise(F.xxhash64("sim")).alias("comp"))
-
-    def stragglers(rows: DataFrame, bucket: str, item: str) -> DataFrame:
-        """(s, t) of items of one bucket and different components, at least one of them outside of the bucket's largest."""
-        sizes = rows.groupBy(bucket, "comp").agg(F.count("*").alias("n")).groupBy(bucket).agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-        mixed = rows.join(sizes.select(bucket, "main"), bucket)
-        out = mixed.where("comp <> main").select(bucket, F.col(item).alias("o"), F.col("comp").alias("oc"))
-        both = out.join(mixed, bucket).where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col(item))))
-        return both.select(F.least("o", item).alias("s"), F.greatest("o", item).alias("t"))
-
-    again = stragglers(shared.join(of_sim, "sim"), "key", "sim").where(_near(radius)).distinct()
-    again_twins = stragglers(twins.join(placed, ["sim", "form"]).withColumn("comp", F.xxhash64("root.k1", "root.k2")), "sim", "form")
-    more = check(expanded(again).union(again_twins.select(F.col("s").alias("a"), F.col("t").alias("b"))))
-    return found.union(more)
-
-
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = LEAST) -> DataFrame:
-    """id, th, gone: the lines (from 0) of each document that repeat an earlier line; documents without any are left out."""
+    placed = shared.join(member.select(F.col("node").alias("form"), "root"), "form", "left").select("key", "form", "pivot", F.coalesce("root", "form").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    # the pivot was compared with all of its bucket
+    mixed = cut(placed.where("form <> pivot").join(sizes.select("key", "main"), "key"))
+    out = mixed.where("comp <> main").select("key", F.col("form").alias("o"), F.col("comp").alias("oc"))
+    both = out.join(mixed, "key").where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("form"))))
+    more = verified(both.select(F.col("o").alias("a"), F.col("form").alias("b")))
+    # links of roots join whole components
+    root = member.select(F.col("node").alias("n"), "root")
+    ends = more.join(root.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(root.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    joined = components(ends)
+    upper = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    all_ = member.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    fresh = joined.join(member.select("node"), "node", "left_anti").select("node", "root")
+    done = cut(all_.union(fresh))
+    for t in (shared, texts, found, member, mixed, more):
+        drop_cut(t)
+    return done
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """key (id, th), gone: the lines (from 0) of each document that repeat an earlier line; documents without any are left out."""
     occ = cut(occurrences(docs, id_col=id_col, text_col=text_col))
-    member = components(links(docs, occ, id_col=id_col, text_col=text_col, radius=radius, least=least))
-    roots = member.select("node.k1", "node.k2", F.col("root.k1").alias("r1"), F.col("root.k2").alias("r2"))
     place = F.struct("id", "th", "line")
-    # one row for each form and the least place in it; forms with one place and no link are done
-    firsts = occ.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    linked = firsts.join(roots, ["k1", "k2"], "left").withColumn("r1", F.coalesce("r1", "k1")).withColumn("r2", F.coalesce("r2", "k2"))
-    owner = linked.groupBy("r1", "r2").agg(F.min("first").alias("keep"), F.sum("n").alias("all")).where("all > 1")
+    forms = cut(occ.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    member = links(docs, forms, id_col=id_col, text_col=text_col, least=least)
+    linked = forms.join(member.select(F.col("node").alias("k1"), "root"), "k1", "left").where("n > 1 or root is not null")
+    linked = linked.select("k1", "k2", "at", F.coalesce("root", "k1").alias("r1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("r2"))
+    owner = linked.groupBy("r1", "r2").agg(F.min("at").alias("keep"))
     known = linked.join(owner, ["r1", "r2"]).select("k1", "k2", "keep")
     drop = occ.join(known, ["k1", "k2"]).where(place != F.col("keep")).select("id", "th", "line")
-    return drop.groupBy("id", "th").agg(F.sort_array(F.collect_set("line")).alias("gone"))
+    out = cut(drop.groupBy(F.struct("id", "th").alias("key")).agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    for t in (occ, forms, member):
+        drop_cut(t)
+    return out
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, least: float = LEAST, report: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, report: bool = False) -> DataFrame:
     """docs with repeated lines cut out of the text; report: with columns n_lines and n_removed at the end."""
-    gone = cut(repeats(docs, id_col=id_col, text_col=text_col, radius=radius, least=least))
+    gone = repeats(docs, id_col=id_col, text_col=text_col, least=least)
     names = docs.schema.names
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     i, t = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
     keyed = inner.withColumn("key", F.struct(F.col(i).alias("id"), F.xxhash64(F.col(t).cast("string"), F.col(i).isNull()).alias("th")))
-    both = _join_counted(keyed, gone.select(F.struct("id", "th").alias("key"), "gone"), ["key"], "left")
+    both = _join_few(keyed, gone, "gone", "left")
     both = both.withColumn("lines", F.split(F.col(t).cast("string"), "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
     kept = F.array_join(F.transform(left, lambda n: F.get("lines", n)), "\n")
