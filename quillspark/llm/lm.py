@@ -46,7 +46,7 @@ from quillspark.llm import lm_memory
 from quillspark.llm.lm_base import ROUTED, base_scores
 from quillspark.llm.session import cut, parts_for
 from quillspark.llm.substring import _rows
-from quillspark.llm.textnum import U, Words, _process_cache, mixed, space_words, span_hash, text_slices
+from quillspark.llm.textnum import U, Words, _process_cache, mixed, one_blas_thread, space_words, span_hash, text_slices
 
 #: Directory and name of the subword vocabulary; pieces, end and start.
 TOKENIZERS, MODEL_FILE = "/opt/tokenizers", "piece_bpe_32k.model"
@@ -60,8 +60,8 @@ PRIOR = 6.0
 STEP_WINDOWS, RATE, SLOWER, TEXTS = 48, 0.015, 400, 256
 #: One word in PHRASE ends a phrase, of at most MOST_WORDS words.
 PHRASE, MOST_WORDS = 8, 256
-#: Windows in one batch of scoring, words kept with their pieces in a process, subwords of texts scored at once, compressed input bytes of a shard.
-BATCH, CACHED, AT_ONCE, SHARD = 64, 300_000, 200_000, 24 << 20
+#: Windows in one batch of scoring, words kept with their pieces in a process, subwords of texts scored at once, compressed input bytes of a partition and of a shard.
+BATCH, CACHED, AT_ONCE, EACH, SHARD = 64, 300_000, 200_000, 24 << 20, 4 << 20
 
 
 class Pieces:
@@ -408,6 +408,7 @@ def trained(toks: DataFrame, vocab: dict, p: dict, shards: int, parts: int, only
     src = src.where(F.col("shard") == only).repartition(1) if only is not None else src.repartition(shards, "shard")
 
     def each(batches):
+        one_blas_thread()
         vocab, p = held.value
         now, learner = None, None
 
@@ -456,6 +457,7 @@ def score_phrases(toks: DataFrame, vocab: dict, p: dict, memory: tuple, parts: i
     held = toks.sparkSession.sparkContext.broadcast((vocab, p, memory))
 
     def each(batches):
+        one_blas_thread()
         vocab, p, memory = held.value
         for batch in batches:
             key, th, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
@@ -480,7 +482,7 @@ def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str =
     with open(os.path.join(tokenizers, MODEL_FILE), "rb") as f:
         model = f.read()
     narrow = docs.select(id_col, text_col)
-    parts, shards = parts_for(narrow, SHARD), parts_for(narrow, SHARD, 1)
+    parts, shards = parts_for(narrow, EACH), parts_for(narrow, SHARD, 1)
     text = F.col(text_col).cast("string")
     src = docs.select(
         F.col(id_col).alias("id"),

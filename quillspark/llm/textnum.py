@@ -5,6 +5,7 @@ longer text is a slice by itself), so memory follows the slice and the longest
 single text, never the partition. All hashes are polynomials modulo 2**64 over
 random byte codes, finished by a 64-bit mixer.
 """
+import ctypes
 import sys
 import types
 
@@ -53,6 +54,24 @@ def _process_cache() -> dict:
     return sys.modules.setdefault("_quillspark_cache", types.ModuleType("_quillspark_cache")).__dict__
 
 
+def one_blas_thread() -> None:
+    """Keep numpy's matrix products to one thread in this process: tasks fill the cores already. Does nothing where the library is not known."""
+    cache = _process_cache()
+    if cache.get("one_thread"):
+        return
+    cache["one_thread"] = True
+    try:
+        with open("/proc/self/maps") as f:
+            libs = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for lib in libs:
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            call = getattr(ctypes.CDLL(lib), name, None)
+            if call:
+                call(1)
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base and of its inverse, modulo 2**64."""
     cache = _process_cache()
