@@ -13,7 +13,7 @@ fewer changed features than parts agree in a block:
 * a block of a form of LONG words or more is one part;
 * a block of a form of up to SHORT words is two of the six pairs of parts.
 
-A block must hold CHARS characters or more (all of the form, if it has fewer) and
+A block must hold CHARS bytes or more (all of the form, if it has fewer) and
 one in SHARE of the form's, so that a few common words are no block. A SimHash in the plain sense, bits by the
 majority of all features of a line, cut into blocks of bits, misses nine of ten
 lines of edit similarity 0.8 at three bits, as each feature moves every bit. Here
@@ -52,7 +52,7 @@ from quillspark.llm.session import cut, drop_cut, parts_for
 LEAST = 0.8
 #: Parts of a form's features; words from which one part is a block, and up to which two pairs of parts are.
 PARTS, LONG, SHORT = 12, 16, 20
-#: Characters that a block's features have at least (all of the form, if it has fewer), and their least share: one in SHARE.
+#: Bytes that a block's features have at least (all of the form, if it has fewer), and their least share: one in SHARE.
 CHARS, SHARE = 14, 30
 #: Bits of a feature's hash: sums of 2 ** 27 of them fit into a long, more than a string of 2 GB has.
 HASH_BITS = 36
@@ -60,17 +60,21 @@ HASH_BITS = 36
 FEW = 1_000_000
 
 
+#: What separates words: ASCII characters other than letters and digits.
+SEPARATORS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+
+
 def line_words(line: Column) -> Column:
-    """The words of a line's normal form."""
-    return F.array_remove(F.split(F.lower(line), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), "")
+    """The words of a line's normal form; one empty word if it has none."""
+    return F.split(F.btrim(F.lower(line), F.lit(SEPARATORS)), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 
 
 def normal(line: Column) -> Column:
     return F.array_join(line_words(line), " ")
 
 
-def _parts(forms: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, p0.. and c0.. of rows (keys, words) dealt by some of the keys: for each part the sum of its features' hashes, and for each two parts their characters.
+def _parts(forms: DataFrame, keys: list[str], n_words: str) -> DataFrame:
+    """keys, p0.. and c0.. of rows (keys, words) dealt by some of the keys: for each part the sum of its features' hashes, and for each two parts their bytes.
 
     Features unfold and are summed where they are.
     """
@@ -78,13 +82,17 @@ def _parts(forms: DataFrame, keys: list[str]) -> DataFrame:
     both = forms.select(*keys, F.concat(edge, "words").alias("a"), F.concat("words", edge).alias("b"))
     # an outer explode, as a plain one makes Spark cut the texts once more for a filter
     pairs = both.select(*keys, F.explode_outer(F.arrays_zip("a", "b")).alias("x")).where("x is not null and (x.a <> '' or x.b <> '')")
-    hashed = pairs.select(*keys, F.xxhash64("x.a", "x.b").alias("h"), (F.char_length("x.a") + F.char_length("x.b")).alias("chars"))
+    hashed = pairs.select(*keys, F.xxhash64("x.a", "x.b").alias("h"), (F.octet_length("x.a") + F.octet_length("x.b")).alias("chars"))
     dealt = hashed.select(*keys, F.pmod(F.shiftrightunsigned("h", 44), F.lit(PARTS)).cast("int").alias("part"), F.col("h").bitwiseAND(F.lit((1 << HASH_BITS) - 1)).alias("h"), "chars")
     none = F.lit(0).cast("long")
     mine = [F.sum(F.when(F.col("part") == p, F.col("h")).otherwise(none)).alias(f"p{p}") for p in range(PARTS)]
-    # a long sums the characters of two parts, 32 bits apart
+    # a long sums the bytes of two parts, 32 bits apart
     wide = F.when(F.col("part") % 2 == 0, F.col("chars").cast("long")).otherwise(F.shiftleft(F.col("chars").cast("long"), 32))
-    return dealt.select("*", wide.alias("wide")).groupBy(*keys).agg(*mine, *[F.sum(F.when(F.shiftright("part", 1) == c, F.col("wide")).otherwise(none)).alias(f"c{c}") for c in range(PARTS // 2)])
+    both = [F.sum(F.when(F.shiftright("part", 1) == c, F.col("wide")).otherwise(none)).alias(f"c{c}") for c in range(PARTS // 2)]
+    summed = dealt.select("*", wide.alias("wide")).groupBy(*keys).agg(*mine, *both, F.count("*").alias("n"))
+    # rows equal in id and text are one document, so each sum is as many times too large
+    copies = f"(n div ({n_words} + 1))"
+    return summed.select(*keys, *[F.expr(f"{c} div {copies}").alias(c) for c in summed.columns if c not in keys and c != "n"])
 
 
 def _block_keys(parts: DataFrame, keys: list[str], n_words: str) -> DataFrame:
@@ -110,13 +118,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 def occurrences(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k1, k2 (key of the normal form), id, th (hash of the text), line (from 0), keys (of its blocks) of each line with letters or digits."""
-    # rows equal in id and text are one document
-    dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th").dropDuplicates(["id", "th"])
+    dealt = docs.select(*_keyed(docs, id_col, text_col)).repartition(parts_for(docs, 4 << 20), "id", "th")
     lines = dealt.select("id", "th", F.posexplode_outer(F.split("text", "\n")).alias("line", "raw")).where("raw is not null")
     forms = lines.select("id", "th", "line", line_words(F.col("raw")).alias("words"))
     keys = ["id", "th", "line", "k1", "k2", "words_n"]
     keyed = forms.select("id", "th", "line", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit("second"), "words").alias("k2"), F.size("words").alias("words_n"), "words")
-    return _block_keys(_parts(keyed, keys), ["k1", "k2", "id", "th", "line"], "words_n")
+    return _block_keys(_parts(keyed, keys, "words_n"), ["k1", "k2", "id", "th", "line"], "words_n")
 
 
 def buckets(forms: DataFrame, parts: int) -> DataFrame:

@@ -61,7 +61,7 @@ STEP_WINDOWS, RATE, SLOWER, TEXTS = 48, 0.015, 400, 256
 #: One word in PHRASE ends a phrase, of at most MOST_WORDS words.
 PHRASE, MOST_WORDS = 8, 256
 #: Windows in one batch of scoring, words kept with their pieces in a process, subwords of texts scored at once, compressed input bytes of a partition and of a shard.
-BATCH, CACHED, AT_ONCE, EACH, SHARD = 64, 300_000, 200_000, 24 << 20, 4 << 20
+BATCH, CACHED, AT_ONCE, EACH, SHARD = 64, 300_000, 200_000, 8 << 20, 4 << 20
 
 
 class Pieces:
@@ -271,17 +271,36 @@ def start(vocab: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 _BACK = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_SEEN = (_BACK >= 0).astype(np.float32)
+#: Bound of exponents; far beyond what is learned.
+_MOST = np.float32(50)
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    np.clip(x, -_MOST, _MOST, out=x)
+    return np.exp(x, out=x)
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last axis, kept; a product with ones is faster than a reduction for short rows."""
+    return x @ np.ones((x.shape[-1], 1), x.dtype)
+
+
+def _attention(p: dict, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Weights of each position on those up to it; q is scaled. Masked: no position sees a later one."""
+    a = q @ k.transpose(0, 2, 1)
+    a += p["R"][np.abs(_BACK)]
+    _exp(a)
+    a *= _SEEN.astype(a.dtype)
+    a /= _sums(a)
+    return a
 
 
 def forward(p: dict, inputs: np.ndarray) -> tuple:
-    """Class logits of each position of (windows, WINDOW) inputs, and what the gradient needs. Masked: no position sees a later one."""
+    """Class logits of each position of (windows, WINDOW) inputs, and what the gradient needs."""
     x = p["E"][inputs]
-    q, k, v = x @ p["Q"], x @ p["K"], x @ p["V"]
-    bias = np.where(_BACK >= 0, p["R"][np.abs(_BACK)], np.float32(-1e9)).astype(np.float32)
-    a = q @ k.transpose(0, 2, 1) * np.float32(WIDTH**-0.5) + bias
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    q, k, v = x @ (p["Q"] * np.float32(WIDTH**-0.5)), x @ p["K"], x @ p["V"]
+    a = _attention(p, q, k)
     o = a @ v
     z = x + o @ p["O"]
     return z @ p["C"] + p["b"], (x, q, k, v, a, o, z)
@@ -290,43 +309,37 @@ def forward(p: dict, inputs: np.ndarray) -> tuple:
 def class_scores(p: dict, inputs: np.ndarray, kinds: np.ndarray, scored: np.ndarray) -> np.ndarray:
     """log10 probability of the class of each scored place, in their order; the forward pass without what the gradient needs."""
     x = p["E"][inputs]
-    bias = np.where(_BACK >= 0, p["R"][np.abs(_BACK)], np.float32(-1e9)).astype(np.float32)
-    a = (x @ (p["Q"] * np.float32(WIDTH**-0.5))) @ (x @ p["K"]).transpose(0, 2, 1)
-    a += bias
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    o = (a @ (x @ p["V"])) / a.sum(-1, keepdims=True)
+    a = _attention(p, x @ (p["Q"] * np.float32(WIDTH**-0.5)), x @ p["K"])
+    o = a @ (x @ p["V"])
     logits = (x[scored] + o[scored] @ p["O"]) @ p["C"]
     logits += p["b"]
-    logits -= logits.max(-1, keepdims=True)
+    np.clip(logits, -_MOST, _MOST, out=logits)
     own = logits[np.arange(len(logits)), kinds]
-    np.exp(logits, out=logits)
-    return (own - np.log(logits.sum(-1))) / np.float32(np.log(10))
+    return (own - np.log(_sums(np.exp(logits, out=logits))[:, 0])) / np.float32(np.log(10))
 
 
 def gradient(p: dict, inputs: np.ndarray, kinds: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
     """Mean loss over scored positions and its gradient; that of E as (rows, their gradients)."""
     logits, (x, q, k, v, a, o, z) = forward(p, inputs)
-    logits -= logits.max(-1, keepdims=True)
-    e = np.exp(logits)
-    prob = e / e.sum(-1, keepdims=True)
-    i, j = np.nonzero(scored)
-    n = max(1, len(i))
-    loss = -np.log(prob[i, j, kinds[i, j]] + 1e-12).sum() / n
-    d = prob * (scored[..., None] / np.float32(n)).astype(np.float32)
-    d[i, j, kinds[i, j]] -= np.float32(1 / n)
     flat = lambda m: m.reshape(-1, m.shape[-1])
-    g = {"C": flat(z).T @ flat(d), "b": flat(d).sum(0)}
-    dz = d @ p["C"].T
+    at, want = np.flatnonzero(scored), kinds.ravel()
+    n = max(1, len(at))
+    d = flat(_exp(logits))
+    d /= _sums(d)
+    loss = -np.log(d[at, want[at]] + 1e-12).sum() / n
+    d[at, want[at]] -= 1
+    d *= (scored.reshape(-1, 1) / n).astype(d.dtype)
+    g = {"C": flat(z).T @ d, "b": d.sum(0)}
+    dz = (d @ p["C"].T).reshape(z.shape)
     g["O"] = flat(o).T @ flat(dz)
     do = dz @ p["O"].T
     da = do @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ do
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    per = ds.sum(0)
-    g["R"] = np.array([np.trace(per, -r) for r in range(WINDOW)], np.float32)
-    ds *= np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    da -= _sums(da * a)
+    da *= a
+    per = da.sum(0)
+    g["R"] = np.bincount(np.abs(_BACK).ravel(), (per * _SEEN).ravel(), WINDOW).astype(per.dtype)
+    dq, dk = (da @ k) * np.float32(WIDTH**-0.5), da.transpose(0, 2, 1) @ q
     g |= {"Q": flat(x).T @ flat(dq), "K": flat(x).T @ flat(dk), "V": flat(x).T @ flat(dv)}
     dx = dz + dq @ p["Q"].T + dk @ p["K"].T + dv @ p["V"].T
     order = np.argsort(inputs, axis=None, kind="stable")

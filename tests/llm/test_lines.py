@@ -29,7 +29,7 @@ def blocks(f):
     for a, b in zip(["", *w], [*w, ""]):
         p = (chained(a, b) >> 44) % PARTS
         got[p].append((a, b))
-        chars[p] += len(a) + len(b)
+        chars[p] += len(a.encode()) + len(b.encode())
     least = max(min(CHARS, sum(chars)), -(-sum(chars) // SHARE))
     if len(w) <= SHORT:
         for i, j in combinations(range(0, PARTS, 2), 2):
@@ -116,7 +116,7 @@ def test_recall_against_all_pairs(spark):
     """Of all pairs of edit similarity 0.8 or more in 1,000 documents (forms up to 200 characters), nine of ten or more are in one group."""
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     root = grouped(spark, df)
-    fs = df.select(F.explode(F.split("text", "\n")).alias("x")).select(lines.line_words(F.col("x")).alias("w")).where("size(w) > 0").select(F.array_join("w", " ").alias("f"), F.xxhash64("w").alias("k")).distinct().where("length(f) <= 200")
+    fs = df.select(F.explode(F.split("text", "\n")).alias("x")).select(lines.line_words(F.col("x")).alias("w")).where("w[0] <> ''").select(F.array_join("w", " ").alias("f"), F.xxhash64("w").alias("k")).distinct().where("length(f) <= 200")
     import numpy as np
 
     rows = sorted((len(r.f), r.f, r.k) for r in fs.collect())

@@ -55,22 +55,23 @@ def test_empty(make):
 def small(seed=0):
     rng = np.random.default_rng(seed)
     pairs = rng.integers(0, 3, (lm.PIECES, lm.GROUPS)).astype(np.float32) * (np.arange(lm.PIECES) < 300)[:, None]
-    return lm.vocabulary(pairs), rng
+    return lm.vocabulary(pairs, np.arange(lm.PIECES) % lm.GROUPS), rng
 
 
 def test_windows_score_each_place_once():
-    for sizes in ([1], [24], [25], [24, 1, 100, 33]):
-        bound = np.concatenate(([0], np.cumsum(sizes)))
-        places, before, scored = lm.windows(np.zeros(bound[-1], np.int64), bound)
-        assert sorted(places[scored].tolist()) == list(range(bound[-1]))
-        starts = set(bound[:-1].tolist())
-        assert all((b == -1) == (p in starts) and (b == -1 or b == p - 1) for p, b in zip(places[scored].tolist(), before[scored].tolist()))
+    for context in (lm.CONTEXT, 0):
+        for sizes in ([1], [24], [25], [24, 1, 100, 33]):
+            bound = np.concatenate(([0], np.cumsum(sizes)))
+            places, before, scored = lm.windows(bound, context)
+            assert sorted(places[scored].tolist()) == list(range(bound[-1]))
+            starts = set(bound[:-1].tolist())
+            assert all((b == -1) == (p in starts) and (b == -1 or b == p - 1) for p, b in zip(places[scored].tolist(), before[scored].tolist()))
 
 
 def test_attention_is_causal_and_shares_sum_to_one():
     vocab, rng = small()
     p = lm.start(vocab)
-    x = rng.integers(0, lm.INPUTS, (2, lm.WINDOW))
+    x = rng.integers(0, lm.PIECES, (2, lm.WINDOW))
     a, _ = lm.forward(p, x)
     y = x.copy()
     y[:, 20:] = 0
@@ -84,7 +85,7 @@ def test_attention_is_causal_and_shares_sum_to_one():
 def test_scores_are_the_forward_pass():
     vocab, rng = small(5)
     p = lm.start(vocab)
-    x, y, ok = rng.integers(0, lm.INPUTS, (4, lm.WINDOW)), rng.integers(0, lm.CLASSES, (4, lm.WINDOW)), rng.random((4, lm.WINDOW)) < 0.7
+    x, y, ok = rng.integers(0, lm.PIECES, (4, lm.WINDOW)), rng.integers(0, lm.CLASSES, (4, lm.WINDOW)), rng.random((4, lm.WINDOW)) < 0.7
     logits, _ = lm.forward(p, x)
     full = (logits - np.log(np.exp(logits).sum(-1, keepdims=True))) / np.log(10)
     assert np.allclose(lm.class_scores(p, x, y[ok], ok), full[ok, y[ok]], atol=1e-4)
@@ -98,6 +99,9 @@ def test_gradient(key):
     x, y = rng.integers(0, 30, (3, lm.WINDOW)), rng.integers(0, lm.CLASSES, (3, lm.WINDOW))
     scored = rng.random((3, lm.WINDOW)) < 0.6
     _, g = lm.gradient(p, x, y, scored)
+    rows, values = g["E"]
+    g["E"] = np.zeros_like(p["E"])
+    g["E"][rows] = values
     at = tuple(int(rng.integers(min(n, 30))) for n in p[key].shape) if key != "E" else (int(x[0, 0]), 3)
     up, down = ({k: v.copy() for k, v in p.items()} for _ in range(2))
     up[key][at] += 1e-3
@@ -106,26 +110,72 @@ def test_gradient(key):
     assert abs(slope - g[key][at]) < 2e-3 * max(1, abs(slope)) + 2e-4
 
 
-def test_a_long_corpus_is_learned_from_whole(spark, monkeypatch):
-    """Training steps grow with the corpus: a task takes all its windows, with no share by size."""
-    monkeypatch.setattr(lm, "LEAST_WINDOWS", 0, raising=False)
-    seen, real = [], lm.train_round
-    monkeypatch.setattr(lm, "train_round", lambda toks, vocab, p, rnd, *more: seen.append(more) or real(toks, vocab, p, rnd, *more))
-    docs = spark.createDataFrame([(i, " ".join(["red green"] * 50)) for i in range(20)], "doc_id long, text string")
-    lm.score(docs, F.lit(False)).count()
-    assert len(seen) == lm.ROUNDS and all(len(more) == 1 for more in seen)  # groups of the sum alone, no share
-
-
-def test_a_task_learns_from_all_windows(spark):
-    """Texts of one window and less than a quarter of a step in all, and steps filled over slices of texts: each window is learned from."""
+def test_each_window_is_learned_from():
+    """Windows of every text are seen once, however few they are and however texts are handed over."""
     vocab, rng = small(7)
-    start = lm.start(vocab)
-
-    def moved(n):
-        rows = [(i, rng.integers(3, 300, 9).astype(np.uint16).tobytes(), True) for i in range(n)]
-        got = lm.train_round(spark.createDataFrame(rows, "th long, ids binary, train boolean").coalesce(1), vocab, start, 0, 1)
-        return np.abs(got["b"] - start["b"]).max() / lm.RATE
-
-    # Adam moves a parameter by about its rate in a step
-    assert 0.5 < moved(11) < 1.01
-    assert moved(260) > 3 and moved(3000) > moved(260)
+    p = lm.start(vocab)
+    for n in (1, 11, 260, 700):
+        learner = lm.Learner(p)
+        texts = [rng.integers(3, 300, int(rng.integers(1, 100))).astype(np.uint16) for _ in range(n)]
+        for t in texts:
+            learner.take(vocab, t.tobytes())
+        learner.take(vocab, None)
+        assert learner.seen == sum(-(-len(t) // lm.WINDOW) for t in texts)
+        assert learner.step == -(-learner.seen // lm.STEP_WINDOWS)
+        assert np.abs(learner.p["b"] - p["b"]).max() > 0.5 * lm.RATE
+
+
+def test_pieces_and_phrases():
+    """Subwords are those of sentencepiece, word by word; phrases follow each other and end where a word's hash says so."""
+    import sentencepiece
+
+    from quillspark.llm.textnum import text_slices
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", "  ", "One two", sentence(rng, 500), "x " * 700, "ß É 😀 " * 30, sentence(rng, 40)]
+    with open(f"{lm.TOKENIZERS}/{lm.MODEL_FILE}", "rb") as f:
+        model = f.read()
+    sp, pieces = sentencepiece.SentencePieceProcessor(model_proto=model), lm.Pieces(model)
+    ((_, _, buf, offs),) = text_slices(pa.array(texts))
+    counts, ids, phrases, sizes = lm.cut_slice(buf, offs, pieces)
+    for t, n, i, h, s in zip(texts, counts, ids, phrases, sizes):
+        words = [w.decode() for w in t.encode().lower().split()]
+        assert n == len(words) and np.frombuffer(i, np.uint16).tolist() == [p for w in words for p in sp.encode(w)] + [lm.END]
+        assert len(h) // 8 == len(s) // 4 >= 1 and np.frombuffer(s, np.uint32).sum() == len(i) // 2
+    again = lm.cut_slice(*next((b, o) for _, _, b, o in text_slices(pa.array([texts[3], texts[6]]))), pieces)
+    assert again[2] == [phrases[3], phrases[6]]
+
+
+def table(spark, sf):
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+
+def test_scores_do_not_depend_on_partitions(spark, sf):
+    a, b = ({r.doc_id: r.score for r in run(table(spark, sf).repartition(n))} for n in (2, 9))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) / abs(a[i]) for i in a) < 1e-6
+
+
+def test_held_out_beats_the_base(spark):
+    """On 1,000 documents the model is likelier than the unigram base, over all words of held-out texts."""
+    out = [r for r in run(table(spark, "/root/testdata/sf0.01")) if r.held_out]
+    assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.2 * sum(r.n_tokens for r in out)
+
+
+def test_memory_counts_other_texts_only(make):
+    """A text that occurs twice is likelier than one that occurs once, and a held-out one teaches nothing."""
+    rng = random.Random(12)
+    rows = [(i, sentence(rng, 80, 3000)) for i in range(60)]
+    free = [i for i in range(1000, 1100) if not held(i)]
+    twice, hidden = sentence(rng, 80, 3000), sentence(rng, 80, 3000)
+    silent = [i for i in range(2000, 2100) if held(i)]
+    rows += [(free[0], twice), (free[1], twice), (silent[0], hidden), (silent[1], hidden)]
+    got = {r.doc_id: r.score for r in run(make(rows))}
+    once = [got[i] for i in range(60)]
+    assert got[free[0]] > max(once) + 50 and got[free[0]] == pytest.approx(got[free[1]])
+    assert got[silent[0]] < max(once) + 50
+
+
+def test_text_ids(spark):
+    got = run(spark.createDataFrame([("a1", "red green"), ("b2", None), (None, "red")], "doc_id string, text string"))
+    assert sorted((str(r.doc_id), r.n_tokens) for r in got) == [("None", 2), ("a1", 3), ("b2", 1)]
