@@ -1,6 +1,6 @@
 """Operator 8: toxicity by FTRL-proximal logistic regression.
 
-Features are the distinct hashed (32 bit) word unigrams, bigrams and
+Features are the distinct hashed (BITS bits) word unigrams, bigrams and
 skip-bigrams (one word left out) of a text. The learner keeps a rate for each
 coordinate and L1 drives most weights to exact zero, so what is broadcast is a
 short sorted list of (hash, weight).
@@ -26,6 +26,8 @@ from quillspark.llm.textnum import U, Words, mixed, plain_words, text_slices
 
 #: Labelled rows that the learner reads at most.
 MAX_ROWS = 8_000
+#: Bits of a feature's hash; the learner's state is two floats for each of so many places.
+BITS = 23
 #: Learning rate, its damping, L1 and L2 strength, passes over the sample.
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 4.0, 0.3, 8
 
@@ -40,7 +42,7 @@ def _features(w: Words) -> list[np.ndarray]:
         if n > gap:
             same = row[:-gap] == row[gap:]
             kinds.append((mixed(h[:-gap] * U(0x9E3779B97F4A7C15) + h[gap:] + U(salt))[same], row[:-gap][same]))
-    keys = np.concatenate([k >> U(32) for k, _ in kinds]) | (np.concatenate([r for _, r in kinds]).astype(U) << U(32))
+    keys = np.concatenate([k >> U(64 - BITS) for k, _ in kinds]) | (np.concatenate([r for _, r in kinds]).astype(U) << U(32))
     keys = np.unique(keys)
     cut = np.searchsorted(keys, np.arange(len(w.first)).astype(U) << U(32))
     low = (keys & U(0xFFFFFFFF)).astype(np.uint32)
@@ -53,28 +55,28 @@ def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1,
     empty = np.zeros(0, np.uint32), np.zeros(0, np.float64)
     if not toxic or toxic == len(rows):
         return (40.0 if toxic else -40.0), *empty
-    found = np.unique(np.concatenate([x for _, x in rows]))
-    places = [np.append(np.searchsorted(found, x).astype(np.int32), np.int32(len(found))) for _, x in rows]
-    z, n = np.zeros(len(found) + 1), np.zeros(len(found) + 1)
+    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    bias = np.zeros(2)
 
-    def weight(zi, ni, last):
+    def weight(zi, ni):
         w = -(zi - np.sign(zi) * l1) / ((beta + np.sqrt(ni)) / alpha + l2)
         w[np.abs(zi) <= l1] = 0
-        if last:  # the intercept is not penalised
-            w[-1] = -zi[-1] / ((beta + np.sqrt(ni[-1])) / alpha)
         return w
 
+    def free() -> float:  # the intercept is not penalised
+        return -bias[0] * alpha / (beta + np.sqrt(bias[1]))
+
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
-            at = places[i]
-            zi, ni = z[at], n[at]
-            w = weight(zi, ni, True)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - rows[i][0]
+            y, at = rows[i]
+            zi, ni = z[at].astype(np.float64), n[at].astype(np.float64)
+            w, own = weight(zi, ni), free()
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + own, -35, 35))) - y
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] = ni + g * g
-    w = weight(z, n, True)
-    kept = np.flatnonzero(w[:-1])
-    return float(w[-1]), found[kept], w[kept]
+            bias += g - (np.sqrt(bias[1] + g * g) - np.sqrt(bias[1])) / alpha * own, g * g
+    kept = np.flatnonzero(np.abs(z) > l1)
+    return float(free()), kept.astype(np.uint32), weight(z[kept].astype(np.float64), n[kept].astype(np.float64))
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int) -> list[tuple[int, np.ndarray]]:
