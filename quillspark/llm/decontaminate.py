@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.llm.session import cut
-from quillspark.llm.textnum import Words, covered, lowered, plain_words, span_hash, text_slices
+from quillspark.llm.textnum import Words, covered, lowered, plain_words, span_hash, text_slices, trimmed
 
 WINDOW = 10
 #: Words of the benchmark in one broadcast; an index of such a block takes some 100 MB at most.
@@ -140,7 +140,7 @@ def _mark(df: DataFrame, at: int, benchmark: DataFrame, item_col: str, bench_tex
     marked = None
     for block in _blocks(benchmark, item_col, bench_text, block_words) if benchmark.take(1) else [[]]:
         # what an earlier block marked is written first, so a task holds the index of one block
-        marked = (df if marked is None else cut(marked)).mapInArrow(scan(sc.broadcast(window_index(block, window))), inner)
+        marked = (df if marked is None else cut(marked)).mapInArrow(trimmed(scan(sc.broadcast(window_index(block, window)))), inner)
     return marked
 
 
@@ -187,4 +187,4 @@ def remove_overlap(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "te
                 kept = [x if i != at else pa.array(texts, x.type) for i, x in enumerate(part.columns[:k])]
                 yield pa.RecordBatch.from_arrays(kept, names=[f"c{i}" for i in range(k)]).filter(pa.array(stay))
 
-    return marked.mapInArrow(each, inner).toDF(*names)
+    return marked.mapInArrow(trimmed(each), inner).toDF(*names)

@@ -46,7 +46,7 @@ from quillspark.llm import lm_memory
 from quillspark.llm.lm_base import ROUTED, base_scores
 from quillspark.llm.session import cut, parts_for
 from quillspark.llm.substring import _rows
-from quillspark.llm.textnum import U, Words, _process_cache, mixed, one_blas_thread, space_words, span_hash, text_slices
+from quillspark.llm.textnum import U, Words, _process_cache, mixed, one_blas_thread, space_words, span_hash, text_slices, trimmed
 
 #: Directory and name of the subword vocabulary; pieces, end and start.
 TOKENIZERS, MODEL_FILE = "/opt/tokenizers", "piece_bpe_32k.model"
@@ -151,7 +151,7 @@ def tokens(src: DataFrame, model: bytes) -> DataFrame:
                 many = [len(x) // 8 for x in phrases]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:4], pa.array(n + 1, pa.int64()), pa.array(many, pa.int64()), pa.array(ids, pa.binary()), pa.array(phrases, pa.binary()), pa.array(sizes, pa.binary())], names=names)
 
-    return src.mapInArrow(each, schema)
+    return src.mapInArrow(trimmed(each), schema)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +190,7 @@ def piece_groups(toks: DataFrame, parts: int) -> np.ndarray:
                 total += np.bincount(np.frombuffer(x.as_py(), np.uint16), minlength=PIECES)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["v"])
 
-    n = _summed(toks.where("train").select("ids").mapInArrow(each, "v binary"), parts)
+    n = _summed(toks.where("train").select("ids").mapInArrow(trimmed(each), "v binary"), parts)
     rank = np.empty(PIECES, np.int64)
     rank[np.argsort(-(n if n is not None else np.zeros(PIECES)), kind="stable")] = np.arange(PIECES)
     return np.where(rank < OWN_GROUPS, rank, OWN_GROUPS + rank % (GROUPS - OWN_GROUPS))
@@ -229,7 +229,7 @@ def pair_counts(toks: DataFrame, group: np.ndarray, parts: int) -> np.ndarray:
         yield from _rows([(b, n.tobytes()) for b, n in total.items()])
 
     out = np.zeros(PIECES * GROUPS, np.float32)
-    got = toks.where("train").select("ids").mapInArrow(each, ROUTED).repartition(max(1, min(parts, PIECES * GROUPS // block)), "bucket").mapInArrow(added, ROUTED)
+    got = toks.where("train").select("ids").mapInArrow(trimmed(each), ROUTED).repartition(max(1, min(parts, PIECES * GROUPS // block)), "bucket").mapInArrow(added, ROUTED)
     for r in got.toLocalIterator():
         n = np.frombuffer(r.blob, np.int64)[: len(out) - r.bucket * block]
         out[r.bucket * block : r.bucket * block + len(n)] = n
@@ -441,7 +441,7 @@ def trained(toks: DataFrame, vocab: dict, p: dict, shards: int, parts: int, only
         if learner:
             yield done()
 
-    flat = _summed(src.sortWithinPartitions("shard", "th", "key").mapInArrow(each, "v binary"), 1 if only is not None else shards)
+    flat = _summed(src.sortWithinPartitions("shard", "th", "key").mapInArrow(trimmed(each), "v binary"), 1 if only is not None else shards)
     if flat is None:
         return p
     out, at = {}, 0
@@ -487,7 +487,7 @@ def score_phrases(toks: DataFrame, vocab: dict, p: dict, memory: tuple, parts: i
                 yield from _rows(lm_memory.routed(key[lo:hi], th[lo:hi], train[lo:hi], row, h, lp, memory, parts))
                 lo = hi
 
-    return toks.select("key", "th", "train", "ids", "phrases", "sizes").mapInArrow(each, ROUTED)
+    return toks.select("key", "th", "train", "ids", "phrases", "sizes").mapInArrow(trimmed(each), ROUTED)
 
 
 def score(docs: DataFrame, held_out, *, id_col: str = "doc_id", text_col: str = "text", tokenizers: str = TOKENIZERS) -> DataFrame:

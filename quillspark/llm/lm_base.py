@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.substring import _pack, _rows, _runs, _unpack
-from quillspark.llm.textnum import Words, mixed, space_words, text_slices
+from quillspark.llm.textnum import Words, mixed, space_words, text_slices, trimmed
 
 SHARE, LEAST_COMMON = 100_000, 200
 #: Words that a map task gathers before it sums them up and sends them on.
@@ -95,7 +95,7 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
         for h, row, _, _, train in _lots(batches):
             yield from _rows(count_blobs(h[train[row]], parts))
 
-    keys, counts, distinct, _ = common_items(src.mapInArrow(counted, ROUTED), max(LEAST_COMMON, train_tokens // SHARE), parts)
+    keys, counts, distinct, _ = common_items(src.mapInArrow(trimmed(counted), ROUTED), max(LEAST_COMMON, train_tokens // SHARE), parts)
     held = src.sparkSession.sparkContext.broadcast((keys, counts))
 
     def parts_of(ids, ths, known, score):
@@ -170,5 +170,5 @@ def base_scores(src: DataFrame, train_tokens: int, parts: int) -> tuple[DataFram
         first = _runs(ids[order], ths[order])
         yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(ths[order][first]), pa.array(np.add.reduceat(known[order], first)), pa.array(np.add.reduceat(score[order], first))], names=["id", "th", "part_known", "part_score"])
 
-    out = src.mapInArrow(dealt, ROUTED).repartition(parts, "bucket").mapInArrow(summed, ROUTED).repartition(parts, "bucket")
+    out = src.mapInArrow(trimmed(dealt), ROUTED).repartition(parts, "bucket").mapInArrow(trimmed(summed), ROUTED).repartition(parts, "bucket")
     return out.mapInArrow(merged, "id long, th long, part_known long, part_score double"), distinct

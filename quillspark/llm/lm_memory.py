@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.lm_base import ROUTED, bucket_of, columns, common_items, count_blobs
 from quillspark.llm.substring import _pack, _rows, _runs
-from quillspark.llm.textnum import mixed
+from quillspark.llm.textnum import mixed, trimmed
 
 SHARE, LEAST_COMMON = 100_000, 200
 #: Phrases that a map task gathers before it sums them up and sends them on.
@@ -43,7 +43,7 @@ def counts(toks: DataFrame, n_phrases: int, parts: int) -> tuple[np.ndarray, np.
         if held:
             yield from _rows(count_blobs(np.concatenate(lot), parts))
 
-    keys, often, _, again = common_items(toks.where("train").select("phrases").mapInArrow(counted, ROUTED), max(LEAST_COMMON, n_phrases // SHARE), parts)
+    keys, often, _, again = common_items(toks.where("train").select("phrases").mapInArrow(trimmed(counted), ROUTED), max(LEAST_COMMON, n_phrases // SHARE), parts)
     return keys, often, min(HIGH, max(LOW, again / n_phrases)) if n_phrases else 0.0
 
 
@@ -126,5 +126,5 @@ def summed_scores(blobs: DataFrame, weight: float, total: int, parts: int) -> Da
         first = _runs(ids[order], ths[order])
         yield pa.RecordBatch.from_arrays([pa.array(ids[order][first]), pa.array(ths[order][first]), pa.array(np.add.reduceat(score[order], first))], names=["id", "th", "part"])
 
-    out = blobs.repartition(parts, "bucket").mapInArrow(settled, ROUTED).repartition(parts, F.col("bucket"))
+    out = blobs.repartition(parts, "bucket").mapInArrow(trimmed(settled), ROUTED).repartition(parts, F.col("bucket"))
     return out.mapInArrow(merged, "id long, th long, part double")

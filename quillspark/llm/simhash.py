@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quillspark.llm.components import components
 from quillspark.llm.session import cut, parts_for
-from quillspark.llm.textnum import Words, lowered, space_words, text_slices
+from quillspark.llm.textnum import Words, lowered, space_words, text_slices, trimmed
 
 WIDTH, RADIUS, SEED = 3, 3, 42
 #: Fingerprints in one tile at most, on average.
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 fp = _fingerprints(Words(buf, offs, table), width)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return src.mapInArrow(each, schema)
+    return src.mapInArrow(trimmed(each), schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray | None, radius: int) -> list[tuple[int, int]]:

@@ -72,6 +72,22 @@ def one_blas_thread() -> None:
                 call(1)
 
 
+def trimmed(each):
+    """A map over batches that gives its free memory back to the system when it ends: workers stay for later tasks, their caches need not."""
+
+    def run(*batches):
+        try:
+            yield from each(*batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not glibc
+                pass
+
+    return run
+
+
 def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base and of its inverse, modulo 2**64."""
     cache = _process_cache()

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.textnum import U, Words, mixed, plain_words, text_slices
+from quillspark.llm.textnum import U, Words, mixed, plain_words, text_slices, trimmed
 
 #: Labelled rows that the learner reads at most.
 MAX_ROWS = 8_000
@@ -92,7 +92,7 @@ def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
                 got = _features(Words(buf, offs, table))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in got], pa.binary())], names=["o", "y", "x"])
 
-    rows = [(o, y, bytes(x)) for o, y, x in picked.mapInArrow(each, "o long, y int, x binary").toLocalIterator()]
+    rows = [(o, y, bytes(x)) for o, y, x in picked.mapInArrow(trimmed(each), "o long, y int, x binary").toLocalIterator()]
     rows.sort()
     return [(y, np.frombuffer(x, np.uint32)) for _, y, x in rows]
 
@@ -119,7 +119,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, text_
                 p = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, pa.array(p)], names=[f"c{i}" for i in range(k + 1)])
 
-    return docs.toDF(*[f"c{i}" for i in range(k)]).mapInArrow(each, inner).toDF(*names, out_col)
+    return docs.toDF(*[f"c{i}" for i in range(k)]).mapInArrow(trimmed(each), inner).toDF(*names, out_col)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[float, np.ndarray, np.ndarray]:
