@@ -21,10 +21,28 @@ def first_filled(*columns: Column) -> Column:
 
 
 def document_id(*candidates: Column) -> Column:
-    """The first filled candidate, with forward slashes and none at its ends."""
+    """The first candidate that is not empty with forward slashes and none at its ends. Blanks count as text."""
     return F.coalesce(*[F.nullif(F.trim(F.replace(c, F.lit("\\"), F.lit("/")), F.lit("/")), F.lit("")) for c in candidates])
 
 
+def composite_id(*parts: Column) -> Column:
+    """Parts joined by `_`; those without a value are passed over."""
+    return F.concat_ws("_", *[F.nullif(p.cast("string"), F.lit("")) for p in parts])
+
+
+def resolved_chunk_id(extra: Column, own: Column, seq: Column, text: Column, prefix: Column) -> Column:
+    """The chunk id of the extra fields, else the row's own, else `prefix__seqN__digest` (without the number where there is none), with 8 hex digits of the text's SHA-1."""
+    digest = F.left(F.sha1(F.coalesce(text, F.lit(""))), F.lit(8))
+    made = F.concat_ws("__", prefix, F.concat(F.lit("seq"), seq.cast("string")), digest)
+    return F.coalesce(F.nullif(extra, F.lit("")), F.nullif(own, F.lit("")), made)
+
+
+def uuid5_of_parts(parts: list[Column], seq: Column, text: Column, namespace: str = URL_NAMESPACE) -> Column:
+    """Version-5 UUID of parts joined by `|`, with the sequence number, or 16 hex digits of the text's SHA-256 where there is none."""
+    tail = F.coalesce(seq.cast("string"), F.left(F.sha2(F.coalesce(text, F.lit("")), 256), F.lit(16)))
+    return uuid5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], tail), namespace)
+
+
 def chunk_id(document: Column, seq: Column, text: Column) -> Column:
     """document_seq_digest, with 16 hex digits of the text's SHA-1."""
     return F.concat_ws("_", document, seq.cast("string"), F.left(F.sha1(text), F.lit(16)))

@@ -3,11 +3,17 @@
 Patterns use explicit classes, so that Unicode words and white space mean the
 same in every regex engine.
 """
+import unicodedata
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]"
-FENCE = r"(?s)```.*?```"
+#: Fences of backticks, and those of tildes after the last of them.
+FENCE = r"(?s)```.*?```|(?=~~~)(?!.*```.*?```)~~~.*?~~~"
 _TICKS = "`" * 3
 
 # Documentation directory names, index file names, admonition tags and their labels, abbreviations.
@@ -17,6 +23,20 @@ ADMONITIONS = {"Tip": "**Tip:**", "Note": "**Note:**", "Warning": "**Warning:**"
 ABBREVIATIONS = ("Mr.", "Ms.", "Mrs.", "Dr.", "Prof.", "Fig.", "Eq.", "vs.", "No.", "e.g.", "i.e.", "cf.", "etc.")
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """body(c) with c worked out once, however often body uses it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFC", t))
+
+
+def nfc(c: Column) -> Column:
+    """Composed Unicode (NFC); Spark has no function for it."""
+    return F.pandas_udf(_composed, T.StringType())(c)
+
+
 def strip(c: Column) -> Column:
     """White space off both ends, line feeds too."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -88,8 +108,13 @@ def strip_markup(c: Column) -> Column:
 
 def outside_code(c: Column, rule) -> Column:
     """A rule applied to what stands outside of fences; fences stay as they are."""
-    plain = F.transform(F.split(c, FENCE), rule)
-    return F.array_join(F.flatten(F.zip_with(plain, F.regexp_extract_all(c, F.lit(FENCE), F.lit(0)), lambda p, f: F.array(F.coalesce(p, F.lit("")), F.coalesce(f, F.lit(""))))), "")
+
+    def joined(whole: Column) -> Column:
+        plain = F.transform(F.split(whole, FENCE), rule)
+        fences = F.regexp_extract_all(whole, F.lit(FENCE), F.lit(0))
+        return F.array_join(F.flatten(F.zip_with(plain, fences, lambda p, f: F.array(F.coalesce(p, F.lit("")), F.coalesce(f, F.lit(""))))), "")
+
+    return let(c, joined)
 
 
 def normalize_markdown(c: Column) -> Column:
@@ -104,10 +129,13 @@ CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 
 def preprocess(c: Column) -> Column:
     """Text ready for cutting into chunks: no licence comment, no leading heading, emoji or control characters; joined hyphenation; `•` bullets; one line feed at the end."""
-    head = F.regexp_replace(c, r"(?s)\A\s*<!--.*?-->[ \t]*\n?", "")
-    # the first heading goes only from what stands before the first fence
-    first = F.element_at(F.split(head, FENCE), 1)
-    body = F.concat(F.regexp_replace(first, r"(?m)(?s:\A((?:(?!^[ \t]*#[ \t]).)*?))^[ \t]*#[ \t]+.+\n+", "$1"), F.substring(head, F.char_length(first) + 1, F.char_length(head)))
+
+    def headless(head: Column) -> Column:
+        # the first heading goes only from what stands before the first fence
+        def without(first: Column) -> Column:
+            return F.concat(F.regexp_replace(first, r"(?m)(?s:\A((?:(?!^[ \t]*#[ \t]).)*?))^[ \t]*#[ \t]+.+\n+", "$1"), F.substring(head, F.char_length(first) + 1, F.char_length(head)))
+
+        return let(F.element_at(F.split(head, FENCE, 2), 1), without)
 
     def tidy(p):
         p = F.regexp_replace(F.regexp_replace(p, EMOJI, ""), CONTROL, "")
@@ -115,8 +143,9 @@ def preprocess(c: Column) -> Column:
         p = F.regexp_replace(p, rf"({WORD}+)-\n({WORD}+)", "$1$2")
         return F.regexp_replace(p, r"(?m)^\s*([-*]|\d+\.)\s+", "\n• ")
 
-    out = strip(outside_code(body, tidy))
-    return F.when(strip(c) == "", c).when(out == "", "").otherwise(F.concat(out, F.lit("\n")))
+    body = let(F.regexp_replace(c, r"(?s)\A\s*<!--.*?-->[ \t]*\n?", ""), headless)
+    out = let(strip(outside_code(body, tidy)), lambda t: F.when(t == "", "").otherwise(F.concat(t, F.lit("\n"))))
+    return F.when(c.rlike(r"\S"), out).otherwise(c)
 
 
 def slug(c: Column) -> Column:
@@ -155,8 +184,8 @@ def section_key(section: Column, url: Column, product: Column) -> Column:
 
 
 def normalize_query(c: Column) -> Column:
-    """Lower-case, white space collapsed and stripped."""
-    return strip(F.regexp_replace(F.lower(c), r"\s+", " "))
+    """Composed Unicode, lower-case, white space collapsed and stripped."""
+    return strip(F.regexp_replace(F.lower(nfc(c)), r"\s+", " "))
 
 
 def shortened(c: Column, n: int, mark: str = "...") -> Column:

@@ -17,13 +17,13 @@ CHUNK = "seq int, chunk_size int, char_start int, char_end int, h_path array<str
 
 @dataclass(frozen=True)
 class Budget:
-    """Limits of a chunk; a document has at most max_chunks."""
+    """Limits of a chunk; a document has at most max_chunks (None: as many as it gives)."""
 
     max_tokens: int = 420
     max_sentences: int = 8
     overlap: int = 2
     min_chars: int = 180
-    max_chunks: int = 60
+    max_chunks: int | None = 60
     code_tokens: int = 300
     code_chars: int = 1600
     #: Literal behaviour at tables (header and separator only) and at paragraphs glued to code (told twice).

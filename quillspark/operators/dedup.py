@@ -1,9 +1,10 @@
 """Exact and order-dependent near-duplicate removal, upserts and conditional inserts."""
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters of a representative that later texts are compared with.
 SAMPLE = 2000
@@ -13,7 +14,7 @@ def first_by_hash(df: DataFrame, text: str, order: str, within: list[str] | None
     """The first row, by order, of each distinct text (of each `within` group)."""
     digest = F.sha2(text, 256)
     w = Window.partitionBy(*(within or []), digest).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    return df.select(F.struct(*df.columns).alias("row"), F.row_number().over(w).alias("n")).where("n = 1").select("row.*")
 
 
 def common_length(a: str, b: str) -> int:
@@ -47,30 +48,69 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def sequential_near_dup(df: DataFrame, *, bucket: str, order: str, text: str, threshold: float = 97, min_chars: int = 1200) -> DataFrame:
+def sequential_near_dup(df: DataFrame, *, bucket: str, order: str, text: str, threshold: float = 97, min_chars: int = 1200, state: DataFrame | None = None) -> DataFrame:
     """df with is_dup: each text against its bucket's representative, the last text that was kept.
 
     Texts are walked in `order` within a bucket; shorter ones are never compared
     and never represent. A partition is sorted and streamed, so a task holds one
-    representative at a time, however large its bucket.
+    representative at a time, however large its bucket; but the walk depends on the
+    order, so a bucket is one task (`order_free_near_dup` has no such limit).
+    state: bucket and representative where an earlier run ended (near_dup_state).
     """
-    held, names = df.withColumn("is_dup", F.lit(False)), df.columns
-
-    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, kept = None, None
-        for frame in frames:
-            out = []
-            for b, t in zip(frame[bucket], frame[text]):
-                if b != now:
-                    now, kept = b, None
+    names = df.columns
+    walked = df.select(F.col(bucket).cast("string").alias("bucket"), F.lit(1).alias("turn"), F.col(order).alias("at"), F.col(text).alias("text"), F.struct(*names).alias("row"))
+    if state is not None:
+        none = F.lit(None)
+        walked = walked.unionByName(state.select(F.col("bucket").cast("string").alias("bucket"), F.lit(0).alias("turn"), none.cast(df.schema[order].dataType).alias("at"), F.col("representative").alias("text"), none.cast(walked.schema["row"].dataType).alias("row")))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept, first = None, None, True
+        for batch in batches:
+            out, seeds = [], batch.column(1).to_pylist()
+            for b, turn, t in zip(batch.column(0).to_pylist(), seeds, batch.column(3).to_pylist()):
+                if first or b != now:
+                    now, kept, first = b, None, False
                 dup = False
-                if t and len(t) >= min_chars:
+                if not turn:
+                    kept = t
+                elif t and len(t) >= min_chars:
                     dup = kept is not None and token_set_ratio(t, kept) >= threshold
                     kept = kept if dup else t[:SAMPLE]
                 out.append(dup)
-            yield frame[names].assign(is_dup=out)
+            made = pa.RecordBatch.from_arrays([batch.column(4), pa.array(out, pa.bool_())], names=["row", "is_dup"])
+            yield made.filter(pa.array([bool(x) for x in seeds]))
+
+    schema = T.StructType([walked.schema["row"], T.StructField("is_dup", T.BooleanType())])
+    return walked.repartition("bucket").sortWithinPartitions("bucket", "turn", "at").mapInArrow(walk, schema).select("row.*", "is_dup")
+
 
-    return df.repartition(bucket).sortWithinPartitions(bucket, order).mapInPandas(walk, held.schema)
+def near_dup_state(marked: DataFrame, *, bucket: str, order: str, text: str, min_chars: int = 1200, state: DataFrame | None = None) -> DataFrame:
+    """bucket, representative of each bucket after sequential_near_dup(): its last kept text, else what the state had."""
+    kept = marked.where(~F.col("is_dup") & (F.char_length(text) >= min_chars))
+    now = kept.groupBy(F.col(bucket).cast("string").alias("bucket")).agg(F.max_by(F.left(F.col(text), F.lit(SAMPLE)), order).alias("representative"))
+    return now if state is None else now.unionByName(state.select("bucket", "representative").join(now.select("bucket"), "bucket", "left_anti"))
+
+
+def order_free_near_dup(df: DataFrame, *, key: str, text: str, words: int = 5, least: float = 0.8, parts: int = 16) -> DataFrame:
+    """df with is_dup: whether a text whose shingles are at least `least` alike stands under a smaller key. Independent of rows' order.
+
+    Candidates agree in one of `parts` least hashes of shingles taken over disjoint
+    ranges; each bucket's rows meet the bucket's smallest key alone, so a crowd of
+    copies costs one row each.
+    """
+    tokens = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+", " ")), " ")
+    held = df.select(F.col(key).alias("key"), tokens.alias("w")).where(F.size("w") >= words)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - (words - 1)), lambda i: F.xxhash64(F.array_join(F.slice("w", i, words), " "))))
+    shingled = held.select("key", grams.alias("g"))
+    of_part = lambda p: F.array_min(F.filter("g", lambda h: F.pmod(h, F.lit(parts)) == p))
+    sketch = F.array(*[of_part(p) for p in range(parts)])
+    each = shingled.select("key", "g", F.posexplode(sketch).alias("part", "h")).where("h is not null")
+    first = each.groupBy("part", "h").agg(F.min("key").alias("first"))
+    pairs = each.select("key", "part", "h").join(first, ["part", "h"]).where("first < key").select("first", "key").distinct()
+    left, right = shingled.select(F.col("key").alias("first"), F.col("g").alias("a")), shingled.select("key", F.col("g").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    alike = pairs.join(left, "first").join(right, "key").where(both >= least * (F.size("a") + F.size("b") - both)).select("key").distinct()
+    return df.join(alike.select(F.col("key").alias(key), F.lit(True).alias("is_dup")), key, "left").withColumn("is_dup", F.coalesce("is_dup", F.lit(False)))
 
 
 def keep_if_grown(df: DataFrame, *, doc: str, section: list[str], seq: str, text: str, tokens: str, near: float = 95, novelty: float = 0.10, compat: bool = False) -> DataFrame:

@@ -10,6 +10,8 @@ from quillspark.functions.text import n_tokens
 
 #: Query tables up to so many rows are broadcast; larger ones go in blocks of about as many.
 QUERY_BLOCK = 1000
+#: Hits that are broadcast at most.
+HITS = 10_000
 
 
 def _in_blocks(queries: DataFrame, query: str, search: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -47,12 +49,26 @@ def centroids(points: DataFrame, group: str, vec: str, member: str) -> DataFrame
 
 def children_of(hits: DataFrame, children: DataFrame, k: int, *, query_vec: str, parent: str = "parent_id", vec: str = "vec", id_: str = "point_id", query: str = "query_id") -> DataFrame:
     """The k best children of each hit parent: one join and one window, in place of a call for each parent."""
-    both = children.join(F.broadcast(hits), parent)  # k hits for each of a bounded query set
+    # hits are the parents of a block of queries; only a few are broadcast
+    few = hits.count() <= HITS
+    both = children.join(F.broadcast(hits) if few else hits, parent)
     scored = both.withColumn("child_score", V.clamp01(V.cosine(V.doubles(F.col(vec)), V.doubles(F.col(query_vec)))))
     w = Window.partitionBy(query, parent).orderBy(F.desc("child_score"), F.col(id_))
     return scored.withColumn("child_rank", F.row_number().over(w)).where(F.col("child_rank") <= k)
 
 
+def children_of_all(queries: DataFrame, parents: DataFrame, children: DataFrame, k: int, *, query_vec: str = "query_vec", parent: str = "parent_id", vec: str = "vec", id_: str = "point_id", query: str = "query_id") -> DataFrame:
+    """The k best children of every parent for each query. Each block of queries is broadcast against all children."""
+
+    def search(some: DataFrame) -> DataFrame:
+        held = children.join(parents.select(parent), parent, "left_semi").join(F.broadcast(some.select(query, F.col(query_vec).alias("asked"))), F.lit(True))
+        scored = held.withColumn("child_score", V.clamp01(V.cosine(V.doubles(F.col(vec)), V.doubles(F.col("asked"))))).drop("asked")
+        w = Window.partitionBy(query, parent).orderBy(F.desc("child_score"), F.col(id_))
+        return scored.withColumn("child_rank", F.row_number().over(w)).where(F.col("child_rank") <= k)
+
+    return _in_blocks(queries, query, search)
+
+
 def retrieve(queries: DataFrame, parents: DataFrame, children: DataFrame, *, top_parents: int = 3, top_children: int = 4, min_score: float = 0.3, alpha: float = 0.7) -> DataFrame:
     """Evidence of each query: parents, their children above min_score, rescored."""
 
@@ -72,7 +88,8 @@ def _retrieve(queries: DataFrame, parents: DataFrame, children: DataFrame, top_p
 def distinct_evidence(hits: DataFrame, *, query: str, text: str, score: str, id_: str, prefix: int = 500) -> DataFrame:
     """The best hit of each text prefix of a query."""
     w = Window.partitionBy(query, F.left(F.col(text), F.lit(prefix))).orderBy(F.desc(score), F.col(id_))
-    return hits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    names = hits.columns
+    return hits.select(F.struct(*names).alias("row"), F.row_number().over(w).alias("n")).where("n = 1").select("row.*")
 
 
 def within_budget(hits: DataFrame, *, query: str, question_tokens: int, text: str, score: str, id_: str, tokens: int = 4000, margin: int = 256) -> DataFrame:
@@ -83,7 +100,7 @@ def within_budget(hits: DataFrame, *, query: str, question_tokens: int, text: st
 
 
 def citations(hits: DataFrame, *, query: str, text: str, score: str, id_: str) -> DataFrame:
-    """query, n, label, preview and rounded score of each hit, in order."""
+    """query, n, preview (200 characters) and score (3 digits, half to even) of each hit, in order."""
     w = Window.partitionBy(query).orderBy(F.desc(score), F.col(id_))
-    preview = F.when(F.char_length(text) > 200, F.concat(F.left(F.col(text), F.lit(197)), F.lit("..."))).otherwise(F.col(text))
-    return hits.select(query, id_, F.row_number().over(w).alias("n"), preview.alias("preview"), F.round(score, 6).alias("score"))
+    preview = F.when(F.char_length(text) > 200, F.concat(F.left(F.col(text), F.lit(200)), F.lit("..."))).otherwise(F.col(text))
+    return hits.select(query, id_, F.row_number().over(w).alias("n"), preview.alias("preview"), F.bround(score, 3).alias("score"))

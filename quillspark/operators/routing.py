@@ -76,12 +76,11 @@ def raw_score(q: Column, route: str) -> Column:
 
 
 def scored(df: DataFrame, text: str) -> DataFrame:
-    """df with docs, sql and web scores over the highest, 0 without hits."""
-    raw = df.withColumn("_q", normalize_query(F.col(text)))
-    for r in RULES:
-        raw = raw.withColumn(f"_{r}", raw_score(F.col("_q"), r))
-    top = F.greatest(*[F.col(f"_{r}") for r in RULES])
-    return raw.select(*df.columns, *[F.when(top > 0, F.col(f"_{r}") / top).otherwise(0.0).alias(r) for r in RULES])
+    """df with docs, sql and web scores over the highest, 0 without hits; columns of these names are replaced."""
+    raw = df.select(F.struct(*df.columns).alias("row"), normalize_query(F.col(text)).alias("q"))
+    raw = raw.select("row", *[raw_score(F.col("q"), r).alias(r) for r in RULES])
+    top = F.greatest(*RULES)
+    return raw.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in RULES], *[F.when(top > 0, F.col(r) / top).otherwise(0.0).alias(r) for r in RULES])
 
 
 def pick(df: DataFrame, least: float = LEAST, priority: tuple = PRIORITY, combine: bool = False) -> DataFrame:
@@ -90,6 +89,73 @@ def pick(df: DataFrame, least: float = LEAST, priority: tuple = PRIORITY, combin
     return df.withColumn("route", F.array_join(good if combine else F.slice(good, 1, 1), ","))
 
 
+def ranked(least: float = LEAST) -> Column:
+    """The routes that score at least `least`, best first, ties by priority."""
+    each = F.array(*[F.when(F.col(r) >= least, F.struct((-F.col(r)).alias("s"), F.lit(i).alias("i"), F.lit(r).alias("r"))) for i, r in enumerate(PRIORITY)])
+    return F.transform(F.array_sort(F.array_compact(each)), lambda x: x["r"])
+
+
+def known_routes(labels: Column) -> Column:
+    """Labels (trimmed, lower-cased) that are routes, each once."""
+    return F.array_intersect(F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.lower(F.trim(x))), F.array(*map(F.lit, PRIORITY)))
+
+
+def parsed_labels(reply: Column) -> Column:
+    """struct(route, confidence) of a model's JSON reply, which may stand in a fence; docs at 0.6 if it tells no known route."""
+    got = F.from_json(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), "route array<string>, confidence double, rationale string")
+    routes = known_routes(got["route"])
+    good = F.size(routes) > 0
+    sure = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(got["confidence"], F.lit(0.6))))
+    return F.struct(F.when(good, routes).otherwise(F.array(F.lit("docs"))).alias("route"), F.when(good, sure).otherwise(0.6).alias("confidence"))
+
+
+def routed(df: DataFrame, text: str, *, mode: str = "rules", reply: str | None = None, boosts: dict[str, Column] | None = None, least: float = LEAST, priority: tuple = PRIORITY, combine: bool = False) -> DataFrame:
+    """df with route (array) and route_confidence of each question.
+
+    rules: keyword scores; llm: a column with a model's reply; hybrid: the best of
+    both (the model's confidence times 0.8) and of boosts. Without a route that
+    is sure enough it is docs.
+    """
+    held = scored(df.select(F.struct(*df.columns).alias("row"), F.col(text).alias("question"), (F.col(reply) if reply else F.lit(None).cast("string")).alias("reply"), *[c.alias(f"boost_{r}") for r, c in (boosts or {}).items()]), "question")
+    told = parsed_labels(F.col("reply"))
+    if mode == "llm":
+        sure = told["confidence"]
+        routes = F.when(sure >= least, told["route"]).otherwise(F.array(F.lit("docs")))
+    else:
+        if mode == "hybrid":
+            held = held.withColumn("told", told)
+            for r in PRIORITY:
+                said = F.when(F.array_contains("told.route", r), F.col("told.confidence")).otherwise(0.0)
+                held = held.withColumn(r, hybrid(F.col(r), said, F.coalesce(F.col(f"boost_{r}").cast("double"), F.lit(0.0)) if boosts and r in boosts else F.lit(0.0)))
+        best_first = ranked(least)
+        routes = F.when(F.size(best_first) > 0, best_first).otherwise(F.array(F.lit("docs")))
+        sure = F.greatest(*PRIORITY)
+    in_order = F.filter(F.array(*map(F.lit, priority)), lambda p: F.array_contains(routes, p))
+    return held.select("row.*", (in_order if combine else F.slice(in_order, 1, 1)).alias("route"), sure.alias("route_confidence"))
+
+
+def combined(scores: DataFrame, group: str, label: str, score: str, weight: str | None = None) -> DataFrame:
+    """group, label, score: weighted sums of the rows of several score tables; sums are partial before the shuffle."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    return scores.groupBy(group, label).agg(F.sum(F.col(score) * w).alias(score))
+
+
+def tool_output(answer: Column, confidence: Column, tool: Column) -> Column:
+    """struct(answer, confidence) of a tool: a blank answer says so, at seven tenths of its confidence but 0.3 at least."""
+    text_, sure = F.coalesce(answer, F.lit("")), F.coalesce(confidence.cast("double"), F.lit(0.5))
+    blank = ~text_.rlike(r"\S")
+    # fixed value: what stands for an empty answer
+    none = F.concat(F.lit("Инструмент "), tool, F.lit(" не вернул содержательного ответа."))
+    return F.struct(F.when(blank, none).otherwise(text_).alias("answer"), F.when(blank, F.greatest(F.lit(0.3), sure * 0.7)).otherwise(sure).alias("confidence"))
+
+
+def synthesized(outputs: DataFrame, group: str, *, tool: str = "tool", answer: str = "answer", confidence: str = "confidence") -> DataFrame:
+    """Each group's best tool output, normalised; ties by tool."""
+    held = outputs.select(group, F.col(tool).alias("tool"), tool_output(F.col(answer), F.col(confidence), F.col(tool)).alias("o"))
+    got = held.groupBy(group).agg(F.max_by(F.struct("tool", "o"), F.struct("o.confidence", "tool")).alias("x"))
+    return got.select(group, F.col("x.tool").alias("tool"), F.col("x.o.answer").alias("answer"), F.col("x.o.confidence").alias("confidence"))
+
+
 def hybrid(rule: Column, model: Column, hint: Column) -> Column:
     """The highest of the rule's score, 0.8 of the model's, and a hint's boost."""
     return F.greatest(rule, model * 0.8, hint)
@@ -106,4 +172,4 @@ def run_until(df: DataFrame, group: str, order: str, score: str, enough: Column)
 
     before = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     done = F.coalesce(F.max((F.col(score) >= enough).cast("int")).over(before), F.lit(0))
-    return df.withColumn("_done", done).where("_done = 0").drop("_done")
+    return df.select(F.struct(*df.columns).alias("row"), done.alias("done")).where("done = 0").select("row.*")

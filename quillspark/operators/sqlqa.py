@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 FORBIDDEN = ("insert", "update", "delete", "alter", "drop", "create", "truncate", "vacc?uum", "pragma", "attach", "detach", "grant", "revoke", "set", "replace")
 EMPTY_VALUES = ("", "none", "null", "n/a")
 LIMIT, TIMEOUT_S = 100, 5
-
+# What an answer says that found nothing.
+NEGATIVE = ("не найд", "нет данных", "не существует", "отсутств", "no data", "not found", "does not exist", "empty", "unknown", "ничего", "nothing")
+# The phrases of answers.
 NO_DATA, ONE_ROW, FOUND, ROWS, COLUMNS = "Данные не найдены.", "Найдена 1 запись.", "Найдено: ", "Найдено записей: ", " Колонки: "
 
 
@@ -76,6 +78,7 @@ def within(spark: SparkSession, df: DataFrame, seconds: float = TIMEOUT_S) -> li
         spark.removeTag(tag)
 
 
+# The questions that rules know and their queries.
 def template(question: str) -> tuple[str, dict]:
     """The query of a question's first matching rule over team(id, name, role) and modules(name, owner_id), with its named parameters."""
     q = question.lower().strip()
@@ -108,13 +111,25 @@ def empty_cell(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(s)).isin(*EMPTY_VALUES) | (s == "false") | s.rlike(r"^-?0(\.0+)?$"), F.lit(True))
 
 
-def confidence(answer: DataFrame, limited: bool) -> DataFrame:
-    """One row: rows and confidence of an answer: 0.1 without rows, 0.3 with an empty cell, 0.7 if a limit may have cut it, else 0.9."""
+def phrased(answer: DataFrame) -> Column:
+    """phrase() of an answer's rows, as an aggregate."""
+    n, names = F.count("*"), answer.columns
+    one = F.concat(F.lit(FOUND), F.coalesce(F.max(F.col(names[0]).cast("string")), F.lit("None"))) if len(names) == 1 else F.lit(ONE_ROW)
+    many = F.concat(F.lit(ROWS), n.cast("string"), F.lit("." + (f"{COLUMNS}{', '.join(names)}" if len(names) <= 5 else "")))
+    return F.when(n == 0, NO_DATA).when(n == 1, one).otherwise(many)
+
+
+def confidence(answer: DataFrame, limited: bool, said: str | None = None) -> DataFrame:
+    """One row: rows and confidence of an answer: 0.1 without rows, 0.2 if what is said (by default its phrase) tells that nothing was found, 0.3 with an empty cell, 0.7 if a limit may have cut it, else 0.9."""
     bad = F.lit(False)
     for c in answer.columns:
         bad = bad | empty_cell(F.col(c))
-    got = answer.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"))
-    level = F.when(F.col("n") == 0, 0.1).when(F.col("bad"), 0.3).when(F.lit(limited) & (F.col("n") >= 100), 0.7).otherwise(0.9)
+    text = phrased(answer) if said is None else F.lit(said)
+    got = answer.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"), F.lower(text).alias("said"))
+    negative = F.lit(False)
+    for word in NEGATIVE:
+        negative = negative | F.col("said").contains(word)
+    level = F.when(F.col("n") == 0, 0.1).when(negative, 0.2).when(F.col("bad"), 0.3).when(F.lit(limited) & (F.col("n") >= LIMIT), 0.7).otherwise(0.9)
     return got.select(F.col("n").alias("n_rows"), level.alias("confidence"))
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import ids, text
 from quillspark.functions import vectors as V
-from quillspark.operators import chunking, dedup, retrieval, routing, sqlqa, stats
+from quillspark.operators import chunking, dedup, payloads, retrieval, routing, sqlqa, stats, store
 from quillspark.plans.fixtures import MD_SQL, md_documents
 from quillspark.sources.documents import read_table
 from quillspark.streaming import ingest
@@ -166,10 +166,10 @@ def _scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-@query("select s_suppkey, s_name from supplier where s_suppkey % 2 = 0 union all select n_nationkey * 3, 'Nation ' || n_name from nation where n_nationkey * 3 not in (select s_suppkey from supplier where s_suppkey % 2 = 0)")
+@query("select s_suppkey, s_name from supplier union all select n_nationkey * 3, 'Nation ' || n_name from nation where n_nationkey * 3 not in (select s_suppkey from supplier)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key is not there yet."""
-    base = read_table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0").select("s_suppkey", "s_name")
+    base = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
     new = read_table(spark, sf_dir, "nation").select((F.col("n_nationkey") * 3).cast("long").alias("s_suppkey"), F.concat(F.lit("Nation "), "n_name").alias("s_name"))
     return dedup.insert_absent(base, new, ["s_suppkey"])
 
@@ -185,10 +185,45 @@ def chunk_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("document_id", "seq", "chunk_id", "chunk_size", F.array_join("h_path", "/").alias("h_path"), "has_code", "has_table", "code_lang")
 
 
-@query()
+_PROTECT = "text"
+for _abbreviation in text.ABBREVIATIONS:
+    _PROTECT = f"replace({_PROTECT}, '{_abbreviation}', '{_abbreviation.replace('.', '∯')}')"
+_EST = lambda x: f"greatest(1, length({x}) // 4)"
+_HELD, _JOINED = "list_append(r.wait, t.txt)", "array_to_string(list_append(r.wait, t.txt), ' ')"
+_FULL = f"({_EST(_JOINED)} > 420 or len(r.wait) >= 8)"
+#: Sentences in order; one that is too long for a chunk is followed by its parts. Each step holds what waits for a chunk and gives at most one chunk.
+_CHUNKS = rf"""cut as (select doc_id, string_split(regexp_replace({_PROTECT}, '([.!?]) *([A-Z"''(\[])', '\1␞\2', 'g'), '␞') as l from documents),
+flat as (select doc_id, unnest(l) as raw, unnest(range(len(l))) as i from cut),
+sent as (select doc_id, i, regexp_replace(replace(raw, '∯', '.'), {_STRIP}) as txt from flat),
+long as (select doc_id, i, txt, {_EST('txt')} > 420 as long from sent where txt <> ''),
+parts as (select doc_id, i, unnest(range(len(p))) as j, regexp_replace(unnest(p), {_STRIP}) as txt from (select doc_id, i, string_split_regex(txt, '[;•—,](\s+|$)') as p from long where long)),
+items as (select doc_id, i, -1 as j, txt, long from long union all select doc_id, i, j, txt, false from parts where txt <> ''),
+t as (select doc_id, j, txt, long, row_number() over (partition by doc_id order by i, j) as n from items),
+r as (select distinct doc_id, cast(0 as bigint) as n, cast([] as varchar[]) as wait, false as split, cast(null as varchar) as made from t
+ union all select r.doc_id, t.n,
+  case when t.j < 0 then case when len(r.wait) = 0 or not {_FULL} then {_HELD} when t.long then [] else [t.txt] end
+   when not r.split or {_EST('t.txt')} > 420 then r.wait when {_FULL} then [] else {_HELD} end,
+  case when t.j < 0 then len(r.wait) > 0 and t.long else r.split end,
+  case when t.j < 0 then case when len(r.wait) > 0 and {_FULL} then array_to_string(r.wait, ' ') end
+   when not r.split then null when {_EST('t.txt')} > 420 then t.txt when {_FULL} then {_JOINED} end
+ from r join t on t.doc_id = r.doc_id and t.n = r.n + 1),
+made as (select doc_id, n, made from r where made is not null
+ union all select doc_id, max(n) + 1, array_to_string(arg_max(wait, n), ' ') from r group by doc_id having len(arg_max(wait, n)) > 0),
+once as (select doc_id, made, min(n) as n from made where length(made) >= 180 group by doc_id, made)"""
+
+
+@query(f"with recursive {_CHUNKS} select cast(doc_id as varchar) as document_id, row_number() over (partition by doc_id order by n) as seq, doc_id || '_' || row_number() over (partition by doc_id order by n) || '_' || left(sha1(made), 16) as chunk_id, {_EST('made')} as chunk_size, sha256(made) as digest from once")
 def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk report over all documents."""
-    return stats.chunk_report(chunking.chunk_documents(read_table(spark, sf_dir, "documents"), doc="doc_id", text="text"))
+    """All chunks of all documents."""
+    c = chunking.chunk_documents(read_table(spark, sf_dir, "documents"), doc="doc_id", text="text", budget=chunking.Budget(max_chunks=None))
+    return c.select("document_id", "seq", "chunk_id", "chunk_size", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"with recursive {_CHUNKS} select count(*) as n_chunks, cast(0 as bigint) as n_code, cast(0 as bigint) as n_table, round(avg(length(made)), 4) as avg_chars, cast(0.0 as double) as code_share, cast(0.0 as double) as table_share from once")
+def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report over all chunks; texts without code and tables."""
+    made = chunking.chunk_documents(read_table(spark, sf_dir, "documents"), doc="doc_id", text="text", budget=chunking.Budget(max_chunks=None))
+    return stats.chunk_report(made).withColumn("avg_chars", F.round("avg_chars", 4))
 
 
 @query("select conv_id, turn, lag(turn) over w as prev_id, lead(turn) over w as next_id from conversations window w as (partition by conv_id order by turn)")
@@ -223,7 +258,7 @@ def growth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- vectors
 
-_VEC = "v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), d as (select label, i, avg(x) as m from (select label, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from v) group by all), c as (select label, list(m order by i) as m from d group by label), q as (select e as qv from v where vec_id = 0)"
+_VEC = "v as (select vec_id, label, cast(embedding as double[]) as e from embeddings), d as (select label, i, avg(x) as m from (select label, unnest(e) as x, unnest(range(1, len(e) + 1)) as i from v) group by all), c as (select label, list(m order by i) as m from d group by label), q as (select vec_id as query_id, e as qv from v where vec_id % 100 = 0)"
 _COS = "least(1.0, greatest(0.0, list_cosine_similarity({}, {})))"
 
 
@@ -235,48 +270,48 @@ def l2_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _vectors(spark, sf_dir):
+    """Every hundredth vector as a query, labels' centroids as parents, all vectors as children."""
     e = read_table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id = 0").select(F.lit(0).alias("query_id"), V.doubles(F.col("embedding")).alias("query_vec"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), V.doubles(F.col("embedding")).alias("query_vec"))
     parents = retrieval.centroids(e, "label", "embedding", "vec_id").withColumnRenamed("label", "parent_id")
     children = e.select(F.col("label").alias("parent_id"), F.col("vec_id").alias("point_id"), F.col("embedding").alias("vec"))
     return q, parents, children
 
 
-@query(f"with {_VEC} select label as parent_id, round({_COS.format('m', 'qv')}, 6) as score from c, q order by {_COS.format('m', 'qv')} desc, label limit 3")
+@query(f"with {_VEC} select query_id, label as parent_id, round({_COS.format('m', 'qv')}, 6) as score from c, q qualify row_number() over (partition by query_id order by {_COS.format('m', 'qv')} desc, label) <= 3")
 def topk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three nearest centroids."""
+    """The three nearest centroids of each query."""
     q, parents, _ = _vectors(spark, sf_dir)
-    return retrieval.top_k(q, parents, 3, vec="parent_vec", id_="parent_id").select("parent_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(q, parents, 3, vec="parent_vec", id_="parent_id").select("query_id", "parent_id", F.round("score", 6).alias("score"))
 
 
-@query(f"with {_VEC}, s as (select label as parent_id, vec_id, {_COS.format('e', 'qv')} as s from v, q) select parent_id, vec_id, round(s, 6) as score from s qualify row_number() over (partition by parent_id order by s desc, vec_id) <= 4")
+@query(f"with {_VEC}, s as (select query_id, label as parent_id, vec_id, {_COS.format('e', 'qv')} as s from v, q) select query_id, parent_id, vec_id, round(s, 6) as score from s qualify row_number() over (partition by query_id, parent_id order by s desc, vec_id) <= 4")
 def topk_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four nearest vectors of each label."""
+    """The four nearest vectors of each label for each query."""
     q, parents, children = _vectors(spark, sf_dir)
-    hits = parents.select("parent_id").join(F.broadcast(q), F.lit(True))
-    found = retrieval.children_of(hits, children, 4, query_vec="query_vec")
-    return found.select("parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("score"))
+    found = retrieval.children_of_all(q, parents.select("parent_id"), children, 4)
+    return found.select("query_id", "parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("score"))
 
 
-_RAG = f"""{_VEC}, p as (select label as parent_id, {_COS.format('m', 'qv')} as ps from c, q order by ps desc, label limit 3),
-k as (select p.parent_id, ps, vec_id, {_COS.format('e', 'qv')} as cs from v join p on v.label = p.parent_id, q qualify row_number() over (partition by p.parent_id order by cs desc, vec_id) <= 4),
-r as (select parent_id, vec_id, 0.7 * ps + 0.3 * cs as s, cs from k where cs >= 0.05)"""
+_RAG = f"""{_VEC}, p as (select query_id, qv, label as parent_id, {_COS.format('m', 'qv')} as ps from c, q qualify row_number() over (partition by query_id order by ps desc, label) <= 3),
+k as (select query_id, p.parent_id, ps, vec_id, {_COS.format('e', 'qv')} as cs from v join p on v.label = p.parent_id qualify row_number() over (partition by query_id, p.parent_id order by cs desc, vec_id) <= 4),
+r as (select query_id, parent_id, vec_id, 0.7 * ps + 0.3 * cs as s, cs from k where cs >= 0.05)"""
 
 
-@query(f"with {_RAG} select parent_id, vec_id, round(cs, 6) as child_score, round(s, 6) as score from r")
+@query(f"with {_RAG} select query_id, parent_id, vec_id, round(cs, 6) as child_score, round(s, 6) as score from r")
 def rag_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-stage retrieval: parents, children, threshold, rescoring."""
     found = retrieval.retrieve(*_vectors(spark, sf_dir), min_score=0.05)
-    return found.select("parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("child_score"), F.round("score", 6).alias("score"))
+    return found.select("query_id", "parent_id", F.col("point_id").alias("vec_id"), F.round("child_score", 6).alias("child_score"), F.round("score", 6).alias("score"))
 
 
-@query(f"""with {_RAG} select vec_id, row_number() over (order by s desc, vec_id) as n, left(text, 197) || '...' as preview, round(s, 6) as score from r join documents on doc_id = vec_id where length(text) > 200""")
+@query(f"""with {_RAG} select query_id, vec_id, row_number() over (partition by query_id order by s desc, vec_id) as n, case when length(text) > 200 then left(text, 200) || '...' else text end as preview, round_even(s, 3) as score from r join documents on doc_id = vec_id""")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered citations of the retrieved evidence."""
-    docs = read_table(spark, sf_dir, "documents").where(F.char_length("text") > 200).select(F.col("doc_id").alias("point_id"), "text")
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("point_id"), "text")
     found = retrieval.retrieve(*_vectors(spark, sf_dir), min_score=0.05).join(docs, "point_id")
     c = retrieval.citations(found, query="query_id", text="text", score="score", id_="point_id")
-    return c.select(F.col("point_id").alias("vec_id"), F.col("n").cast("long").alias("n"), "preview", "score")
+    return c.select("query_id", F.col("point_id").alias("vec_id"), F.col("n").cast("long").alias("n"), "preview", "score")
 
 
 @query("""with s as (select doc_id, lang, n_chars, sum(greatest(1, length(text) // 4)) over (partition by lang order by n_chars desc, doc_id rows unbounded preceding) + 11 as run from documents) select lang, doc_id, cast(run as bigint) as run_tokens from s where run <= 3744 * 10""")
@@ -349,6 +384,121 @@ def best_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.best(c, "conv_id", "answer", "score")
 
 
+_BEST = "case when greatest(docs, sql, web) >= 0.6 then case when docs >= 0.6 then 'docs' when sql >= 0.6 then 'sql' else 'web' end else 'docs' end"
+
+
+@query(f"with {_SCORES} select conv_id, turn, {_BEST} as route, round(greatest(docs, sql, web), 6) as route_confidence from s")
+def route_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The router's entry with rules alone: one route of each turn, docs where none is sure."""
+    c = routing.routed(read_table(spark, sf_dir, "conversations"), "text")
+    return c.select("conv_id", "turn", F.array_join("route", ",").alias("route"), F.round("route_confidence", 6).alias("route_confidence"))
+
+
+_REPLY = "case turn % 4 when 0 then '{\"route\": [\"web\", \"nowhere\"], \"confidence\": 0.9}' when 1 then 'Sure: {\"route\": [\"SQL \"], \"confidence\": 0.7, \"rationale\": \"x\"}' when 2 then 'no idea' else '{\"route\": [\"docs\"], \"confidence\": 0.2}' end"
+_TOLD = "case turn % 4 when 0 then 'web' when 1 then 'sql' else 'docs' end as r, case turn % 4 when 0 then 0.9 when 1 then 0.7 when 2 then 0.6 else 0.2 end as c"
+
+
+@query(f"""with {_SCORES}, m as (select *, {_TOLD} from s),
+h as (select conv_id, turn, r, c, greatest(docs, case when r = 'docs' then c * 0.8 else 0 end) as docs, greatest(sql, case when r = 'sql' then c * 0.8 else 0 end) as sql, greatest(web, case when r = 'web' then c * 0.8 else 0 end, case when turn % 8 = 3 then 1.0 else 0 end) as web from m)
+select conv_id, turn, case when c >= 0.6 then r else 'docs' end as llm_route, cast(c as double) as llm_confidence,
+ coalesce(nullif(array_to_string(list_filter([case when docs >= 0.6 then 'docs' end, case when sql >= 0.6 then 'sql' end, case when web >= 0.6 then 'web' end], lambda x: x is not null), ','), ''), 'docs') as hybrid_route, round(greatest(docs, sql, web), 6) as hybrid_confidence from h""")
+def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes by a model's replies alone, and by the best of rules, replies and hints, all that are sure."""
+    c = read_table(spark, sf_dir, "conversations").withColumn("reply", F.expr(_REPLY))
+    llm = routing.routed(c, "text", mode="llm", reply="reply").select("conv_id", "turn", "text", "reply", F.array_join("route", ",").alias("llm_route"), F.col("route_confidence").alias("llm_confidence"))
+    both = routing.routed(llm, "text", mode="hybrid", reply="reply", combine=True, boosts={"web": F.when(F.col("turn") % 8 == 3, 1.0)})
+    return both.select("conv_id", "turn", "llm_route", "llm_confidence", F.array_join("route", ",").alias("hybrid_route"), F.round("route_confidence", 6).alias("hybrid_confidence"))
+
+
+@query("""with o as (select conv_id, role as tool, case when turn % 3 = 0 then ' ' else text end as answer, (turn % 10) / 10.0 as confidence from conversations),
+n as (select conv_id, tool, case when trim(answer) = '' then 'Инструмент ' || tool || ' не вернул содержательного ответа.' else answer end as answer, case when trim(answer) = '' then greatest(0.3, confidence * 0.7) else confidence end as confidence from o)
+select conv_id, max(confidence) as confidence, count(distinct tool) as n_tools, count(*) filter (starts_with(answer, 'Инструмент ')) as n_blank from n group by conv_id""")
+def tool_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool outputs normalised: blank answers say so, at a lower confidence; the best of each conversation."""
+    o = read_table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("tool"), F.when(F.col("turn") % 3 == 0, " ").otherwise(F.col("text")).alias("answer"), (F.col("turn") % 10 / 10).alias("confidence"))
+    best_ = routing.synthesized(o, "conv_id").select("conv_id", "confidence")
+    n = o.select("conv_id", "tool", routing.tool_output(F.col("answer"), F.col("confidence"), F.col("tool"))["answer"].alias("a"))
+    return n.groupBy("conv_id").agg(F.count_distinct("tool").alias("n_tools"), F.count_if(F.col("a").startswith("Инструмент ")).alias("n_blank")).join(best_, "conv_id")
+
+
+@query("select event_type as tool, cast(user_id as varchar) as user_id, round(sum(value * case when event_type = 'click' then 0.5 else 1.0 end), 4) as score from events group by all")
+def combined_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted sums of several score tables."""
+    e = read_table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("tool"), F.col("value").alias("score"), F.when(F.col("event_type") == "click", 0.5).otherwise(1.0).alias("w"))
+    return routing.combined(e, "user_id", "tool", "score", "w").withColumn("score", F.round("score", 4))
+
+
+# ---------------------------------------------------------------- payloads and identifiers
+
+
+@query(r"""with d as (select *, case doc_id % 4 when 0 then chr(92) || 'a' || chr(92) || source || '/' when 1 then '' when 2 then null else '/x//' end as p, case when doc_id % 5 = 0 then 'https://h/' || lang || '/' end as u from documents)
+select doc_id, coalesce(nullif(trim(replace(p, chr(92), '/'), '/'), ''), nullif(trim(replace(u, chr(92), '/'), '/'), ''), 'doc' || doc_id) as document_id,
+ case doc_id % 3 when 0 then 'extra' || doc_id when 1 then 'own' || doc_id else 'f__' || case when doc_id % 2 = 0 then 'seq' || doc_id || '__' else '' end || left(sha1(text), 8) end as chunk_id,
+ concat_ws('_', nullif(lang, ''), nullif(p, ''), doc_id) as composite from d""")
+def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of documents and chunks from what is known of them."""
+    d = read_table(spark, sf_dir, "documents")
+    i, id_ = F.col("doc_id"), F.col("doc_id").cast("string")
+    p = F.when(i % 4 == 0, F.concat(F.lit("\\a\\"), "source", F.lit("/"))).when(i % 4 == 1, "").when(i % 4 == 3, "/x//")
+    u = F.when(i % 5 == 0, F.concat(F.lit("https://h/"), "lang", F.lit("/")))
+    chunk = ids.resolved_chunk_id(F.when(i % 3 == 0, F.concat(F.lit("extra"), id_)), F.when(i % 3 == 1, F.concat(F.lit("own"), id_)), F.when(i % 2 == 0, i), F.col("text"), F.lit("f"))
+    return d.select("doc_id", ids.document_id(p, u, F.concat(F.lit("doc"), id_)).alias("document_id"), chunk.alias("chunk_id"), ids.composite_id(F.col("lang"), p, i).alias("composite"))
+
+
+@query(r"""with p as (select doc_id, lang, source, n_chars, case when doc_id % 3 = 0 then '  ' else left(text, 300) end as prev, case when doc_id % 2 = 0 then text end as body from documents)
+select doc_id, sha256(case when trim(prev, ' ' || chr(10)) <> '' then trim(prev, ' ' || chr(10)) when body is not null and trim(body, ' ' || chr(10)) <> '' then trim(body, ' ' || chr(10)) else lang end) as digest, case when doc_id % 5 = 0 then 'other' else lang end as lang, source from p""")
+def point_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point's text and metadata from its payload."""
+    i = F.col("doc_id")
+    held = F.create_map(F.lit("_preview"), F.when(i % 3 == 0, "  ").otherwise(F.left("text", F.lit(300))), F.lit("body"), F.when(i % 2 == 0, F.col("text")), F.lit("title"), F.col("lang"), F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("_inner"), F.lit("x"), F.lit("vector"), F.lit("1,2"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", held.alias("payload"), F.when(i % 5 == 0, F.create_map(F.lit("lang"), F.lit("other"))).alias("extra"))
+    meta = payloads.point_metadata(F.col("payload"), F.col("extra"))
+    return d.select("doc_id", F.sha2(payloads.point_text(F.col("payload")), 256).alias("digest"), meta["lang"].alias("lang"), payloads.meta_field(meta, F.col("extra"), "source").alias("source"))
+
+
+@query("select conv_id, turn, lang, 'doc' || conv_id as document_id, case when turn % 2 = 0 then 'c' || turn else 'p__seq' || turn || '__' || left(sha1(text), 8) end as chunk_id, 'child' as kind, sha256(left(text, 1000)) as preview from (select c.conv_id, c.turn, c.text, d.lang from conversations c left join documents d on d.doc_id = c.conv_id)")
+def chunk_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks with their document's fields and the defaults of a point's payload."""
+    c = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("turn").alias("seq"), "text", F.concat(F.lit("doc"), F.col("conv_id").cast("string")).alias("document_id"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit("c"), F.col("turn").cast("string"))).alias("chunk_id"))
+    d = read_table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("document_id"), "lang")
+    made = payloads.point_payload(payloads.with_document_fields(c, d), "text", kind="child", key="chunk_id", prefix=F.lit("p"))
+    return made.select("conv_id", "turn", F.col("extra")["lang"].alias("lang"), "document_id", "chunk_id", "kind", F.sha2("_preview", 256).alias("preview"))
+
+
+@query(r"select c_custkey, concat_ws(';', case when length(c_name) > 18 then 'name' end, case when c_mktsegment = 'MACHINERY' then 'role' end, case when c_custkey % 3 = 0 then 'email' end, case when c_acctbal < 0 then 'years' end) as errors from customer where length(c_name) > 18 or c_mktsegment = 'MACHINERY' or c_custkey % 3 = 0 or c_acctbal < 0")
+def row_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of people that break a rule, and which."""
+    c = read_table(spark, sf_dir, "customer")
+    name = F.when(F.char_length("c_name") > 18, F.repeat("c_name", F.lit(10))).otherwise(F.col("c_name"))
+    role = F.when(F.col("c_mktsegment") == "MACHINERY", "  ").otherwise(F.col("c_mktsegment"))
+    email = F.when(F.col("c_custkey") % 3 == 0, "a@host").when(F.col("c_custkey") % 3 == 1, "A@host.Example")
+    return c.select("c_custkey", payloads.person_errors(name, role, email, F.col("c_acctbal")).alias("errors")).where("errors <> ''")
+
+
+@query("select 'team' as collection, count(*) as n_points, count(*) > 0 as healthy from nation union all select 'modules', count(*), count(*) > 0 from supplier union all select 'none', 0, false")
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table and whether it has any."""
+    n = read_table(spark, sf_dir, "nation")
+    return store.collection_report({"team": n, "modules": read_table(spark, sf_dir, "supplier"), "none": n.limit(0)})
+
+
+@query("with p as (select vec_id from embeddings where vec_id % 10 <> 0), e as (select vec_id from embeddings where vec_id % 7 <> 0) select (select count(*) from e) as n_expected, (select count(*) from e where vec_id not in (select vec_id from p)) as n_missing, (select count(*) from p where vec_id not in (select vec_id from e)) as n_stray")
+def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without a point and points without a chunk."""
+    e = read_table(spark, sf_dir, "embeddings")
+    points = e.where("vec_id % 10 <> 0").select(ids.uuid5(F.col("vec_id").cast("string")).alias("id"))
+    return store.verified(points, e.where("vec_id % 7 <> 0"), "vec_id")
+
+
+@query("select label, count(*) as n_points, cast(min(len(embedding)) as bigint) as least_dim, max(vec_id) as newest from embeddings group by label")
+def points_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of labels, written twice: the later payload stays."""
+    e = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("payload"))
+    merged = store.upsert_points(e.where("cast(payload as bigint) % 2 = 0"), e.where("cast(payload as bigint) % 2 = 1").unionByName(e.where("cast(payload as bigint) % 2 = 0")))
+    counts = e.groupBy("id").agg(F.count("*").alias("n_points"))
+    return merged.join(counts, "id").select(F.col("id").cast("long").alias("label"), "n_points", F.size("vector").cast("long").alias("least_dim"), F.col("payload").cast("long").alias("newest"))
+
+
 # ---------------------------------------------------------------- questions over tables
 
 _STATEMENTS = ["select 1", "SELECT a FROM t;", "with x as (select 1) select * from x", "select replace(a, 'b', 'c') from t", "select 1 -- drop it", "select x from t limit\n5", "delete from t", "", "select /* insert */ y from t", "SELECT updated FROM t", "select a from t where b = 'set'"]
@@ -404,6 +554,20 @@ def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlqa.confidence(_asked(spark, sf_dir, "core-dev count"), limited=False)
 
 
+_LEVELS = [("", 0), ("5", 1), ("0", 1), ("Not found here", 1), ("n/a", 2), ("unknown", 3), ("x", 100), ("x", 99)]
+
+
+@query("select * from (values ('none', 0::bigint, 0.1::double), ('one', 1::bigint, 0.9::double), ('zero', 1::bigint, 0.3::double), ('negative', 1::bigint, 0.2::double), ('empty cell', 2::bigint, 0.3::double), ('many', 3::bigint, 0.9::double), ('cut', 100::bigint, 0.7::double), ('not cut', 99::bigint, 0.9::double)) t(name, n_rows, confidence)")
+def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each level of confidence, by answers that call for it. Only a single cell is said, so a word for nothing in a longer answer tells nothing."""
+    out = None
+    for name, (value, n) in zip(("none", "one", "zero", "negative", "empty cell", "many", "cut", "not cut"), _LEVELS):
+        rows = spark.range(n).select(F.lit(value).alias("value"))
+        got = sqlqa.confidence(rows, limited=True).select(F.lit(name).alias("name"), "n_rows", "confidence")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 # ---------------------------------------------------------------- reports
 
 
@@ -437,7 +601,7 @@ _SHARED = {
     "sql_grouping_sets": "select o_orderstatus, o_orderpriority, count(*) as n from orders group by grouping sets ((o_orderstatus), (o_orderpriority), ())",
     "sql_set_ops": "select c_nationkey as k from customer except select s_nationkey from supplier union all (select p_size as k from part intersect select n_nationkey from nation)",
     "sql_semi_anti": "select c_custkey, c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 200000) and not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')",
-    "sql_outer": "select coalesce(c_nationkey, s_nationkey) as k, count(distinct c_custkey) as n_c, count(distinct s_suppkey) as n_s from customer full outer join (select s_suppkey, s_nationkey from supplier where s_suppkey % 7 = 0) s on c_nationkey = s_nationkey and c_custkey % 5 = 0 group by coalesce(c_nationkey, s_nationkey)",
+    "sql_outer": "select coalesce(c_nationkey, s_nationkey) as k, n_c, n_s from (select c_nationkey, count(*) as n_c from customer where c_acctbal > 5000 group by c_nationkey) c full outer join (select s_nationkey, count(*) as n_s from supplier where s_acctbal > 5000 group by s_nationkey) s on c_nationkey = s_nationkey",
     "sql_lateral": "select n_name, t.c_name, t.c_acctbal from nation, lateral (select c_name, c_acctbal, c_custkey from customer where c_nationkey = n_nationkey order by c_acctbal desc, c_custkey limit 2) t",
     "sql_theta": "select r_name, count(*) as n from region join nation on n_regionkey < r_regionkey group by r_name",
 }

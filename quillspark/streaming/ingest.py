@@ -1,39 +1,47 @@
 """Incremental ingest: file streams into keyed tables and windows over events."""
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.dedup import upsert
 
 
-def stream_upsert(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, key: list[str], version: list[str], columns: list[str] | None = None) -> str:
-    """Read what is new at source once and merge it into target; the folder of the merged table.
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """Numbers of the versions that are whole, in order: Spark marks a written folder when all of it is there."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return []
+    names = [str(f.getPath().getName()) for f in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
 
-    Each micro-batch writes a new version of the table beside the last and then
-    names it in a pointer, so a failed batch leaves the last version whole and a
-    repeated one gives the same rows.
-    """
 
-    def current() -> str | None:
-        try:
-            return spark.read.text(f"{target}/_current").first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return None
-            raise
+def _forget(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def stream_upsert(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, key: list[str], version: list[str], columns: list[str] | None = None, keep: int = 2) -> str | None:
+    """Read what is new at source once and merge it into target; the folder of the merged table, None if there is none.
+
+    Micro-batch n writes version n of the table beside the last whole one below n
+    and is the current version as soon as it is whole; there is no pointer to
+    lose. A batch that fails leaves the last version as it was, one that is
+    repeated writes its version anew. Versions older than the last `keep` go.
+    """
 
     def merge(batch: DataFrame, n: int) -> None:
-        last = current()
-        base = spark.read.parquet(last) if last else batch.limit(0)
-        path = f"{target}/v{n}-{uuid.uuid4().hex[:8]}"
-        upsert(base, batch, key, version).write.parquet(path)
-        spark.createDataFrame([(path,)], "value string").coalesce(1).write.mode("overwrite").text(f"{target}/_current")
+        before = [v for v in _versions(spark, target) if v < n]
+        base = spark.read.parquet(f"{target}/v{before[-1]}") if before else batch.limit(0)
+        upsert(base, batch, key, version).write.mode("overwrite").parquet(f"{target}/v{n}")
+        for old in before[: -keep + 1 or None] if keep > 1 else before:
+            _forget(spark, f"{target}/v{old}")
 
     rows = spark.readStream.schema(schema).parquet(source)
     rows = rows.select(*columns) if columns else rows
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return current()
+    now = _versions(spark, target)
+    return f"{target}/v{now[-1]}" if now else None
 
 
 def windowed_counts(events: DataFrame, *, ts: str, kind: str, every: str = "1 day", late: str = "1 hour") -> DataFrame:

@@ -20,7 +20,9 @@ def one(spark, column, **values):
 
 def test_ids(spark):
     assert one(spark, ids.uuid5(F.col("x")), x="a/ß") == str(uuid.uuid5(uuid.NAMESPACE_URL, "a/ß"))
-    assert one(spark, ids.document_id(F.col("a"), F.col("b")), a=" ", b="\\x\\y/") in ("x/y", " ")
+    # only slashes go: blanks are a value, as they are where the id is stored
+    assert one(spark, ids.document_id(F.col("a"), F.col("b")), a="/", b="\\x\\y/") == "x/y"
+    assert one(spark, ids.document_id(F.col("a"), F.col("b")), a=" ", b="z") == " "
     assert one(spark, ids.first_filled(F.col("a"), F.col("b")), a=" ", b="z") == "z"
 
 
@@ -130,12 +132,6 @@ def test_vectors(spark):
     assert one(spark, V.rescored(F.lit(0.5), F.lit(1.0))) == pytest.approx(0.85)
 
 
-def test_query_block(spark):
-    many = spark.range(retrieval.QUERY_BLOCK + 1).select(F.col("id").alias("query_id"), F.array(F.lit(1.0)).alias("query_vec"))
-    with pytest.raises(ValueError):
-        retrieval.top_k(many, many, 1)
-
-
 @pytest.mark.parametrize("sql", ["select * from parquet.`/etc`", "select reflect('java.lang.Math', 'abs', -1)", "select * from secret", "insert into team values (1)", "select 1; select 2", "drop table team", "with a as (select 1) select * from a"])
 def test_guard_refuses(spark, sql):
     with pytest.raises(Exception):
