@@ -1,63 +1,142 @@
-"""spark-submit entry points: ingest, chunk, embed.
+"""spark-submit entry points: ingest, chunk, embed, verify.
 
-    spark-submit quillspark/jobs.py ingest SOURCE TARGET --product P --version V --lang L
+    spark-submit quillspark/jobs.py ingest SOURCE TARGET --product P --version V --lang L [--config FILE]
     spark-submit quillspark/jobs.py chunk SOURCE TARGET
     spark-submit quillspark/jobs.py embed SOURCE TARGET
+    spark-submit quillspark/jobs.py verify SOURCE TARGET
 """
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.operators import chunking, embedding
+from quillspark import config
+from quillspark.functions import text
+from quillspark.operators import chunking, dedup, embedding, payloads, stats, store
 from quillspark.sources import documents
 
 
-def ingest(spark: SparkSession, source: str, target: str, product: str, version: str, lang: str) -> None:
-    """Markdown files to documents; near duplicates in a bucket are left out."""
-    from quillspark.functions import text
-    from quillspark.operators.dedup import sequential_near_dup
-
-    docs = documents.parse(documents.read_files(spark, source), product=product, product_code=text_code(product), version=version, lang=lang)
-    bucket = F.concat_ws(":", "meta.product_code", text.section_key(F.col("meta.section"), F.col("meta.url"), F.col("meta.product_code")), text.length_bucket(F.char_length("text")))
-    marked = sequential_near_dup(docs.select("text", "source_ref", bucket.alias("bucket")), bucket="bucket", order="source_ref", text="text")
-    documents.write_documents(docs.join(marked.where("is_dup").select("source_ref"), "source_ref", "left_anti"), target)
-
-
 def text_code(product: str) -> str:
     return "".join(c if c.isalnum() else "-" for c in product.lower())
 
 
-def chunk(spark: SparkSession, source: str, target: str) -> None:
-    """Documents to chunks and parents."""
-    docs = spark.read.parquet(source).select("source_ref", "text", "meta.title", "meta.section")
-    made = chunking.chunk_documents(docs, doc="source_ref", text="text", title="title", section="section")
-    made.write.mode("overwrite").parquet(f"{target}/chunks")
-    held = spark.read.parquet(f"{target}/chunks").withColumn("group", F.array_join(chunking.group_key(F.col("h_path"), F.lit(None)), "__"))
-    chunking.neighbours(held, group=["document_id", "group"], seq="seq", chunk="chunk_id").write.mode("overwrite").parquet(f"{target}/linked")
-    chunking.parents(held, group=["document_id", "group"], seq="seq", chunk="chunk_id", text="text").write.mode("overwrite").parquet(f"{target}/parents")
-
-
-def embed(spark: SparkSession, source: str, target: str) -> None:
-    """Chunks to points."""
-    rows = embedding.embedded(spark.read.parquet(f"{source}/linked"), "text")
-    embedding.points(rows, "chunk_id", "vec", "text").write.mode("overwrite").parquet(target)
-
+def ingest(spark: SparkSession, source: str, target: str, product: str, version: str, lang: str, *, include: str | list[str] = "*.md*", exclude: list[str] | None = None, state: str | None = None, settings: config.Settings = config.Settings()) -> dict:
+    """Markdown files to documents; the counters of the run.
 
-def main() -> None:
+    Files without a text are errors: they go to `target_errors` with the reason
+    and stop nothing. Near duplicates of a bucket are left out; with `state` the
+    buckets' representatives are read from there and written back.
+    """
+    files = documents.read_files(spark, source, include, exclude)
+    parsed = documents.parse(files, product=product, product_code=text_code(product), version=version, lang=lang)
+    docs, lacking = payloads.required(parsed, "text", "source_ref")
+    bucket = F.concat_ws(":", "meta.product_code", text.section_key(F.col("meta.section"), F.col("meta.url"), F.col("meta.product_code")), text.length_bucket(F.char_length("text")))
+    rows = docs.select("text", "source_ref", bucket.alias("bucket"))
+    args = {"bucket": "bucket", "order": "source_ref", "text": "text", "min_chars": settings.near_min_chars}
+    before = spark.read.parquet(state) if state and store.exists(spark, state) else None
+    marked = dedup.sequential_near_dup(rows, threshold=settings.near_threshold, state=before, **args)
+    marked.write.mode("overwrite").parquet(f"{target}_marked")
+    marked = spark.read.parquet(f"{target}_marked")
+    if state:
+        after = dedup.near_dup_state(marked, state=before, **args)
+        after.write.mode("overwrite").parquet(f"{state}.next")
+        documents.reset_state(spark, state)
+        store.move(spark, f"{state}.next", state)
+    documents.write_documents(docs.join(marked.where("is_dup").select("source_ref"), "source_ref", "left_anti"), target)
+    blank = files.join(parsed.select(F.col("source_ref").alias("path")), "path", "left_anti").select("path", F.lit("no text").alias("error"))
+    blank.unionByName(lacking.select(F.col("source_ref").alias("path"), "error")).write.mode("overwrite").json(f"{target}_errors")
+    n_error = spark.read.schema("path string, error string").json(f"{target}_errors").count()
+    counted = marked.agg(F.count("*").alias("n_parsed"), F.count_if("is_dup").alias("n_dup")).first()
+    return {"total": counted.n_parsed + n_error, "n_parsed": counted.n_parsed, "n_dup": counted.n_dup, "n_ok": counted.n_parsed - counted.n_dup, "n_error": n_error}
+
+
+def ingest_all(spark: SparkSession, target: str, settings: config.Settings) -> dict:
+    """All sources of the settings, one after the other; a source that fails is counted and told, and stops no other."""
+    out = {"sources": 0, "failed": {}, "counts": {}}
+    for s in settings.sources:
+        out["sources"] += 1
+        try:
+            out["counts"][s.product] = ingest(spark, s.root, f"{target}/{text_code(s.product)}", s.product, s.version, s.lang, include=list(s.include), exclude=list(s.exclude), settings=settings)
+        except Exception as e:  # what broke is in the report
+            out["failed"][s.product] = f"{type(e).__name__}: {e}"[:2000]
+    return out
+
+
+def chunked(docs: DataFrame, settings: config.Settings = config.Settings(), compat: bool = False) -> DataFrame:
+    """Documents (source_ref, text, meta) to chunks: preprocessed, cut, equal and near ones of a section dropped, with their document's fields."""
+    d = docs.select("source_ref", text.preprocess(F.col("text")).alias("text"), "meta.*").drop("anchor")
+    budget = chunking.Budget(max_tokens=settings.max_tokens, max_sentences=settings.max_sentences, min_chars=settings.min_chars, max_chunks=settings.max_chunks or None, compat=compat)
+    made = chunking.chunk_documents(d, doc="source_ref", text="text", title="title", section="section", budget=budget)
+    made = made.withColumn("group", F.array_join(chunking.group_key(F.col("h_path"), F.lit(None)), "__"))
+    once = dedup.first_by_hash(made, "text", "seq", within=["document_id"])
+    kept = dedup.keep_if_grown(once, doc="document_id", section=["group"], seq="seq", text="text", tokens="chunk_size", compat=compat)
+    return payloads.with_document_fields(kept, d.withColumn("document_id", F.col("source_ref")))
+
+
+def chunk(spark: SparkSession, source: str, target: str, settings: config.Settings = config.Settings()) -> dict:
+    """Documents to preprocessed texts, linked chunks, parents and a report."""
+    docs = spark.read.parquet(source)
+    docs.select("source_ref", text.preprocess(F.col("text")).alias("text")).write.mode("overwrite").parquet(f"{target}/preprocessed")
+    chunked(docs, settings).write.mode("overwrite").parquet(f"{target}/chunks")
+    held = spark.read.parquet(f"{target}/chunks")
+    chunking.neighbours(held, group=["document_id", "group"], seq="seq", chunk="chunk_id").write.mode("overwrite").parquet(f"{target}/linked")
+    made = chunking.parents(held, group=["document_id", "group"], seq="seq", chunk="chunk_id", text="text")
+    made = made.withColumn("parent_id", F.concat_ws("__", "document_id", "group", F.col("ordinal").cast("string")))
+    made.write.mode("overwrite").parquet(f"{target}/parents")
+    report = stats.chunk_report(held)
+    report.write.mode("overwrite").json(f"{target}/report")
+    return report.first().asDict()
+
+
+def embed(spark: SparkSession, source: str, target: str, settings: config.Settings = config.Settings()) -> dict:
+    """Chunks, then parents that are long enough, to points; points that are there already are replaced. The counts of both tables."""
+    out = {}
+    linked = spark.read.parquet(f"{source}/linked").drop("extra")
+    parents = payloads.long_parents(spark.read.parquet(f"{source}/parents")).select("document_id", "parent_id", "child_ids", "token_count", "text")
+    for kind, key, rows in (("child", "chunk_id", linked), ("parent", "parent_id", parents)):
+        rows = payloads.point_payload(rows, "text", kind=kind, key=key, prefix=F.col("document_id")).drop("_preview")
+        new = embedding.points(embedding.embedded(rows, "text", name=settings.provider, dim=settings.dim), key, "vec", "text")
+        path = f"{target}/{kind}"
+        store.ensure(spark, path)
+        store.upsert_points(spark.read.parquet(path), new, settings.dim).write.mode("overwrite").parquet(f"{path}.next")
+        store.drop(spark, path)
+        store.move(spark, f"{path}.next", path)
+        out[kind] = store.stats(spark.read.parquet(path)).first().asDict()
+    return out
+
+
+def verify(spark: SparkSession, source: str, target: str) -> dict:
+    """Chunks and parents without a point, points that none expects, and whether vectors have length one."""
+    out = {}
+    parents = payloads.long_parents(spark.read.parquet(f"{source}/parents"))
+    for kind, key, rows in (("child", "chunk_id", spark.read.parquet(f"{source}/linked")), ("parent", "parent_id", parents)):
+        held = spark.read.parquet(f"{target}/{kind}")
+        out[kind] = store.verified(held, rows, key).first().asDict() | embedding.checked(held, "vector").first().asDict()
+    return out
+
+
+def main() -> int:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("job", choices=("ingest", "chunk", "embed"))
+    p.add_argument("job", choices=("ingest", "chunk", "embed", "verify"))
     p.add_argument("source")
     p.add_argument("target")
+    p.add_argument("--config")
     for name in ("product", "version", "lang"):
         p.add_argument(f"--{name}", default="default")
     a = p.parse_args()
     spark = SparkSession.builder.appName(f"quillspark {a.job}").getOrCreate()
-    if a.job == "ingest":
-        ingest(spark, a.source, a.target, a.product, a.version, a.lang)
+    settings = config.load(a.config)
+    if a.job == "ingest" and settings.sources:
+        got = ingest_all(spark, a.target, settings)
+    elif a.job == "ingest":
+        got = ingest(spark, a.source, a.target, a.product, a.version, a.lang, settings=settings)
+    elif a.job == "verify":
+        got = verify(spark, a.source, a.target)
     else:
-        {"chunk": chunk, "embed": embed}[a.job](spark, a.source, a.target)
+        got = {"chunk": chunk, "embed": embed}[a.job](spark, a.source, a.target, settings)
+    print(got)
+    return 1 if got.get("failed") else 0
 
 
 if __name__ == "__main__":
-    main()
+    raise SystemExit(main())

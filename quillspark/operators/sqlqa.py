@@ -96,6 +96,22 @@ def template(question: str) -> tuple[str, dict]:
     return "SELECT name, role FROM team LIMIT 10", {}
 
 
+#: Questions that show a model what is wanted; their queries are those of the rules.
+EXAMPLES = ("Who is the team lead?", "How many core-dev are there?", "Which modules are about token?", "Who owns trainer?")
+
+
+def messages(question: str, schema: str, examples: tuple[str, ...] = EXAMPLES) -> list[dict[str, str]]:
+    """Messages for a model that writes the query: rules and schema, worked examples, the question."""
+    rules = f"Answer with one {'SELECT'} statement and nothing else. Use only the tables below, no comments, no semicolon, at most {LIMIT} rows. Forbidden: {', '.join(FORBIDDEN)}."
+    out = [{"role": "system", "content": f"{rules}\n\nTables:\n{schema}"}]
+    for q in examples:
+        sql, args = template(q)
+        for k, v in args.items():
+            sql = sql.replace(f":{k}", "'" + str(v).replace("'", "''") + "'")
+        out += [{"role": "user", "content": q}, {"role": "assistant", "content": sql}]
+    return [*out, {"role": "user", "content": question}]
+
+
 def phrase(rows: list, columns: list[str]) -> str:
     """An answer's sentence by the shape of its rows."""
     if not rows:

@@ -35,6 +35,13 @@ def drop(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Rename a folder; there must be none of the new name."""
+    p, fs = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[0]):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def index_fields(specs: list[str | dict]) -> dict[str, str]:
     """Field and kind of payload indexes told as a name or {name, schema}; bad ones raise. Parquet prunes by statistics, so there is nothing to build."""
     out = {}

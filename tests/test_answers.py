@@ -1,28 +1,70 @@
 """Jobs, embeddings and answers end to end."""
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
-from quillspark import jobs
-from quillspark.operators import answers, embedding, retrieval
+from quillspark import config, jobs
+from quillspark.operators import answers, embedding, retrieval, sqlqa, store
+from quillspark.sources import documents
 
 
 def test_jobs(spark, tmp_path):
     src = tmp_path / "src" / "guide"
     src.mkdir(parents=True)
-    body = "\n\n".join(f"## Part {i}\n\n" + " ".join(f"Sentence {i} {j} tells about topic{i} at length." for j in range(12)) for i in range(3))
+    part = lambda i: f"## Part {i}\n\n" + " ".join(f"Sentence {i} {j} tells about topic{i} at length." for j in range(12))
+    body = "\n\n".join(part(i) for i in range(3))
     (src / "a.md").write_text("# A title\n\n" + body)
     (src / "b.md").write_text("# B title\n\n" + body + "\n\nOne more paragraph that ends it.")
+    (src / "blank.md").write_text("  \n")
     out = str(tmp_path)
-    jobs.ingest(spark, str(tmp_path / "src"), f"{out}/processed", "My Product", "v1", "en")
-    assert spark.read.parquet(f"{out}/processed").count() in (1, 2)
-    jobs.chunk(spark, f"{out}/processed", f"{out}/chunked")
+    counts = jobs.ingest(spark, str(tmp_path / "src"), f"{out}/processed", "My Product", "v1", "en", state=f"{out}/state")
+    assert counts == {"total": 3, "n_parsed": 2, "n_dup": 1, "n_ok": 1, "n_error": 1}
+    assert documents.read_partition(spark, f"{out}/processed", "my-product", "v1", "en").count() == 1
+    assert documents.read_partition(spark, f"{out}/processed", "my-product", "v2", "en").count() == 0
+    assert spark.read.parquet(f"{out}/state").count() == 1
+    # with the state, all that is seen again is near what was kept
+    again = jobs.ingest(spark, str(tmp_path / "src"), f"{out}/again", "My Product", "v1", "en", state=f"{out}/state")
+    assert again["n_dup"] == 2 and spark.read.parquet(f"{out}/state.backup").count() == 1
+    report = jobs.chunk(spark, f"{out}/processed", f"{out}/chunked")
     linked = spark.read.parquet(f"{out}/chunked/linked")
-    assert linked.count() > 3 and linked.where("prev_id is not null").count() > 0
+    assert report["n_chunks"] == linked.count() > 3 and linked.where("prev_id is not null").count() > 0
+    fields = linked.first().extra
+    assert fields["product"] == "My Product" and fields["document_id"] == linked.first().document_id
     assert spark.read.parquet(f"{out}/chunked/parents").where("token_count > 1200").count() == 0
-    jobs.embed(spark, f"{out}/chunked", f"{out}/points")
-    points = spark.read.parquet(f"{out}/points")
-    assert points.select("id").distinct().count() == linked.count()
-    check = embedding.checked(points, "vector").first()
-    assert check.n == check.n_valid and check.unit
+    for _ in range(2):  # the second run replaces what the first wrote
+        got = jobs.embed(spark, f"{out}/chunked", f"{out}/points")
+        assert got["child"]["n_points"] == got["child"]["n_ids"] == linked.count() and got["parent"]["n_points"] > 0
+    checked = jobs.verify(spark, f"{out}/chunked", f"{out}/points")
+    assert all(c["n_missing"] == c["n_stray"] == 0 and c["unit"] and c["n"] == c["n_valid"] for c in checked.values())
+    hits = answers_of(spark, f"{out}/points/child")
+    assert {r.n_hits for r in hits} == {2, 0}
+
+
+def answers_of(spark, path):
+    queries = spark.createDataFrame([(1,), (2,)], "query_id int")
+    found = spark.read.parquet(path).limit(2).select(F.lit(1).alias("query_id"), F.rand(1).alias("score"))
+    return store.sanity(queries, found).collect()
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "a.md").write_text("# T\n\nSome text that is long enough.")
+    file = tmp_path / "s.json"
+    file.write_text(json.dumps({"dim": 32, "provider": "", "target": "t", "sources": [{"product": "P", "root": str(tmp_path), "include": ["*.md"]}, {"product": "Q", "root": f"{tmp_path}/none"}]}))
+    got = config.load(str(file), env={"QUILLSPARK_DIM": "16", "QUILLSPARK_TARGET": ""})
+    assert (got.dim, got.provider, got.target, got.max_tokens) == (16, "hashing", "t", 420)
+    ran = jobs.ingest_all(spark, f"{tmp_path}/processed", got)
+    assert ran["counts"]["P"]["n_ok"] == 1 and list(ran["failed"]) == ["Q"]
+    for bad in ({"nope": 1}, {"sources": [{"root": "x"}]}):
+        file.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            config.load(str(file))
+
+
+def test_messages_of_a_model():
+    got = sqlqa.messages("How many?", "team(id int)")
+    assert got[0]["role"] == "system" and "team(id int)" in got[0]["content"] and got[-1]["content"] == "How many?"
+    assert [m["role"] for m in got[1:3]] == ["user", "assistant"] and "'maintainer'" in got[2]["content"]
 
 
 def test_answers_from_documents(spark):
