@@ -42,12 +42,13 @@ def _sql(c: Column) -> str:
 
 def grams(host: Column, path: Column) -> Column:
     """Distinct hash buckets of the n-grams of host and path, which are told apart."""
-    found = []
-    for part, mark in ((host, "h"), (path, "p")):
-        for n in SIZES:
-            each = F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-            found.append(F.transform(each, lambda g, m=mark: F.pmod(F.xxhash64(F.lit(m), g), F.lit(BUCKETS)).cast("int")))
-    return F.array_distinct(F.concat(*found))
+
+    def hashed(part: Column, mark: str, n: int) -> Column:
+        each = F.regexp_extract_all(F.concat(F.lit("^"), part, F.lit("$")), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+        # of one argument: a second one would be the place of the n-gram
+        return F.transform(each, lambda g: F.pmod(F.xxhash64(F.lit(mark), g), F.lit(BUCKETS)).cast("int"))
+
+    return F.array_distinct(F.concat(*[hashed(part, mark, n) for part, mark in ((host, "h"), (path, "p")) for n in SIZES]))
 
 
 def train(labelled: DataFrame, *, url_col: str = "url", label_col: str = "block") -> tuple[float, list[float]]:
@@ -91,13 +92,20 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], model: tuple[floa
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """A small labelled table: addresses of a kind to block, and of a kind to keep."""
+    """A small labelled table: addresses of a kind to block, and of a kind to keep, under many names and ends."""
     # fixed values
-    bad = ("casino-bonus", "free-pills", "adult-chat", "win-prize", "cheap-loans", "torrent-crack", "bet-now", "sexy-cams", "click-ads", "spam-offers")
-    good = ("docs", "library", "university", "news", "blog", "journal", "wiki", "archive", "science", "forum", "www", "m", "shop", "city", "maps", "music", "the", "on", "tion", "there")
-    bad_paths = ("/win/bonus-now", "/buy-cheap-pills", "/track/id1", "/free/download-crack.exe", "/xxx/live")
-    good_paths = ("/en/article/12", "/fr/3307.html", "/de/guide/", "/es/2044", "/research/paper.html", "/en/25930", "/de/1146/", "/", "/fr/98")
-    ends = ("com", "net", "org")
-    rows = [(f"http://{h}.example.{e}{p}", 1) for h in bad for p in bad_paths for e in ends]
-    rows += [(f"https://{h}.example.{e}{p}", 0) for h in good for p in good_paths for e in ends]
-    return spark.createDataFrame(rows, "url string, block int")
+    bad = ("casino", "bonus", "pills", "adult", "prize", "loans", "crack", "bet", "cams", "spam", "jackpot", "viagra", "escort", "torrent", "cheap", "sexy")
+    good = ("docs", "library", "college", "news", "blog", "journal", "wiki", "archive", "science", "forum", "museum", "shop", "city", "maps", "music", "garden", "school", "weather", "recipes", "travel")
+    bad_paths = ("/win/{}-now", "/buy-{}", "/track/{}?id=1", "/free/download-{}.exe", "/{}/live", "/offers/{}/click")
+    good_paths = ("/en/article/{}", "/fr/{}.html", "/de/guide/{}", "/es/{}", "/research/{}.html", "/en/25930", "/", "/about", "/2024/05/{}")
+    ends = ("com", "net", "org", "info", "example.org", "co.uk")
+    rows = []
+    for words, paths, block in ((bad, bad_paths, 1), (good, good_paths, 0)):
+        for i, a in enumerate(words):
+            for step in (1, 3, 7):
+                b = words[(i + step) % len(words)]
+                for k in range(3):
+                    n = i * 31 + step * 7 + k
+                    host = (f"{a}-{b}", f"{a}{b}", f"www.{a}")[k] + "." + ends[n % len(ends)]
+                    rows.append((f"http{'s' * (n % 2)}://{host}{paths[n % len(paths)].format(words[n % len(words)])}", block))
+    return spark.createDataFrame(sorted(set(rows)), "url string, block int")

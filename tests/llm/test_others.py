@@ -1,10 +1,13 @@
 """Licences, URL filters, quality rules, mixing and toxicity on small fixtures."""
+import math
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from compare import same_rows, views
+from pyspark.sql import functions as F
 
 from quillspark.llm import licenses, mixing, q_licenses, q_quality, q_urls, quality, toxicity, urls
 
@@ -79,12 +82,53 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), q_urls.RULES, model).count() == 0
 
 
-def test_url_model(spark):
+def gram_buckets(host, path):
+    """Hash buckets of n-grams, one by one."""
+    out = set()
+    for mark, part in (("h", host), ("p", path)):
+        t = f"^{part}$"
+        for n in urls.SIZES:
+            for i in range(len(t) - n + 1):
+                h = 42
+                for x in (mark, t[i : i + n]):
+                    h = xxhash.xxh64_intdigest(x.encode(), h)
+                out.add((h - (h >> 63 << 64)) % urls.BUCKETS)
+    return sorted(out)
+
+
+def test_url_scores_by_brute_force(spark):
+    """Weights by a plain descent over all rows, scores by a plain sum."""
+    rows = [(r.url, r.block) for r in urls.labelled_urls(spark).collect()]
+    bias, weights = urls.train(urls.labelled_urls(spark))
+    x = np.zeros((len(rows), urls.BUCKETS))
+    for i, (u, _) in enumerate(rows):
+        g = gram_buckets(*parts(u))
+        x[i, g] = 1 / np.sqrt(len(g))
+    y, w, b = np.array([t for _, t in rows]), np.zeros(urls.BUCKETS), 0.0
+    for _ in range(urls.STEPS):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(rows)
+        w, b = w - urls.RATE * (x.T @ e + urls.L2 * w), b - urls.RATE * e.sum()
+    assert abs(b - bias) < 1e-6 and np.abs(w - np.array(weights)).max() < 1e-6
+    asked = [*[u for u, _ in rows[::9]], "http://casino.example/x", "https://a.org/en/1?q#f", "none", "http://É.org/ß"]
+    got = urls.judge(spark.createDataFrame([(i, u) for i, u in enumerate(asked)], "page_id int, url string"), [], (bias, weights)).collect()
+    for r in got:
+        g = gram_buckets(*parts(r.url))
+        want = 1 / (1 + np.exp(-(b + sum(w[i] for i in g) / np.sqrt(max(1, len(g))))))
+        assert abs(r.block_score - want) < 1e-6 and r.verdict == ("block" if want >= 0.5 else "allow")
+
+
+def test_url_model_on_unseen_hosts(spark):
+    """Hosts of the test rows are none of the training rows'."""
     table = urls.labelled_urls(spark)
-    rows = table.collect()
-    fit = urls.train(table.where("crc32(cast(url as binary)) % 4 <> 0"))
-    out = urls.judge(table.where("crc32(cast(url as binary)) % 4 = 0"), [], fit).collect()
-    assert rows and np.mean([(r.verdict == "block") == bool(r.block) for r in out]) >= 0.9
+    host = F.crc32(urls.host_of(F.col("url")).cast("binary")) % 4
+    fit = urls.train(table.where(host != 0))
+    out = urls.judge(table.where(host == 0), [], fit).collect()
+    assert len(out) > 40 and np.mean([(r.verdict == "block") == bool(r.block) for r in out]) >= 0.9
+
+
+def test_url_columns_of_any_name(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "mine")], "page_id int, url string, grams string")
+    assert urls.judge(pages, [], (0.0, [0.0] * urls.BUCKETS)).first().grams == "mine"
 
 
 # ---------------------------------------------------------------- op9
@@ -126,6 +170,45 @@ def test_quality_verdict(make):
     assert got[2002].kept and got[2003].kept
 
 
+def test_quality_verdicts_by_brute_force(spark, sf):
+    """kept of every document by plain Python over the measured columns: bins, quartiles, fences."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = quality.judge(docs).collect()
+    gamma = math.log(quality.GAMMA)
+    value = {"symbols": lambda r: (r.n_symbols, r.word_chars), "dup_lines": lambda r: (r.n_dup_lines, r.n_lines), "word_length": lambda r: (r.word_chars, r.n_words)}
+    of = lambda r, m: (lambda a, b: a / b if b else None)(*value[m](r))
+
+    def quartile(vs, q):
+        bins = sorted(-math.inf if v <= 0 else math.ceil(math.log(v) / gamma) for v in vs)
+        b = bins[math.ceil(q * len(bins)) - 1]
+        return 0.0 if b == -math.inf else 2 * quality.GAMMA**b / (1 + quality.GAMMA)
+
+    def fences(m, r):
+        groups = ([x for x in rows], [x for x in rows if x.lang == r.lang], [x for x in rows if x.lang == r.lang and x.source == r.source])
+        qs = None
+        for g in groups:
+            vs = [of(x, m) for x in g if of(x, m) is not None]
+            own = [quartile(vs, q) for q in (0.25, 0.75)]
+            qs = own if qs is None else [(len(vs) * a + quality.SHRINK * b) / (len(vs) + quality.SHRINK) for a, b in zip(own, qs)]
+        least, two = quality.MEASURES[m]
+        reach = quality.REACH * max(qs[1] - qs[0], least)
+        return (qs[0] - reach if two else -1.0), qs[1] + reach
+
+    known, kept = {}, 0
+    for r in rows:
+        wrong = []
+        for m in quality.MEASURES:
+            v = of(r, m)
+            if v is not None:
+                key = (r.lang, r.source, m)
+                low, high = known.setdefault(key, known.get(key) or fences(m, r))
+                if v > high or v < low:
+                    wrong.append(m)
+        assert r.failed == ",".join(wrong) and r.kept == (not r.base_failed and not wrong)
+        kept += r.kept
+    assert 0 < kept < len(rows) and len({k[:2] for k in known}) > 20
+
+
 # ---------------------------------------------------------------- op6
 
 
@@ -221,6 +304,59 @@ def test_toxicity_learns(spark, make):
     assert len(model[1]) < 2000
 
 
+def test_toxicity_by_brute_force(spark, make):
+    """The learner with a plain table of named features, one row at a time, gives the same scores."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(120):
+        w = [f"w{k}" for k in rng.integers(0, 60, int(rng.integers(1, 25)))]
+        if i % 4 == 0:
+            w.insert(int(rng.integers(len(w))), "Bad!")
+        rows.append((i, " ".join(w)))
+    marks = [(i, int(i % 4 == 0)) for i, _ in rows]
+    df = make(rows)
+    model = toxicity.learn(df, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    got = {r.doc_id: r.toxicity for r in toxicity.score(df, model).collect()}
+
+    def features(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+        return sorted({(x,) for x in w} | set(zip(w, w[1:])) | {(a, "", b) for a, b in zip(w, w[2:])})
+
+    def hashed(i):
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 42)
+        return h - (h >> 63 << 64)
+
+    order = sorted(range(len(rows)), key=lambda i: hashed(rows[i][0]))
+    seen = [(marks[i][1], features(rows[i][1])) for i in order]
+    z, n, bias = {}, {}, [0.0, 0.0]
+    A, B, L1, L2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    weight = lambda f: 0.0 if abs(z.get(f, 0)) <= L1 else -(z[f] - math.copysign(L1, z[f])) / ((B + math.sqrt(n[f])) / A + L2)
+    free = lambda: -bias[0] * A / (B + math.sqrt(bias[1]))
+    for epoch in range(toxicity.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(seen)):
+            y, fs = seen[i]
+            w, own = {f: weight(f) for f in fs}, free()
+            g = 1 / (1 + math.exp(-(sum(w.values()) + own))) - y
+            for f in fs:
+                m = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(m + g * g) - math.sqrt(m)) / A * w[f]
+                n[f] = m + g * g
+            bias[0] += g - (math.sqrt(bias[1] + g * g) - math.sqrt(bias[1])) / A * own
+            bias[1] += g * g
+    for i, t in rows:
+        want = 1 / (1 + math.exp(-(sum(weight(f) for f in features(t)) + free())))
+        assert abs(got[i] - want) < 2e-3
+
+
+def test_rare_features_are_learned(spark, make):
+    """A feature in four toxic rows alone outgrows L1."""
+    rows = [(i, f"plain w{i} text" if i >= 4 else f"rareword w{i} text") for i in range(404)]
+    labels = spark.createDataFrame([(i, int(i < 4)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.learn(make(rows), labels)
+    scores = {r.doc_id: r.toxicity for r in toxicity.score(make(rows), model).collect()}
+    assert min(scores[i] for i in range(4)) > 10 * max(scores[i] for i in range(4, 404))
+
+
 def test_toxicity_odd(spark, make, odd_rows):
     labels = spark.createDataFrame([(1, 1), (4, None), (5, 0), (5, 1), (None, 1), (99, 0), (6, 0)], "doc_id long, toxic int")
     df = make(odd_rows)
