@@ -10,10 +10,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates two contractions until nothing moves: each node's larger
     neighbours go to the smallest neighbour, then its smaller ones do. Both
-    keep components and at most as many edges as before, so a star of any size
-    is summed map-side and never gathered in a task; rounds grow with the
-    logarithm of a component's diameter. Each round is written to the shared
-    folder. Null ends are passed over; loops and repeated edges are harmless.
+    keep components and at most as many edges as before. Minima are summed
+    map-side; the edges of a hub meet its minimum in a join by the hub, which
+    adaptive execution splits where it is skewed. Rounds grow with the logarithm
+    of a component's diameter. Each round is written to the shared folder. Null ends are passed over; loops and repeated edges are harmless.
     """
     flat = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u < v").distinct()
     now = cut(flat)

@@ -20,7 +20,8 @@ Running offsets are summed in bounded hash chunks and then over chunks, and
 slots unfold from ranges of 4096, so a source that holds a third of all rows
 spreads over all tasks. Defined cases: null texts have size 0 and are never
 drawn; null sources are one source; repeated rows are rows of their own; ids
-may repeat or be null; an empty table gives no rows.
+may repeat or be null; a text of any length is cut into blocks whole; an empty
+table gives no rows; further columns are passed over, whatever their names.
 """
 import math
 

@@ -19,7 +19,9 @@ share costs one record a task. Records travel as column blobs.
 Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Defined cases: a null or empty text
 has no words; a row with a null id neither removes nor loses words; rows that
 share an id are one document; rows are told apart by id and text, so each gets
-its own result; further columns are passed over.
+its own result; ties of the smallest id are one document; texts of any length
+are taken whole; an empty table gives no rows; ids are integers, as their order
+decides which passage stays (others are refused); further columns are passed over.
 """
 from collections.abc import Callable, Iterator
 
@@ -284,6 +286,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """id, n_words, n_removed and kept (the words left, joined by one space) of each row."""
     if window < 2 * PERIOD - 1 - max(COVER):
         raise ValueError(f"a window needs {2 * PERIOD - 1 - max(COVER)} words or more")
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} must hold integers: their order decides which passage stays")
     parts = parts_for(docs.select(id_col, text_col), EACH)
     key = F.col(id_col).cast("long")
     src = docs.select(F.coalesce(key, F.lit(0).cast("long")).alias("id"), F.xxhash64(F.col(text_col), key.isNull()).alias("th"), F.col(text_col).cast("string").alias("text"), key.isNotNull().alias("known"))

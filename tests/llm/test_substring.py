@@ -41,6 +41,11 @@ def test_odd(make, odd_rows):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=str) == brute([r[:2] for r in rows])
 
 
+def test_text_ids_are_refused(spark):
+    with pytest.raises(TypeError):
+        remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
 def test_empty_and_short(make):
     assert remove_repeats(make([])).count() == 0
     with pytest.raises(ValueError):
