@@ -8,6 +8,15 @@ line_dedup    fuzzy repeats of a line go, the first occurrence stays; a document
 near_dedup    of each SimHash component the document with the smallest id stays
 decontaminate benchmark passages are cut out; a document that is mostly benchmark text goes
 mixing        one row per document: the words that a mix to the target weights takes of it
+
+Defined cases, by stage: a null or empty text has the classifier's intercept as
+score and stays; it has no lines, and stays; all such texts are one SimHash
+component, of which the smallest id stays (rows without an id stay, repeated rows
+of the id that stays too); it has no benchmark words; it has size 0 and is never
+taken. Repeated rows: each is scored alike; equal in id and text they are one
+document to the line dedup. Texts of any length are taken whole. Empty tables give
+empty stages; an empty `labels` rejects nothing, an empty `benchmark` cuts nothing.
+Columns beyond those of documents are left out by the first stage.
 """
 import uuid
 
