@@ -18,14 +18,12 @@ document to the line dedup. Texts of any length are taken whole. Empty tables gi
 empty stages; an empty `labels` rejects nothing, an empty `benchmark` cuts nothing.
 Columns beyond those of documents are left out by the first stage.
 """
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, lines, mixing, simhash, toxicity
 from quillspark.llm.q_toxicity import held_out
-from quillspark.llm.session import shared_folder
+from quillspark.llm.session import cut, drop_cut
 
 #: Components and trained models cannot be told in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -67,7 +65,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of each document that is left."""
+    """doc_id, source, size, source_size, target, taken of each document that is left.
+
+    The mix itself, each drawn block with its shard, its slot and its words, is
+    written below the shared folder by mixing.mix(); what is taken is counted there.
+    """
     return mixing.mix(docs)[1]
 
 
@@ -81,10 +83,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written to the shared folder and read again."""
+    """All stages over `documents`, each written to the shared folder and read again; a stage's rows go once the next one's are written."""
     docs = _table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+    for _, stage in STAGES:
+        done = cut(stage(spark, docs, sf_dir))
+        drop_cut(docs)
+        docs = done
     return docs
