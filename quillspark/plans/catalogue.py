@@ -147,8 +147,8 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
     e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
     e.write.parquet(f"{base}/in")
-    path = ingest.stream_upsert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, key=["user_id"], version=["ts", "event_id"])
-    return spark.read.parquet(path).select("user_id", "event_id", "value")
+    merged = ingest.stream_upsert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, key=["user_id"], version=["ts", "event_id"])
+    return merged.select("user_id", "event_id", "value")
 
 
 ORACLES["stream_ingest"] = ORACLES["upsert_last_wins"]

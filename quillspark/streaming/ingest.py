@@ -5,43 +5,72 @@ from pyspark.sql import functions as F
 from quillspark.operators.dedup import upsert
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """Numbers of the versions that are whole, in order: Spark marks a written folder when all of it is there."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(root):
-        return []
-    names = [str(f.getPath().getName()) for f in fs.listStatus(root)]
-    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
-
-
-def _forget(spark: SparkSession, path: str) -> None:
+#: Buckets of keys that a streamed table is kept in; a batch rewrites only those that it touches.
+BUCKETS = 64
+
+
+def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def stream_upsert(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, key: list[str], version: list[str], columns: list[str] | None = None, keep: int = 2) -> str | None:
-    """Read what is new at source once and merge it into target; the folder of the merged table, None if there is none.
+def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
+    """For each bucket the versions that hold it, in order; of whole versions alone: Spark marks a written folder when all of it is there."""
+    root, fs = _fs(spark, target)
+    out: dict[int, list[int]] = {}
+    for v in fs.listStatus(root) if fs.exists(root) else []:
+        name = str(v.getPath().getName())
+        if name[:1] != "v" or not name[1:].isdigit() or not fs.exists(_fs(spark, f"{target}/{name}/_SUCCESS")[0]):
+            continue
+        for b in fs.listStatus(v.getPath()):
+            key, _, value = str(b.getPath().getName()).partition("=")
+            if key == "bucket" and value.isdigit():
+                out.setdefault(int(value), []).append(int(name[1:]))
+    return {b: sorted(vs) for b, vs in out.items()}
 
-    Micro-batch n writes version n of the table beside the last whole one below n
-    and is the current version as soon as it is whole; there is no pointer to
-    lose. A batch that fails leaves the last version as it was, one that is
-    repeated writes its version anew. Versions older than the last `keep` go.
-    """
 
-    def merge(batch: DataFrame, n: int) -> None:
-        before = [v for v in _versions(spark, target) if v < n]
-        base = spark.read.parquet(f"{target}/v{before[-1]}") if before else batch.limit(0)
-        upsert(base, batch, key, version).write.mode("overwrite").parquet(f"{target}/v{n}")
-        for old in before[: -keep + 1 or None] if keep > 1 else before:
-            _forget(spark, f"{target}/v{old}")
+def _path(target: str, version: int, bucket: int) -> str:
+    return f"{target}/v{version}/bucket={bucket}"
+
+
+def current(spark: SparkSession, target: str, schema) -> DataFrame:
+    """The merged table: of each bucket its last version."""
+    paths = [_path(target, vs[-1], b) for b, vs in sorted(_versions(spark, target).items())]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
+
+def stream_upsert(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, key: list[str], version: list[str], columns: list[str] | None = None, keep: int = 2, buckets: int = BUCKETS) -> DataFrame:
+    """Read what is new at source once and merge it into target; the merged table.
+
+    The table lies in buckets of keys. Micro-batch n writes version n of the
+    buckets that it touches, from the last whole version of each below n, and they
+    count as soon as the version is whole; there is no pointer to lose. A batch
+    that fails leaves everything as it was, one that is repeated writes its version
+    anew. Of each bucket older versions than the last `keep` go.
+    """
     rows = spark.readStream.schema(schema).parquet(source)
     rows = rows.select(*columns) if columns else rows
+    table = rows.schema
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+    def merge(batch: DataFrame, n: int) -> None:
+        touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+        if not touched:
+            return
+        before = {b: [v for v in vs if v < n] for b, vs in _versions(spark, target).items() if b in touched}
+        paths = [_path(target, vs[-1], b) for b, vs in before.items() if vs]
+        base = spark.read.schema(table).parquet(*paths) if paths else batch.limit(0)
+        merged = upsert(base, batch, key, version).select(F.struct(*table.names).alias("row"), bucket.alias("bucket"))
+        if "bucket" in table.names:
+            raise ValueError("a streamed table may not have a column named bucket")
+        merged.select("row.*", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v{n}")
+        for b, vs in before.items():
+            for old in vs[: max(0, len(vs) - keep + 1)]:
+                p, fs = _fs(spark, _path(target, old, b))
+                fs.delete(p, True)
+
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    now = _versions(spark, target)
-    return f"{target}/v{now[-1]}" if now else None
+    return current(spark, target, table)
 
 
 def windowed_counts(events: DataFrame, *, ts: str, kind: str, every: str = "1 day", late: str = "1 hour") -> DataFrame:
