@@ -43,3 +43,23 @@ def test_decisions(spark, tmp_path, make):
 def test_empty(spark, sf, make):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, make([]).select(*COLUMNS), sf).count() == 0
+
+
+def test_run_leaves_only_what_is_read(spark, tmp_path):
+    """run() gives the rows of its stages applied one after the other, and deletes each stage's rows once they are read."""
+    import glob
+
+    from quillspark.llm.session import shared_folder
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/cut-*"))
+    got = corpus_pipeline.run(spark, sf)
+    rows = sorted(map(tuple, got.collect()))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert rows == sorted(map(tuple, docs.select(*got.columns).collect()))
+    made = set(glob.glob(f"{shared_folder(spark).removeprefix('file:')}/cut-*")) - before
+    texts = [p for p in made if {"text", "lang"} <= set(spark.read.parquet(p).columns)]
+    assert not texts
