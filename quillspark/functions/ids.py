@@ -43,9 +43,14 @@ def uuid5_of_parts(parts: list[Column], seq: Column, text: Column, namespace: st
     return uuid5(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts], tail), namespace)
 
 
-def chunk_id(document: Column, seq: Column, text: Column) -> Column:
-    """document_seq_digest, with 16 hex digits of the text's SHA-1."""
-    return F.concat_ws("_", document, seq.cast("string"), F.left(F.sha1(text), F.lit(16)))
+def text_mark(text: Column) -> Column:
+    """16 hex digits of a text's SHA-1."""
+    return F.left(F.sha1(text), F.lit(16))
+
+
+def chunk_id(document: Column, seq: Column, text: Column | None = None, mark: Column | None = None) -> Column:
+    """document_seq_mark, with the mark of a text, or a mark taken before (so that texts need not be sorted for seq)."""
+    return F.concat_ws("_", document, seq.cast("string"), text_mark(text) if mark is None else mark)
 
 
 def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:

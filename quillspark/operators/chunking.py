@@ -4,8 +4,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quillspark.functions import ids
 from quillspark.functions.text import ABBREVIATIONS, n_tokens
@@ -207,21 +210,36 @@ def neighbours(chunks: DataFrame, *, group: list[str], seq: str, chunk: str) ->
 def parents(chunks: DataFrame, *, group: list[str], seq: str, chunk: str, text: str, target: int = 1200) -> DataFrame:
     """group, ordinal (from 1), child_ids, text, token_count: chunks of a group packed in order up to the target.
 
-    Groups are sections of one document, so a group's array is bounded by it.
+    Sorted rows are streamed: a task holds the parent that is being packed.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(chunk).alias("c"), F.col(text).alias("t"))))
-    none = F.array().cast("array<struct<c:array<string>,t:string>>")
-    start = F.struct(none.alias("done"), F.array().cast("array<string>").alias("c"), F.lit("").alias("t"))
-
-    def step(acc, x):
-        both = F.when(acc["t"] == "", x["t"]).otherwise(F.concat(acc["t"], F.lit("\n\n"), x["t"]))
-        over = (n_tokens(both) > target) & (acc["t"] != "")
-        done = F.array_append(acc["done"], F.struct(acc["c"].alias("c"), acc["t"].alias("t")))
-        cid = x["c"].cast("string")
-        return F.struct(F.when(over, done).otherwise(acc["done"]).alias("done"), F.when(over, F.array(cid)).otherwise(F.array_append(acc["c"], cid)).alias("c"), F.when(over, x["t"]).otherwise(both).alias("t"))
-
-    def end(acc):
-        return F.when(acc["t"] == "", acc["done"]).otherwise(F.array_append(acc["done"], F.struct(acc["c"].alias("c"), acc["t"].alias("t"))))
-
-    folded = chunks.groupBy(*group).agg(rows.alias("r")).select(*group, F.posexplode(F.aggregate("r", start, step, end)).alias("n", "p"))
-    return folded.select(*group, (F.col("n") + 1).alias("ordinal"), F.col("p.c").alias("child_ids"), F.col("p.t").alias("text"), n_tokens(F.col("p.t")).alias("token_count"))
+    rows = chunks.select(*[F.col(g).alias(f"g{i}") for i, g in enumerate(group)], F.col(seq).alias("s"), F.col(chunk).cast("string").alias("c"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    keys = [f"g{i}" for i in range(len(group))]
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField("ordinal", T.IntegerType()), T.StructField("child_ids", T.ArrayType(T.StringType())), T.StructField("text", T.StringType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ordinal, ids_, body = None, 0, [], ""
+        for batch in batches:
+            made = []
+            cols = [c.to_pylist() for c in batch.columns]
+            for key, c, t in zip(zip(*cols[: len(keys)]), cols[-2], cols[-1]):
+                if key != now:
+                    if ids_ and body:
+                        made.append((*now, ordinal + 1, ids_, body))
+                    now, ordinal, ids_, body = key, 0, [], ""
+                both = f"{body}\n\n{t}" if body else t
+                if body and estimate(both) > target:
+                    made.append((*now, ordinal + 1, ids_, body))
+                    ordinal, ids_, body = ordinal + 1, [c], t
+                else:
+                    ids_.append(c)
+                    body = both
+            yield from rows_of(made)
+        if ids_ and body:
+            yield from rows_of([(*now, ordinal + 1, ids_, body)])
+
+    def rows_of(made: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if made:
+            yield pa.RecordBatch.from_pydict({f.name: [m[i] for m in made] for i, f in enumerate(schema.fields)}, schema=to_arrow_schema(schema))
+
+    packed = rows.repartition(*keys).sortWithinPartitions(*keys, "s").mapInArrow(pack, schema)
+    return packed.select(*[F.col(k).alias(g) for k, g in zip(keys, group)], "ordinal", "child_ids", "text", n_tokens(F.col("text")).alias("token_count"))

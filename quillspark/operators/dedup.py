@@ -137,16 +137,27 @@ def keep_if_grown(df: DataFrame, *, doc: str, section: list[str], seq: str, text
 
 
 def grown(df: DataFrame, *, group: str, seq: str, size: str, novelty: float = 0.10) -> DataFrame:
-    """group, seq of rows whose size is at least 1 / (1 - novelty) times that of the last kept row of the group, in seq order; no Python."""
-    rows = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(size).cast("double").alias("n"))))
-    start = F.struct(F.lit(-1.0).alias("last"), F.array().cast("array<bigint>").alias("kept"))
+    """group, seq of rows whose size is at least 1 / (1 - novelty) times that of the last kept row of the group, in seq order.
 
-    def step(acc, x):
-        keep = (acc["last"] < 0) | (F.greatest(F.lit(0.0), x["n"] - F.least(acc["last"], x["n"])) >= novelty * F.greatest(F.lit(1.0), x["n"]))
-        return F.struct(F.when(keep, x["n"]).otherwise(acc["last"]).alias("last"), F.when(keep, F.array_append(acc["kept"], x["s"].cast("bigint"))).otherwise(acc["kept"]).alias("kept"))
+    The rule looks back at what was kept, so sorted rows are streamed: a task holds
+    one number at a time, however large a group is.
+    """
+    rows = df.select(F.col(group).alias("group"), F.col(seq).alias("seq"), F.col(size).cast("double").alias("size"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last, first = None, None, True
+        for batch in batches:
+            keep = []
+            for g, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if first or g != now:
+                    now, last, first = g, None, False
+                good = n is not None and (last is None or max(0.0, n - last) >= novelty * max(1.0, n))
+                last = n if good else last
+                keep.append(good)
+            yield batch.filter(pa.array(keep, pa.bool_())).select(["group", "seq"])
 
-    folded = df.groupBy(group).agg(rows.alias("rows")).select(group, F.aggregate("rows", start, step, lambda a: a["kept"]).alias("kept"))
-    return folded.select(group, F.explode("kept").alias(seq))
+    schema = T.StructType([rows.schema["group"], rows.schema["seq"]])
+    return rows.repartition("group").sortWithinPartitions("group", "seq").mapInArrow(walk, schema).toDF(group, seq)
 
 
 def upsert(base: DataFrame, new: DataFrame, key: list[str], version: list[str]) -> DataFrame:

@@ -94,9 +94,12 @@ def distinct_evidence(hits: DataFrame, *, query: str, text: str, score: str, id_
 
 def within_budget(hits: DataFrame, *, query: str, question_tokens: int, text: str, score: str, id_: str, tokens: int = 4000, margin: int = 256) -> DataFrame:
     """Hits in order of score while the running token sum fits; as every hit has a token, this stops at the first that does not."""
-    w = Window.partitionBy(query).orderBy(F.desc(score), F.col(id_)).rowsBetween(Window.unboundedPreceding, 0)
-    run = F.lit(1 + question_tokens) + F.sum(n_tokens(F.col(text), empty=1)).over(w)
-    return hits.withColumn("run_tokens", run).where(F.col("run_tokens") <= max(128, tokens - margin))
+    most = max(128, tokens - margin)
+    w = Window.partitionBy(query).orderBy(F.desc(score), F.col(id_))
+    # each hit has a token, so no more than `most` fit: others go before the shuffle
+    held = hits.select(F.struct(*hits.columns).alias("row"), F.row_number().over(w).alias("n"), n_tokens(F.col(text), empty=1).alias("size")).where(F.col("n") <= most)
+    run = F.lit(1 + question_tokens) + F.sum("size").over(Window.partitionBy(f"row.{query}").orderBy("n").rowsBetween(Window.unboundedPreceding, 0))
+    return held.select("row.*", run.alias("run_tokens")).where(F.col("run_tokens") <= most)
 
 
 def citations(hits: DataFrame, *, query: str, text: str, score: str, id_: str) -> DataFrame:

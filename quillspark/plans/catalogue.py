@@ -101,8 +101,9 @@ u as (select doc_id, chunk_id, left(sha1(unhex('6ba7b8119dad11d180b400c04fd430c8
 select doc_id, chunk_id, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab', (instr('0123456789abcdef', x[17:17]) - 1) % 4 + 1, 1) || x[18:20] || '-' || x[21:32] as point_id from u""")
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequence numbers, chunk ids and their version-5 UUIDs."""
-    n = read_table(spark, sf_dir, "documents").withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    c = n.select("doc_id", ids.chunk_id(F.col("source"), F.col("seq"), F.col("text")).alias("chunk_id"))
+    marked = read_table(spark, sf_dir, "documents").select("doc_id", "source", ids.text_mark(F.col("text")).alias("mark"))
+    n = marked.withColumn("seq", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    c = n.select("doc_id", ids.chunk_id(F.col("source"), F.col("seq"), mark=F.col("mark")).alias("chunk_id"))
     return c.select("doc_id", "chunk_id", ids.uuid5(F.col("chunk_id")).alias("point_id"))
 
 
