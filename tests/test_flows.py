@@ -174,3 +174,12 @@ def test_stream_survives_a_lost_write(spark, tmp_path, monkeypatch):
         frame([(2, n)]).coalesce(1).write.mode("append").parquet(src)
         assert got(ingest.stream_upsert(spark, src, out, ck, **args))[2] == n
     assert max(len(vs) for vs in ingest._versions(spark, out).values()) == 2
+
+
+def test_tokens_by_a_tokenizer(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer here")
+    df = spark.createDataFrame([("hello world",), ("",), (None,), ("<|endoftext|>",)], "x string")
+    got = [r[0] for r in df.select(text.n_tokens_by(F.col("x"), path)).collect()]
+    assert got[:3] == [2, 0, 0] and got[3] > 1
