@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.session import cut, drop_cut, parts_for
+from quillspark.llm.session import cut, drop_cut, free_shuffles, parts_for
 
 LEAST = 0.8
 #: Parts of a form's features; words from which one part is a block, and up to which two pairs of parts are.
@@ -175,6 +175,7 @@ def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col
     """
     parts = parts_for(docs, 8 << 20)
     shared = cut(buckets(forms, parts))
+    free_shuffles(docs.sparkSession)
     texts = _texts(docs, forms, shared, id_col=id_col, text_col=text_col)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -207,8 +208,10 @@ def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """key (id, th), gone: the lines (from 0) of each document that repeat an earlier line; documents without any are left out."""
     occ = cut(occurrences(docs, id_col=id_col, text_col=text_col))
+    free_shuffles(docs.sparkSession)
     place = F.struct("id", "th", "line")
     forms = cut(occ.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
+    free_shuffles(docs.sparkSession)
     member = links(docs, forms, id_col=id_col, text_col=text_col, least=least)
     linked = forms.join(member.select(F.col("node").alias("k1"), "root"), "k1", "left").where("n > 1 or root is not null")
     linked = linked.select("k1", "k2", "at", F.coalesce("root", "k1").alias("r1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("r2"))

@@ -1,4 +1,5 @@
 """Shared plumbing: the shared folder, cutting lineage, sizes, Arrow maps."""
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,12 @@ def cut(df: DataFrame, parts: int | None = None) -> DataFrame:
     return out
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the shuffle files of finished steps deleted: that happens once the driver has collected the garbage that refers to them, so it is asked to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of cut(), once nothing reads them any more."""
     path = getattr(df, "_cut_path", None)
