@@ -1,5 +1,5 @@
 """Registered queries of this subpackage and the SQL of those that SQL can express."""
-from quillspark.llm import q_decontaminate, q_importance, q_licenses, q_lines, q_lm, q_mixing, q_quality, q_simhash, q_substring, q_toxicity, q_urls
+from quillspark.llm import q_decontaminate, q_importance, q_licenses, q_lines, q_lm, q_minhash, q_mixing, q_quality, q_simhash, q_substring, q_toxicity, q_trie, q_urls
 
 QUERIES = {
     "op1_decontaminate": q_decontaminate.op1_decontaminate,
@@ -13,10 +13,14 @@ QUERIES = {
     "op9_quality": q_quality.op9_quality,
     "op10_urls": q_urls.op10_urls,
     "op11_importance": q_importance.op11_importance,
+    "op12_trie": q_trie.op12_trie,
+    "op13_minhash": q_minhash.op13_minhash,
 }
 ORACLES = {
     "op1_decontaminate": q_decontaminate.SQL,
     "op3_licenses": q_licenses.SQL,
     "op7_substring": q_substring.SQL,
     "op11_importance": q_importance.SQL,
+    "op12_trie": q_trie.SQL,
+    "op13_minhash": q_minhash.SQL,
 }
