@@ -4,7 +4,7 @@ Documents are drawn by hashed n-gram features, so that the drawn ones look like
 a target corpus. Words are mapped to integers by a dictionary of the distinct
 words of both corpora; n-grams are tuples of those integers. A block (some MB of
 whole texts) is encoded once: its own distinct words, what they count, and the
-texts as places in that list. The blocks' words meet in the dictionary, so a
+texts as places in that list, packed. The blocks' words meet in the dictionary, so a
 word travels once a block however often it occurs. Each distinct tuple is spelled
 out once from its words and hashed once; counts come back by tuple. A bucket's
 gain is the floor of 1000 * ln of its smoothed share in the target over that in
@@ -34,16 +34,31 @@ from quillspark.llm.textnum import Words, lowered, plain_words, text_slices, tri
 
 BUCKETS, SEED, SHARE, MIN_WORDS = 10_000, 2024, 10, 20
 #: Bytes of text in one block.
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 
 
 def _vocabulary(w: Words, table: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Each word as its place in the list of distinct words, and that list."""
+    """Each word as its place in the list of distinct words, the most frequent first, and that list."""
     data = lowered(w.buf)[table[w.buf]]
     offs = np.zeros(len(w.starts) + 1, np.int64)
     np.cumsum(w.ends - w.starts, out=offs[1:])
     coded = pa.Array.from_buffers(pa.large_string(), len(w.starts), [None, pa.py_buffer(offs), pa.py_buffer(data)]).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.cast(pa.string())
+    places = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[places], coded.dictionary.take(pa.array(order)).cast(pa.string())
+
+
+def _packed(seq: np.ndarray) -> bytes:
+    """Places below 2**32 by byte planes, compressed: the places of common words are small, so the high planes are almost all zero."""
+    planes = np.ascontiguousarray(seq.astype(np.uint32).view(np.uint8).reshape(-1, 4).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view(np.uint32).reshape(n)
 
 
 def _tuples(w: Words, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,13 +89,13 @@ def encoded(docs: DataFrame, side: int, least: int, most: int, block_bytes: int)
                 grams = []
                 for n in range(max(2, least), most + 1):
                     tuples, seq = _tuples(w, ids, n)
-                    grams.append({"n": n, "tuples": tuples.tolist(), "times": np.bincount(seq, minlength=len(tuples)).tolist(), "seq": seq.astype(np.int32).tobytes()})
+                    grams.append({"n": n, "tuples": tuples.tolist(), "times": np.bincount(seq, minlength=len(tuples)).tolist(), "seq": _packed(seq)})
                 one = lambda values, t: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(t))
                 own = batch.column(0).slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([block], pa.int64()), pa.array([side], pa.int32()), one(own, own.type), pa.array([w.counts.astype(np.int32).tobytes()], pa.binary()),
-                        one(vocab, pa.string()), one(pa.array(np.bincount(ids, minlength=len(vocab))), pa.int64()), pa.array([ids.astype(np.int32).tobytes()], pa.binary()), pa.array([grams], pa.list_(arrow_gram)),
+                        one(vocab, pa.string()), one(pa.array(np.bincount(ids, minlength=len(vocab))), pa.int64()), pa.array([_packed(ids)], pa.binary()), pa.array([grams], pa.list_(arrow_gram)),
                     ],
                     names=schema.names,
                 )
@@ -173,9 +188,9 @@ def weights(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_
                     gained = {x["n"].as_py(): x["gain"].values for x in at["long_gain"]}
                     parts += [(n.as_py(), s, gained[n.as_py()]) for n, s in zip(at["long_n"], at["long_seq"]) if n.as_py() in gained]
                 for n, seq, gain in parts:
-                    total = np.concatenate(([0], np.cumsum(gain.to_numpy()[np.frombuffer(seq.as_py(), np.int32)])))
                     runs_of = np.maximum(counts - n + 1, 0)
                     end = np.cumsum(runs_of)
+                    total = np.concatenate(([0], np.cumsum(gain.to_numpy()[_unpacked(seq.as_py(), int(runs_of.sum()))])))
                     n_features += runs_of
                     weight += total[end] - total[end - runs_of]
                 yield pa.RecordBatch.from_arrays([at["ids"].values, pa.array(counts), pa.array(n_features), pa.array(weight)], names=["id", "n_words", "n_features", "weight"])

@@ -13,14 +13,19 @@ at t = 0.8). For whole sets that loses no pair. For sets that are larger than th
 sketch the hashes choose the order at random, and a pair at exactly 0.8 is missed
 with a chance below 1e-10 (k = 64; smaller still for more similar ones). A
 list's key is several hashes, so unrelated texts that have common word pairs do
-not meet.
+not meet. Similar sets share several runs (`least_runs`), so a class leaves as many
+of its longest lists but one: passages that many texts hold make no candidates.
+Among whole sets that loses nothing either; a pair at exactly 0.8 of larger ones is
+lost with a chance below 1e-6.
 
-Lists give pairs in two rounds, never all pairs of a group: each member with the
-list's smallest class; then, of members that are still in different components,
-those pairs whose sizes allow the similarity. A pair's sketches give the k smallest
+Lists give pairs in turns, not all pairs of a group: each member with few of the
+list's classes, twice; then, of members that are in different components even so,
+those pairs whose sizes allow the similarity and whose bitmaps do (bits that
+differ are elements that differ, so this loses nothing). A pair's sketches give the k smallest
 hashes of the union; the share of these that both hold estimates the similarity,
 and pairs that fall short of it by seven standard deviations go. Others are
-decided on their full sets, which are made anew from the texts, once a class.
+decided on their full sets, which are made anew from the texts, once for each
+class in a list.
 Components come from the links by distributed contraction.
 
 Defined cases: fewer words than a shingle are one shingle; a null, empty or blank
@@ -34,7 +39,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +51,10 @@ from quillspark.llm.textnum import Words, mixed, space_words, span_hash, text_sl
 WIDTH, PERCENT, K, RUN = 2, 80, 64, 3
 #: Rows of (id) that are broadcast at most, some 20 MB; more are joined by a shuffle.
 IDS = 500_000
+#: Classes of a list that all others meet in a turn, and such turns.
+LEADERS, TURNS = 4, 2
+#: Words of 64 bits in the bitmap of a set, by which classes are compared where a list's members meet one another.
+WORDS = 32
 
 
 def _sets(w: Words, width: int) -> tuple[np.ndarray, ...]:
@@ -74,8 +83,8 @@ def _sets(w: Words, width: int) -> tuple[np.ndarray, ...]:
 
 
 def _hashed(src: DataFrame, width: int, keep: int | None) -> DataFrame:
-    """id, n (size of the set), d1, d2 (its digest) and its smallest hashes in order, `keep` at most (None: all)."""
-    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")], T.StructField("hashes", T.ArrayType(T.LongType()))])
+    """id, n (size of the set), d1, d2 (its digest), bits (its bitmap) and its smallest hashes in order, `keep` at most (None: all, without bitmaps)."""
+    schema = T.StructType([T.StructField("id", src.schema["id"].dataType), *[T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")], T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def each(batches):
         table = space_words()
@@ -83,11 +92,16 @@ def _hashed(src: DataFrame, width: int, keep: int | None) -> DataFrame:
             for lo, hi, buf, offs in text_slices(batch.column(1)):
                 key, first, d1, d2 = _sets(Words(buf, offs, table), width)
                 n = np.diff(first)
+                bits = pa.nulls(len(n), pa.list_(pa.int64()))
                 if keep is not None:
+                    place = key.view(np.uint64) % np.uint64(64 * WORDS)
+                    words = np.zeros(len(n) * WORDS, np.uint64)
+                    np.bitwise_or.at(words, np.repeat(np.arange(len(n)) * WORDS, n) + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+                    bits = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * WORDS, pa.int32()), pa.array(words.view(np.int64)))
                     key = key[np.arange(len(key)) - np.repeat(first[:-1], n) < keep]
                 ends = np.concatenate(([0], np.cumsum(n if keep is None else np.minimum(n, keep))))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key, pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), lists], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), bits, lists], names=schema.names)
 
     return src.mapInArrow(trimmed(each), schema)
 
@@ -111,9 +125,14 @@ def _keys(sketch: Column, n: Column, percent: int, run: int) -> Column:
     last = lengths[-1]
     settled = max([i for i, x in enumerate(lengths, 1) if x != last], default=0)
 
+    none = F.array().cast("array<long>")
+
+    def runs(r: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(sketch) - r + 1), lambda i: F.xxhash64(F.lit(r), F.slice(sketch, i, r)))
+        return F.when(F.size(sketch) >= r, each).otherwise(none)
+
     def of(rs: list[int]) -> Column:
-        parts = [F.when(F.size(sketch) >= r, F.transform(F.sequence(F.lit(1), F.size(sketch) - r + 1), lambda i, r=r: F.xxhash64(F.lit(r), F.slice(sketch, i, r)))).otherwise(F.array().cast("array<long>")) for r in rs]
-        return F.flatten(F.array(*parts)) if parts else F.array().cast("array<long>")
+        return F.concat(*map(runs, rs)) if rs else none
 
     out = of(last)
     for rs in {tuple(x) for x in lengths[:settled] if x != last}:
@@ -121,6 +140,42 @@ def _keys(sketch: Column, n: Column, percent: int, run: int) -> Column:
     return F.array_distinct(out)
 
 
+def least_runs(n: int, percent: int, k: int, run: int) -> int:
+    """How many listed runs a set of n shares, at least, with each set that is as similar but not equal: for sure where the sketches are whole sets, else with a chance of 1 - 1e-6."""
+    unions = [u for u in range(n, n * 100 // percent + 1) if guaranteed(u, percent)]
+    if unions and unions[-1] > k:
+        return max(1, _likely_runs(k, percent / 100, run, 1e-6))
+    sure = [-(-percent * u // 100) - (min(run, guaranteed(u, percent)) - 1) * (u + percent * -u // 100 + 1) for u in unions]
+    return max(1, min(sure, default=1))
+
+
+def _likely_runs(n: int, p: float, run: int, chance: float, most: int = 64) -> int:
+    """The greatest m so that n draws hold fewer than m runs of `run` successes at a chance below `chance`."""
+    state = {(0, 0): 1.0}
+    for _ in range(n):
+        after: dict[tuple[int, int], float] = {}
+        for (length, found), q in state.items():
+            longer = min(length + 1, run)
+            for to, share in (((0, found), 1 - p), ((longer, min(most, found + (longer == run))), p)):
+                after[to] = after.get(to, 0.0) + q * share
+        state = after
+    below = 0.0
+    for m in range(most):
+        below += sum(q for (_, found), q in state.items() if found == m)
+        if below > chance:
+            return m
+    return most
+
+
+def _by_size(n: Column, of, last_at: int) -> Column:
+    """of(n) as a column, for a function that is constant from last_at on."""
+    values = [of(i) for i in range(1, last_at + 1)]
+    out = F.lit(values[-1])
+    for v in sorted(set(values[:-1]) - {values[-1]}):
+        out = F.when(n.isin([i for i, x in enumerate(values, 1) if x == v]), v).otherwise(out)
+    return out
+
+
 def least_shared(k: int, percent: int) -> int:
     """The most hashes of k that a pair at the threshold shares with a chance of at least 1 - 1e-12."""
     p, tail, x = percent / 100, 0.0, 0
@@ -134,55 +189,88 @@ def _similar(both: Column, size: Column, percent: int) -> Column:
     return 100 * both >= percent * (size - both)
 
 
-def links(pairs: DataFrame, classes: DataFrame, src: DataFrame, *, width: int, percent: int, k: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, decided on full sets; written."""
+def _differ(percent: int) -> Column:
+    """Whether the bitmaps of x and y allow the similarity: each bit in which they differ is an element that one set lacks, and these may be so many."""
+    bits = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(1, WORDS)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+
+
+def full_sets(listed: DataFrame, classes: DataFrame, src: DataFrame, *, width: int, k: int) -> DataFrame:
+    """cls and whole set of the listed classes whose sketch is not the whole set, made anew from one text of each; written."""
+    wanted = cut(listed.where(F.col("n") > k).select("cls").distinct().join(classes.select("cls", "d1", "d2", "least"), "cls"))
+    ids = wanted.select(F.col("least").alias("id")).distinct()
+    few = ids.count() <= IDS
+    again = _hashed(src.alias("x").join((F.broadcast(ids) if few else ids).alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi"), width, None)
+    full = cut(again.select("d1", "d2", "hashes").join(wanted.select("cls", "d1", "d2"), ["d1", "d2"]).select("cls", "hashes").dropDuplicates(["cls"]))
+    drop_cut(wanted)
+    return full
+
+
+def links(pairs: DataFrame, classes: DataFrame, full: DataFrame, *, percent: int, k: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar: by their sketches where these are whole sets, else estimated by them and decided on full sets; written."""
     side = lambda c: classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}"))
     both = F.array_intersect("h_a", "h_b")
     least = F.slice(F.array_sort(F.array_union("h_a", "h_b")), 1, k)
     whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
     estimate = F.size(F.array_intersect(least, both)) * k >= F.size(least) * least_shared(k, percent)
     near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(F.when(whole, _similar(F.size(both), F.col("n_a") + F.col("n_b"), percent)).otherwise(estimate)).select("a", "b", "n_a", "n_b", whole.alias("whole")))
-    open_ = near.where(~F.col("whole"))
-    wanted = cut(open_.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(classes.select("cls", "d1", "d2", "least"), "cls"))
-    ids = wanted.select(F.col("least").alias("id")).distinct()
-    few = ids.count() <= IDS
-    again = _hashed(src.alias("x").join((F.broadcast(ids) if few else ids).alias("y"), F.col("x.id").eqNullSafe(F.col("y.id")), "left_semi"), width, None)
-    full = cut(again.select("d1", "d2", "hashes").join(wanted.select("cls", "d1", "d2"), ["d1", "d2"]).select("cls", "hashes").dropDuplicates(["cls"]))
-    of = lambda c: full.select(F.col("cls").alias(c), F.col("hashes").alias(f"h_{c}"))
-    sure = open_.join(of("b"), "b").join(of("a"), "a").where(_similar(F.size(both), F.col("n_a") + F.col("n_b"), percent))
+    # a class of k shingles or fewer may stand against a larger one
+    sets = full.union(classes.where(F.col("n") <= k).join(near.where(~F.col("whole")).select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "hashes"))
+    of = lambda c: sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"h_{c}"))
+    sure = near.where(~F.col("whole")).join(of("b"), "b").join(of("a"), "a").where(_similar(F.size(both), F.col("n_a") + F.col("n_b"), percent))
     out = cut(near.where("whole").select("a", "b").union(sure.select("a", "b")))
-    for x in (near, wanted, full):
-        drop_cut(x)
+    drop_cut(near)
     return out
 
 
 def similar_classes(classes: DataFrame, src: DataFrame, *, width: int, percent: int, k: int, run: int) -> DataFrame:
     """(node, root) of the classes with links."""
     entries = classes.select("cls", "n", F.explode(_keys(F.col("hashes"), F.col("n"), percent, run)).alias("key"))
-    lists = entries.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("key", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("lead_n"))
-    listed = cut(entries.join(lists, "key").select("key", "cls", "n", "lead", "lead_n"))
+    sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    # a class leaves its longest lists, so many that each similar class still meets it in another: the prefix filter
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("m"), "key"))
+    some = cut(entries.join(sizes, "key").select("key", "cls", "n", rank.alias("r")).where(F.col("r") >= _by_size(F.col("n"), lambda i: least_runs(i, percent, k, run), k + 1)).drop("r"))
+    listed = cut(some.join(some.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key"))
+    drop_cut(some)
+    full = full_sets(listed, classes, src, width=width, k=k)
     fits = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))
-    first = listed.where((F.col("cls") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct()
-    some = links(first, classes, src, width=width, percent=percent, k=k)
-    member = cut(components(some))
-    # members of a list that are in different components still
-    now = listed.select("key", "cls", "n").join(member.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    rest = cut(now.join(split, "key"))
-    x, y = rest.alias("x"), rest.alias("y")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    more = links(second.join(first, ["a", "b"], "left_anti"), classes, src, width=width, percent=percent, k=k)
-    out = components(some.union(more))
-    for df in (listed, member, rest):
+    rest = listed.withColumn("root", F.col("cls"))
+    edges, made, held, member = None, [], [], None
+    for turn in range(TURNS + 1):
+        x, y = rest.alias("x"), rest.alias("y")
+        if turn < TURNS:
+            # few of a list's classes, the same ones in as many lists as can be
+            first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
+            y = rest.withColumn("r", first).where(F.col("r") <= LEADERS).alias("y")
+        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
+        if turn == TURNS:
+            # all that is left: bitmaps decide in the join, so that it gives few rows besides links
+            mapped = rest.join(classes.select("cls", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)]), "cls")
+            x, y = mapped.alias("x"), mapped.alias("y")
+            apart &= (F.col("x.cls") < F.col("y.cls")) & _differ(percent)
+        pairs = x.join(y, apart).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        new = links(pairs, classes, full, percent=percent, k=k)
+        made.append(new)
+        edges = new if edges is None else edges.union(new)
+        if member is not None:
+            drop_cut(member)
+        member = cut(components(edges))
+        if turn < TURNS:
+            # lists whose classes are in different components still
+            now = (listed if turn == 0 else rest).select("key", "cls", "n").join(member.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+            split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+            rest = cut(now.join(split, "key"))
+            held.append(rest)
+    for df in (listed, full, *made, *held):
         drop_cut(df)
-    return out
+    return member
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, k: int = K, run: int = RUN) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable) and kept (whether that is the row's own) of each row."""
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = cut(_hashed(src, width, k))
-    by_set = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least"), F.first("hashes").alias("hashes"))
+    by_set = rows.where("n > 0").groupBy("n", "d1", "d2").agg(F.min("id").alias("least"), F.first("hashes").alias("hashes"), F.first("bits").alias("bits"))
     classes = cut(by_set.withColumn("cls", F.monotonically_increasing_id()))
     member = similar_classes(classes, src, width=width, percent=percent, k=k, run=run)
     named = classes.select("cls", "n", "d1", "d2", "least").join(member.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
