@@ -14,6 +14,7 @@ from quillspark import config
 from quillspark.functions import text
 from quillspark.operators import chunking, dedup, embedding, payloads, stats, store
 from quillspark.sources import documents
+from quillspark.sources.tables import Table
 
 
 def text_code(product: str) -> str:
@@ -25,7 +26,8 @@ def ingest(spark: SparkSession, source: str, target: str, product: str, version:
 
     Files without a text are errors: they go to `target_errors` with the reason
     and stop nothing. Near duplicates of a bucket are left out; with `state` the
-    buckets' representatives are read from there and written back.
+    buckets' representatives are read from there, and the new ones are committed when
+    all else is written: a run that ends before is run again from the old ones.
     """
     files = documents.read_files(spark, source, include, exclude)
     parsed = documents.parse(files, product=product, product_code=text_code(product), version=version, lang=lang)
@@ -33,19 +35,21 @@ def ingest(spark: SparkSession, source: str, target: str, product: str, version:
     bucket = F.concat_ws(":", "meta.product_code", text.section_key(F.col("meta.section"), F.col("meta.url"), F.col("meta.product_code")), text.length_bucket(F.char_length("text")))
     rows = docs.select("text", "source_ref", bucket.alias("bucket"))
     args = {"bucket": "bucket", "order": "source_ref", "text": "text", "min_chars": settings.near_min_chars}
-    before = spark.read.parquet(state) if state and store.exists(spark, state) else None
+    held = Table(spark, state) if state else None
+    then = held.version() if held else None
+    before = held.read(then) if held and then.schema else None
     marked = dedup.sequential_near_dup(rows, threshold=settings.near_threshold, state=before, **args)
     marked.write.mode("overwrite").parquet(f"{target}_marked")
     marked = spark.read.parquet(f"{target}_marked")
-    if state:
-        after = dedup.near_dup_state(marked, state=before, **args)
-        after.write.mode("overwrite").parquet(f"{state}.next")
-        documents.reset_state(spark, state)
-        store.move(spark, f"{state}.next", state)
     documents.write_documents(docs.join(marked.where("is_dup").select("source_ref"), "source_ref", "left_anti"), target)
     blank = files.join(parsed.select(F.col("source_ref").alias("path")), "path", "left_anti").select("path", F.lit("no text").alias("error"))
     blank.unionByName(lacking.select(F.col("source_ref").alias("path"), "error")).write.mode("overwrite").json(f"{target}_errors")
     n_error = spark.read.schema("path string, error string").json(f"{target}_errors").count()
+    if held:
+        # last, so that a run that ends before leaves the state of the documents that are there
+        after = dedup.near_dup_state(marked, state=before, **args)
+        held.commit(then, held.put(after), after.schema)
+        held.vacuum()
     counted = marked.agg(F.count("*").alias("n_parsed"), F.count_if("is_dup").alias("n_dup")).first()
     return {"total": counted.n_parsed + n_error, "n_parsed": counted.n_parsed, "n_dup": counted.n_dup, "n_ok": counted.n_parsed - counted.n_dup, "n_error": n_error}
 
@@ -89,19 +93,16 @@ def chunk(spark: SparkSession, source: str, target: str, settings: config.Settin
 
 
 def embed(spark: SparkSession, source: str, target: str, settings: config.Settings = config.Settings()) -> dict:
-    """Chunks, then parents that are long enough, to points; points that are there already are replaced. The counts of both tables."""
+    """Chunks, then parents that are long enough, to points; points that are there already are replaced, in one commit for each table. The counts of both tables."""
     out = {}
     linked = spark.read.parquet(f"{source}/linked").drop("extra")
     parents = payloads.long_parents(spark.read.parquet(f"{source}/parents")).select("document_id", "parent_id", "child_ids", "token_count", "text")
     for kind, key, rows in (("child", "chunk_id", linked), ("parent", "parent_id", parents)):
         rows = payloads.point_payload(rows, "text", kind=kind, key=key, prefix=F.col("document_id")).drop("_preview")
         new = embedding.points(embedding.embedded(rows, "text", name=settings.provider, dim=settings.dim), key, "vec", "text")
-        path = f"{target}/{kind}"
-        store.ensure(spark, path)
-        store.upsert_points(spark.read.parquet(path), new, settings.dim).write.mode("overwrite").parquet(f"{path}.next")
-        store.drop(spark, path)
-        store.move(spark, f"{path}.next", path)
-        out[kind] = store.stats(spark.read.parquet(path)).first().asDict()
+        table = store.ensure(spark, f"{target}/{kind}")
+        table.change(lambda base, new=new: store.upsert_points(base, new, settings.dim))
+        out[kind] = store.stats(table.read()).first().asDict()
     return out
 
 
@@ -110,7 +111,7 @@ def verify(spark: SparkSession, source: str, target: str) -> dict:
     out = {}
     parents = payloads.long_parents(spark.read.parquet(f"{source}/parents"))
     for kind, key, rows in (("child", "chunk_id", spark.read.parquet(f"{source}/linked")), ("parent", "parent_id", parents)):
-        held = spark.read.parquet(f"{target}/{kind}")
+        held = Table(spark, f"{target}/{kind}").read()
         out[kind] = store.verified(held, rows, key).first().asDict() | embedding.checked(held, "vector").first().asDict()
     return out
 

@@ -163,8 +163,8 @@ def grown(df: DataFrame, *, group: str, seq: str, size: str, novelty: float = 0.
 def upsert(base: DataFrame, new: DataFrame, key: list[str], version: list[str]) -> DataFrame:
     """Rows of both, the latest version of each key. max_by sums up before the shuffle, so a hot key costs one row a task."""
     both = base.unionByName(new)
-    last = both.groupBy(*key).agg(F.max_by(F.struct(*both.columns), F.struct(*version)).alias("_last"))
-    return last.select("_last.*")
+    last = both.groupBy(*[F.col(k).alias(f"key{i}") for i, k in enumerate(key)]).agg(F.max_by(F.struct(*both.columns), F.struct(*version)).alias("row"))
+    return last.select("row.*")
 
 
 def insert_absent(base: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

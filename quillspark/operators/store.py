@@ -1,8 +1,9 @@
-"""Vector tables in folders: create, check, upsert, drop, count."""
+"""Vector tables: create, check, upsert, drop, count."""
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.dedup import upsert
+from quillspark.sources.tables import Conflict, Table
 
 POINT = "id string, vector array<float>, payload string"
 # Names that stand for a distance, kinds of a payload index.
@@ -15,18 +16,19 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _fs(spark, path)
-    return bool(fs.exists(p))
-
-
-def ensure(spark: SparkSession, path: str, missing: str = "create") -> None:
-    """Make an empty vector table where there is none; missing="error" raises instead."""
-    if exists(spark, path):
-        return
+def ensure(spark: SparkSession, path: str, missing: str = "create") -> Table:
+    """The vector table at path, made empty where there is none; missing="error" raises instead. Versions: an older one can be read on while a new one is written."""
+    table = Table(spark, path)
+    last = table.version()
+    if last.schema:
+        return table
     if missing != "create":
         raise LookupError(f"no vector table at {path}")
-    spark.createDataFrame([], POINT).coalesce(1).write.parquet(path)
+    try:
+        table.commit(last, {}, spark.createDataFrame([], POINT).schema)
+    except Conflict:  # another has made it
+        pass
+    return table
 
 
 def drop(spark: SparkSession, path: str) -> bool:
@@ -35,13 +37,6 @@ def drop(spark: SparkSession, path: str) -> bool:
     return bool(fs.delete(p, True))
 
 
-def move(spark: SparkSession, path: str, to: str) -> None:
-    """Rename a folder; there must be none of the new name."""
-    p, fs = _fs(spark, path)
-    if not fs.rename(p, _fs(spark, to)[0]):
-        raise OSError(f"cannot move {path} to {to}")
-
-
 def index_fields(specs: list[str | dict]) -> dict[str, str]:
     """Field and kind of payload indexes told as a name or {name, schema}; bad ones raise. Parquet prunes by statistics, so there is nothing to build."""
     out = {}
@@ -61,14 +56,6 @@ def distance(name: str) -> str:
     return DISTANCES[key]
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
-def euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-
-
 def upsert_points(base: DataFrame, new: DataFrame, dim: int | None = None) -> DataFrame:
     """base with the points of new by id; new ones win, the last by payload if an id comes twice. Vectors of different lengths raise while the rows are made."""
     size = F.size("vector")

@@ -5,25 +5,12 @@ from pyspark.sql import functions as F
 from quillspark.functions import ids, text
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, dedup, payloads, retrieval, routing, sqlqa, stats, store
+from quillspark.plans import searches, streams  # noqa: F401
 from quillspark.plans.fixtures import MD_SQL, md_documents
+from quillspark.plans.registry import ORACLES, QUERIES, query, scratch
 from quillspark.sources.documents import read_table
 from quillspark.streaming import ingest
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str | None = None):
-    """Register a function by its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 MD = f"md as ({MD_SQL})"
 _STRIP = r"'^\s+|\s+$', '', 'g'"
 
@@ -119,18 +106,7 @@ from documents where length(text) >= 600 group by 1""")
 def near_dup_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Buckets of near-duplicate search and their sizes."""
     d = read_table(spark, sf_dir, "documents").where(F.char_length("text") >= 600)
-    return d.groupBy(_bucket().alias("bucket")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
-
-
-def _bucket():
-    return F.concat_ws(":", "lang", "source", text.length_bucket(F.char_length("text")))
-
-
-@query()
-def near_dup_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents against their bucket's last kept text, in order of id."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", _bucket().alias("bucket"), "text")
-    return dedup.sequential_near_dup(d, bucket="bucket", order="doc_id", text="text").select("doc_id", "bucket", "is_dup")
+    return d.groupBy(streams.bucket().alias("bucket")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query("""select user_id, event_id, cast(value as double) as value from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1""")
@@ -145,7 +121,7 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by a file stream: a directory's files once, merged by micro-batches."""
     import uuid
 
-    base = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     e = read_table(spark, sf_dir, "events").select("user_id", "event_id", "value", "ts")
     e.write.parquet(f"{base}/in")
     merged = ingest.stream_upsert(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, key=["user_id"], version=["ts", "event_id"])
@@ -155,18 +131,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["stream_ingest"] = ORACLES["upsert_last_wins"]
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in a local session that names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="quillspark-")
-    return folder.rstrip("/")
-
-
 @query("select s_suppkey, s_name from supplier union all select n_nationkey * 3, 'Nation ' || n_name from nation where n_nationkey * 3 not in (select s_suppkey from supplier)")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose key is not there yet."""

@@ -1,76 +1,78 @@
 """Incremental ingest: file streams into keyed tables and windows over events."""
-from pyspark.sql import DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.dedup import upsert
+from quillspark.sources.tables import Table, Version
 
-
-#: Buckets of keys that a streamed table is kept in; a batch rewrites only those that it touches.
+#: Buckets of keys that a new streamed table is kept in; a batch rewrites only those that it touches.
 BUCKETS = 64
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+def _bucket(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the stream of a checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def _versions(spark: SparkSession, target: str) -> dict[int, list[int]]:
-    """For each bucket the versions that hold it, in order; of whole versions alone: Spark marks a written folder when all of it is there."""
-    root, fs = _fs(spark, target)
-    out: dict[int, list[int]] = {}
-    for v in fs.listStatus(root) if fs.exists(root) else []:
-        name = str(v.getPath().getName())
-        if name[:1] != "v" or not name[1:].isdigit() or not fs.exists(_fs(spark, f"{target}/{name}/_SUCCESS")[0]):
-            continue
-        for b in fs.listStatus(v.getPath()):
-            key, _, value = str(b.getPath().getName()).partition("=")
-            if key == "bucket" and value.isdigit():
-                out.setdefault(int(value), []).append(int(name[1:]))
-    return {b: sorted(vs) for b, vs in out.items()}
+def merge_batch(table: Table, batch: DataFrame, key: list[str], version: list[str], *, stream: str, n: int, buckets: int = BUCKETS, keep: int = 2) -> Version:
+    """Merge a batch into the buckets that it touches, in one commit that also notes the stream's batch; a batch that is noted already changes nothing."""
+    last = table.version()
+    seen = dict(last.notes.get("streams", {}))
+    if seen.get(stream, -1) >= n:
+        return last
+    # a table keeps the number of buckets that it was made with
+    buckets = last.notes.get("buckets", buckets)
+    bucket = _bucket(key, buckets)
+    touched = [str(r[0]) for r in batch.select(bucket.alias("bucket")).distinct().collect()]
+    parts = dict(last.parts)
+    if touched:
+        names = batch.schema.names
+        merged = upsert(table.read(last, parts=touched, schema=batch.schema).select(*names), batch, key, version)
+        tag = next(f"bucket{'_' * i}" for i in range(len(names) + 1) if f"bucket{'_' * i}" not in {x.lower() for x in names})
+        parts |= table.put(merged.withColumn(tag, bucket).repartition(tag), tag)
+    made = table.commit(last, parts, batch.schema, streams={**seen, stream: n}, buckets=buckets)
+    table.vacuum(keep)
+    return made
 
 
-def _path(target: str, version: int, bucket: int) -> str:
-    return f"{target}/v{version}/bucket={bucket}"
+def rebucket(table: Table, key: list[str], buckets: int) -> Version:
+    """Deal a table out to another number of buckets, in one commit: for one that has outgrown its buckets."""
+    last = table.version()
+    rows = table.read(last)
+    tag = next(f"bucket{'_' * i}" for i in range(len(rows.columns) + 1) if f"bucket{'_' * i}" not in {x.lower() for x in rows.columns})
+    return table.commit(last, table.put(rows.withColumn(tag, _bucket(key, buckets)).repartition(buckets, tag), tag), rows.schema, buckets=buckets)
 
 
 def current(spark: SparkSession, target: str, schema) -> DataFrame:
-    """The merged table: of each bucket its last version."""
-    paths = [_path(target, vs[-1], b) for b, vs in sorted(_versions(spark, target).items())]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    """The merged table."""
+    return Table(spark, target).read(schema=schema)
 
 
 def stream_upsert(spark: SparkSession, source: str, target: str, checkpoint: str, *, schema, key: list[str], version: list[str], columns: list[str] | None = None, keep: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """Read what is new at source once and merge it into target; the merged table.
 
-    The table lies in buckets of keys. Micro-batch n writes version n of the
-    buckets that it touches, from the last whole version of each below n, and they
-    count as soon as the version is whole; there is no pointer to lose. A batch
-    that fails leaves everything as it was, one that is repeated writes its version
-    anew. Of each bucket older versions than the last `keep` go.
+    The table lies in buckets of keys, and its versions are numbered by the table
+    itself: streams come and go, each notes its last batch in the version that holds
+    it. A batch that fails leaves everything as it was, one that is repeated after it
+    was committed changes nothing. buckets count when the table is made; a later
+    run keeps to those (rebucket() changes them). Of two rows of a key the greater
+    by `version` stays, whichever stream brought it. The last `keep` versions stay.
     """
+    table = Table(spark, target)
     rows = spark.readStream.schema(schema).parquet(source)
     rows = rows.select(*columns) if columns else rows
-    table = rows.schema
-    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, n: int) -> None:
-        touched = [r[0] for r in batch.select(bucket.alias("bucket")).distinct().collect()]
-        if not touched:
-            return
-        before = {b: [v for v in vs if v < n] for b, vs in _versions(spark, target).items() if b in touched}
-        paths = [_path(target, vs[-1], b) for b, vs in before.items() if vs]
-        base = spark.read.schema(table).parquet(*paths) if paths else batch.limit(0)
-        merged = upsert(base, batch, key, version).select(F.struct(*table.names).alias("row"), bucket.alias("bucket"))
-        if "bucket" in table.names:
-            raise ValueError("a streamed table may not have a column named bucket")
-        merged.select("row.*", "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/v{n}")
-        for b, vs in before.items():
-            for old in vs[: max(0, len(vs) - keep + 1)]:
-                p, fs = _fs(spark, _path(target, old, b))
-                fs.delete(p, True)
+        merge_batch(table, batch, key, version, stream=_stream_id(spark, checkpoint), n=n, buckets=buckets, keep=keep)
 
     rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return current(spark, target, table)
+    return table.read(schema=rows.schema)
 
 
 def windowed_counts(events: DataFrame, *, ts: str, kind: str, every: str = "1 day", late: str = "1 hour") -> DataFrame:

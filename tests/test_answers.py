@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark import config, jobs
 from quillspark.operators import answers, embedding, retrieval, sqlqa, store
 from quillspark.sources import documents
+from quillspark.sources.tables import Table
 
 
 def test_jobs(spark, tmp_path):
@@ -22,10 +23,10 @@ def test_jobs(spark, tmp_path):
     assert counts == {"total": 3, "n_parsed": 2, "n_dup": 1, "n_ok": 1, "n_error": 1}
     assert documents.read_partition(spark, f"{out}/processed", "my-product", "v1", "en").count() == 1
     assert documents.read_partition(spark, f"{out}/processed", "my-product", "v2", "en").count() == 0
-    assert spark.read.parquet(f"{out}/state").count() == 1
+    assert Table(spark, f"{out}/state").read().count() == 1
     # with the state, all that is seen again is near what was kept
     again = jobs.ingest(spark, str(tmp_path / "src"), f"{out}/again", "My Product", "v1", "en", state=f"{out}/state")
-    assert again["n_dup"] == 2 and spark.read.parquet(f"{out}/state.backup").count() == 1
+    assert again["n_dup"] == 2 and Table(spark, f"{out}/state").versions() == [0, 1]
     report = jobs.chunk(spark, f"{out}/processed", f"{out}/chunked")
     linked = spark.read.parquet(f"{out}/chunked/linked")
     assert report["n_chunks"] == linked.count() > 3 and linked.where("prev_id is not null").count() > 0
@@ -43,7 +44,7 @@ def test_jobs(spark, tmp_path):
 
 def answers_of(spark, path):
     queries = spark.createDataFrame([(1,), (2,)], "query_id int")
-    found = spark.read.parquet(path).limit(2).select(F.lit(1).alias("query_id"), F.rand(1).alias("score"))
+    found = Table(spark, path).read().limit(2).select(F.lit(1).alias("query_id"), F.rand(1).alias("score"))
     return store.sanity(queries, found).collect()
 
 
