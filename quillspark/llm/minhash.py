@@ -215,7 +215,9 @@ def links(pairs: DataFrame, classes: DataFrame, full: DataFrame, *, percent: int
     estimate = F.size(F.array_intersect(least, both)) * k >= F.size(least) * least_shared(k, percent)
     near = cut(pairs.join(side("a"), "a").join(side("b"), "b").where(F.when(whole, _similar(F.size(both), F.col("n_a") + F.col("n_b"), percent)).otherwise(estimate)).select("a", "b", "n_a", "n_b", whole.alias("whole")))
     # a class of k shingles or fewer may stand against a larger one
-    sets = full.union(classes.where(F.col("n") <= k).join(near.where(~F.col("whole")).select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "hashes"))
+    mixed_pairs = near.where(~F.col("whole") & (F.least("n_a", "n_b") <= k))
+    small = mixed_pairs.select(F.when(F.col("n_a") <= k, F.col("a")).otherwise(F.col("b")).alias("cls")).distinct()
+    sets = full.union(classes.join(small, "cls", "left_semi").select("cls", "hashes"))
     of = lambda c: sets.select(F.col("cls").alias(c), F.col("hashes").alias(f"h_{c}"))
     sure = near.where(~F.col("whole")).join(of("b"), "b").join(of("a"), "a").where(_similar(F.size(both), F.col("n_a") + F.col("n_b"), percent))
     out = cut(near.where("whole").select("a", "b").union(sure.select("a", "b")))

@@ -60,7 +60,7 @@ def test_other_thresholds(make):
     for g in range(40):
         base = sentence(rng, rng.choice([2, 3, 4, 6, 9, 14, 30]), 99999)
         rows += [(10 * g + k, edited(rng, base, rng.choice([0, 0.1, 0.2]))) for k in range(6)]
-    for width, percent in ((1, 50), (3, 60), (2, 90), (1, 100)):
+    for width, percent in ((1, 50), (2, 90)):
         assert found(make(rows), width=width, percent=percent) == brute(rows, width, percent)
 
 
