@@ -11,8 +11,8 @@ mixing        one row per document: the words that a mix to the target weights t
 
 Defined cases, by stage: a null or empty text has the classifier's intercept as
 score and stays; it has no lines, and stays; all such texts are one SimHash
-component, of which the smallest id stays (rows without an id stay, repeated rows
-of the id that stays too); it has no benchmark words; it has size 0 and is never
+component, of which the smallest id stays (rows without an id stay, and repeated
+rows that are equal in id and text to the one that stays); it has no benchmark words; it has size 0 and is never
 taken. Repeated rows: each is scored alike; equal in id and text they are one
 document to the line dedup. Texts of any length are taken whole. Empty tables give
 empty stages; an empty `labels` rejects nothing, an empty `benchmark` cuts nothing.
@@ -53,10 +53,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component, the one with the smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("doc_id <> component_id").select("doc_id")
-    return docs.select(*_COLUMNS).join(gone, "doc_id", "left_anti").select(*_COLUMNS)
+    """One document of each near-duplicate component, the one with the smallest id; rows without an id stay.
+
+    A row is told by its id and its text: of two texts under one id each is judged by itself.
+    """
+    held = docs.select(*_COLUMNS, F.xxhash64("text").alias("mark"))
+    # ids come first, nulls last
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
+    found = simhash.near_duplicates(held.select(key.alias("key"), "text"), id_col="key")
+    gone = found.where("key <> component_id and not key.none").select("key.doc_id", "key.mark").distinct()
+    return held.join(gone, ["doc_id", "mark"], "left_anti").select(*_COLUMNS)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,6 +40,17 @@ def test_decisions(spark, tmp_path, make):
     assert passage not in left[70] and left[70].endswith(" end") and all(left[i] == t for i, t in clean)
 
 
+def test_repeated_ids(spark, make):
+    """Two texts under one id: the copy goes, the other stays; equal rows of the id that stays are all there."""
+    rng = random.Random(7)
+    a, b, c = (sentence(rng, 80, 5000) for _ in range(3))
+    rows = [(1, a), (5, a), (5, b), (2, c), (2, c), (None, a), (9, None), (9, "")]
+    left = corpus_pipeline.dedup_documents(spark, make(rows).select(*COLUMNS), "").collect()
+    got = sorted(((r.doc_id, r.text) for r in left), key=str)
+    assert [x for x in got if x[0] != 9] == sorted([(1, a), (5, b), (2, c), (2, c), (None, a)], key=str)
+    assert len(got) == 6
+
+
 def test_empty(spark, sf, make):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, make([]).select(*COLUMNS), sf).count() == 0
