@@ -6,6 +6,11 @@
     spark-submit quillspark/jobs.py verify SOURCE TARGET
 """
 import argparse
+import os
+import sys
+
+if __package__ in (None, ""):  # started as a file
+    sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -5,7 +5,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -196,6 +196,34 @@ def chunk_documents(docs: DataFrame, *, doc: str, text: str, title: str | None =
     return out.withColumn("chunk_id", ids.chunk_id(F.col("document_id"), F.col("seq"), F.col("text")))
 
 
+def register(spark: SparkSession, name: str = "chunk", budget: Budget = Budget()) -> None:
+    """Make the chunker a table function of SQL: `SELECT d.id, c.* FROM docs d, LATERAL chunk(d.text) c`, with title and section as further arguments.
+
+    Its rows are those of CHUNK; a null or empty text has none. By TABLE(docs PARTITION
+    BY id ORDER BY part) the function `<name>_parts` chunks texts that lie in several
+    rows: those of a partition, in order, joined by blank lines.
+    """
+
+    class Chunk:
+        def eval(self, text: str, title: str | None = None, section: str | None = None):
+            yield from split_document(text or "", title, section, budget)
+
+    class Parts:
+        def __init__(self):
+            self.key, self.parts = None, []
+
+        def eval(self, row):
+            self.key = str(row[0])
+            self.parts.append(row[1] or "")
+
+        def terminate(self):
+            for c in split_document("\n\n".join(self.parts), None, None, budget):
+                yield (self.key, *c)
+
+    spark.udtf.register(name, F.udtf(Chunk, returnType=CHUNK))
+    spark.udtf.register(f"{name}_parts", F.udtf(Parts, returnType=f"document_id string, {CHUNK}"))
+
+
 def group_key(h_path: Column, title: Column) -> Column:
     """The first two headings of a path, else the title, else root."""
     return F.when(F.size(h_path) > 0, F.slice(h_path, 1, 2)).otherwise(F.array(F.coalesce(title, F.lit("root"))))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import ids, text
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, dedup, payloads, retrieval, routing, sqlqa, stats, store
-from quillspark.plans import searches, streams  # noqa: F401
+from quillspark.plans import approximate, searches, streams, times  # noqa: F401
 from quillspark.plans.fixtures import MD_SQL, md_documents
 from quillspark.plans.registry import ORACLES, QUERIES, query, scratch
 from quillspark.sources.documents import read_table
@@ -184,6 +184,14 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("document_id", "seq", "chunk_id", "chunk_size", F.sha2("text", 256).alias("digest"))
 
 
+@query(f"with recursive {_CHUNKS} select cast(doc_id as varchar) as document_id, row_number() over (partition by doc_id order by n) as seq, {_EST('made')} as chunk_size, sha256(made) as digest from once")
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in SQL, by the chunker as a lateral table function."""
+    chunking.register(spark, "quill_chunk", chunking.Budget(max_chunks=None))
+    read_table(spark, sf_dir, "documents").createOrReplaceTempView("quill_documents")
+    return spark.sql("select cast(d.doc_id as string) as document_id, c.seq, c.chunk_size, sha2(c.text, 256) as digest from quill_documents d, lateral quill_chunk(d.text) c")
+
+
 @query(f"with recursive {_CHUNKS} select count(*) as n_chunks, cast(0 as bigint) as n_code, cast(0 as bigint) as n_table, round(avg(length(made)), 4) as avg_chars, cast(0.0 as double) as code_share, cast(0.0 as double) as table_share from once")
 def chunk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report over all chunks; texts without code and tables."""

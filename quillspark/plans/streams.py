@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text
 from quillspark.operators import dedup
-from quillspark.plans.registry import ORACLES, query, scratch
+from quillspark.plans.registry import query, scratch
 from quillspark.sources.documents import read_table
-from quillspark.streaming import neardup
+from quillspark.streaming import events, neardup
 
 
 def bucket():
@@ -61,3 +61,44 @@ def near_dup_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         d.where(part).repartitionByRange(4, "doc_id").write.mode("append").parquet(f"{base}/in")
         out = neardup.stream_near_dup(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=d.schema, bucket="bucket", order="doc_id", text="text", partitions=8)
     return out.select("doc_id", "bucket", "is_dup")
+
+
+#: Six days of events a batch; a tenth of them come one batch late, another tenth two.
+_BATCH = "cast(datediff(cast(ts as date), date '2024-01-01') as int) div 6 + case when event_id % 10 = 7 then 2 when event_id % 10 = 3 then 1 else 0 end"
+_LATE_SQL = """
+with e as (select ts, event_type, user_id, date_diff('day', timestamp '2024-01-01', ts) // 6 + case when event_id % 10 = 7 then 2 when event_id % 10 = 3 then 1 else 0 end as batch from events),
+seen as (select batch, max(max(ts)) over (order by batch rows between unbounded preceding and 2 preceding) - interval 2 days as mark from e group by batch),
+w as (select date_trunc('day', ts) as start, event_type, date_trunc('day', ts) + interval 1 day > coalesce(mark, timestamp '1970-01-01') as in_time from e join seen using (batch))
+select case when not in_time then 'late' when start + interval 1 day <= (select max(ts) - interval 2 days from e) then 'closed' else 'open' end as status, case when in_time then cast(start as timestamp) end as start, case when in_time then event_type end as event_type, count(*) as n from w group by all
+"""
+
+
+def _in_batches(spark: SparkSession, sf_dir: str, base: str, batch: str, columns: list[str]) -> DataFrame:
+    """The events' files, one written after the other, in order of `batch`."""
+    e = read_table(spark, sf_dir, "events").withColumn("batch", F.expr(batch))
+    top = e.agg(F.max("batch")).first()[0]
+    for n in range(top + 1):
+        e.where(F.col("batch") == n).select(*columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return e.select(*columns)
+
+
+@query(_LATE_SQL)
+def event_windows_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts by kind of a stream whose rows come up to two batches late: closed and open windows, and how many rows came too late."""
+    base = f"{scratch(spark)}/windows-{uuid.uuid4().hex}"
+    e = _in_batches(spark, sf_dir, base, _BATCH, ["ts", "event_type"])
+    run = events.stream_windows(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, ts="ts", kind="event_type", every="1 day", late="2 days", max_files=1, partitions=4)
+    told = lambda df, status: df.select(F.lit(status).alias("status"), "start", "event_type", "n")
+    late = spark.range(1).select(F.lit("late").alias("status"), F.lit(None).cast("timestamp").alias("start"), F.lit(None).cast("string").alias("event_type"), F.lit(run.late).cast("long").alias("n")).where("n > 0")
+    return told(run.closed, "closed").unionByName(told(run.open, "open")).unionByName(late)
+
+
+@query("""with e as (select user_id, ts, case when ts > lag(ts) over (partition by user_id order by ts) + interval 6 hours then 1 else 0 end as new from events),
+s as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from e), t as (select user_id, min(ts) as start, max(ts) + interval 6 hours as end, count(*) as n from s group by user_id, k)
+select user_id, start, "end", n, "end" <= (select max(ts) - interval 1 hour from events) as closed from t""")
+def event_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users with six hours between them, from a stream in order; whether they are closed."""
+    base = f"{scratch(spark)}/sessions-{uuid.uuid4().hex}"
+    e = _in_batches(spark, sf_dir, base, "cast(datediff(cast(ts as date), date '2024-01-01') as int) div 10", ["ts", "user_id"])
+    run = events.stream_sessions(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", schema=e.schema, ts="ts", key="user_id", gap="6 hours", late="1 hour", max_files=1, partitions=4)
+    return run.closed.withColumn("closed", F.lit(True)).unionByName(run.open.withColumn("closed", F.lit(False)))
