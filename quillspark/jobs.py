@@ -12,7 +12,7 @@ import sys
 if __package__ in (None, ""):  # started as a file
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark import config
@@ -34,29 +34,34 @@ def ingest(spark: SparkSession, source: str, target: str, product: str, version:
     buckets' representatives are read from there, and the new ones are committed when
     all else is written: a run that ends before is run again from the old ones.
     """
+    # the files are read once: parsed rows lie beside the target while the run lasts, and writes count what they write
     files = documents.read_files(spark, source, include, exclude)
-    parsed = documents.parse(files, product=product, product_code=text_code(product), version=version, lang=lang)
-    docs, lacking = payloads.required(parsed, "text", "source_ref")
+    parsed = documents.parse(files, product=product, product_code=text_code(product), version=version, lang=lang, blanks=True)
+    parsed.write.mode("overwrite").parquet(f"{target}_parsed")
+    parsed = spark.read.schema(parsed.schema).parquet(f"{target}_parsed")
+    docs, lacking = payloads.required(parsed.where("text <> ''"), "text", "source_ref")
     bucket = F.concat_ws(":", "meta.product_code", text.section_key(F.col("meta.section"), F.col("meta.url"), F.col("meta.product_code")), text.length_bucket(F.char_length("text")))
     rows = docs.select("text", "source_ref", bucket.alias("bucket"))
     args = {"bucket": "bucket", "order": "source_ref", "text": "text", "min_chars": settings.near_min_chars}
     held = Table(spark, state) if state else None
     then = held.version() if held else None
     before = held.read(then) if held and then.schema else None
+    seen, failed = Observation(), Observation()
     marked = dedup.sequential_near_dup(rows, threshold=settings.near_threshold, state=before, **args)
-    marked.write.mode("overwrite").parquet(f"{target}_marked")
-    marked = spark.read.parquet(f"{target}_marked")
+    marked.observe(seen, F.count("*").alias("n_parsed"), F.coalesce(F.count_if("is_dup"), F.lit(0)).alias("n_dup")).write.mode("overwrite").parquet(f"{target}_marked")
+    marked = spark.read.schema(marked.schema).parquet(f"{target}_marked")
     documents.write_documents(docs.join(marked.where("is_dup").select("source_ref"), "source_ref", "left_anti"), target)
-    blank = files.join(parsed.select(F.col("source_ref").alias("path")), "path", "left_anti").select("path", F.lit("no text").alias("error"))
-    blank.unionByName(lacking.select(F.col("source_ref").alias("path"), "error")).write.mode("overwrite").json(f"{target}_errors")
-    n_error = spark.read.schema("path string, error string").json(f"{target}_errors").count()
+    blank = parsed.where("text = ''").select(F.col("source_ref").alias("path"), F.lit("no text").alias("error"))
+    errors = blank.unionByName(lacking.select(F.col("source_ref").alias("path"), "error"))
+    errors.observe(failed, F.count("*").alias("n")).write.mode("overwrite").json(f"{target}_errors")
     if held:
         # last, so that a run that ends before leaves the state of the documents that are there
         after = dedup.near_dup_state(marked, state=before, **args)
         held.commit(then, held.put(after), after.schema)
         held.vacuum()
-    counted = marked.agg(F.count("*").alias("n_parsed"), F.count_if("is_dup").alias("n_dup")).first()
-    return {"total": counted.n_parsed + n_error, "n_parsed": counted.n_parsed, "n_dup": counted.n_dup, "n_ok": counted.n_parsed - counted.n_dup, "n_error": n_error}
+    store.drop(spark, f"{target}_parsed")
+    n, n_error = seen.get, failed.get["n"]
+    return {"total": n["n_parsed"] + n_error, "n_parsed": n["n_parsed"], "n_dup": n["n_dup"], "n_ok": n["n_parsed"] - n["n_dup"], "n_error": n_error}
 
 
 def ingest_all(spark: SparkSession, target: str, settings: config.Settings) -> dict:
@@ -141,7 +146,7 @@ def main() -> int:
     else:
         got = {"chunk": chunk, "embed": embed}[a.job](spark, a.source, a.target, settings)
     print(got)
-    return 1 if got.get("failed") else 0
+    return 1 if got.get("failed") or got.get("n_error") or any(c["n_error"] for c in got.get("counts", {}).values()) else 0
 
 
 if __name__ == "__main__":

@@ -135,18 +135,24 @@ def phrased(answer: DataFrame) -> Column:
     return F.when(n == 0, NO_DATA).when(n == 1, one).otherwise(many)
 
 
-def confidence(answer: DataFrame, limited: bool, said: str | None = None) -> DataFrame:
-    """One row: rows and confidence of an answer: 0.1 without rows, 0.2 if what is said (by default its phrase) tells that nothing was found, 0.3 with an empty cell, 0.7 if a limit may have cut it, else 0.9."""
+def confidence(answer: DataFrame, limited: bool, said: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """Rows and confidence of an answer: 0.1 without rows, 0.2 if what is said (by default its phrase) tells that nothing was found, 0.3 with an empty cell, 0.7 if a limit may have cut it, else 0.9.
+
+    One row; by: a row for each answer that the rows of these columns make up (one
+    without rows has none).
+    """
+    by = by or []
+    rows = answer.select(*[F.col(c) for c in answer.columns if c not in by])
     bad = F.lit(False)
-    for c in answer.columns:
+    for c in rows.columns:
         bad = bad | empty_cell(F.col(c))
-    text = phrased(answer) if said is None else F.lit(said)
-    got = answer.agg(F.count("*").alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"), F.lower(text).alias("said"))
+    text = phrased(rows) if said is None else F.lit(said)
+    got = answer.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("bad"), F.lower(text).alias("said"))
     negative = F.lit(False)
     for word in NEGATIVE:
         negative = negative | F.col("said").contains(word)
     level = F.when(F.col("n") == 0, 0.1).when(negative, 0.2).when(F.col("bad"), 0.3).when(F.lit(limited) & (F.col("n") >= LIMIT), 0.7).otherwise(0.9)
-    return got.select(F.col("n").alias("n_rows"), level.alias("confidence"))
+    return got.select(*by, F.col("n").alias("n_rows"), level.alias("confidence"))
 
 
 def cells(df: DataFrame) -> Column:

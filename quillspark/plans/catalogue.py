@@ -463,27 +463,34 @@ def index_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.verified(points, e.where("vec_id % 7 <> 0"), "vec_id")
 
 
-@query("select label, count(*) as n_points, cast(min(len(embedding)) as bigint) as least_dim, max(vec_id) as newest from embeddings group by label")
+@query("""with e as (select label, vec_id, len(embedding) as dim, vec_id % 2 = 1 and label % 2 = 0 and vec_id < (select max(vec_id) / 2 from embeddings) as later from embeddings)
+select label, count(*) as n_points, cast(min(dim) as bigint) as least_dim, coalesce(max(vec_id) filter (later), max(vec_id) filter (vec_id % 2 = 0)) as newest from e group by label having count(*) filter (later or vec_id % 2 = 0) > 0""")
 def points_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points of labels, written twice: the later payload stays."""
-    e = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("payload"))
-    merged = store.upsert_points(e.where("cast(payload as bigint) % 2 = 0"), e.where("cast(payload as bigint) % 2 = 1").unionByName(e.where("cast(payload as bigint) % 2 = 0")))
-    counts = e.groupBy("id").agg(F.count("*").alias("n_points"))
+    """Points of labels: those written later stay, though most of them have the smaller payload; labels that are not written again stay as they were."""
+    e = read_table(spark, sf_dir, "embeddings")
+    later = (F.col("vec_id") % 2 == 1) & (F.col("label") % 2 == 0) & (F.col("vec_id") < F.lit(e.agg(F.max("vec_id") / 2).first()[0]))
+    point = lambda df: df.select(F.col("label").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("vector"), F.lpad(F.col("vec_id").cast("string"), 12, "0").alias("payload"))
+    base = store.upsert_points(point(e.limit(0)), point(e.where("vec_id % 2 = 0")))
+    merged = store.upsert_points(base, point(e.where(later)))
+    counts = e.groupBy(F.col("label").cast("string").alias("id")).agg(F.count("*").alias("n_points"))
     return merged.join(counts, "id").select(F.col("id").cast("long").alias("label"), "n_points", F.size("vector").cast("long").alias("least_dim"), F.col("payload").cast("long").alias("newest"))
 
 
 # ---------------------------------------------------------------- questions over tables
 
-_STATEMENTS = ["select 1", "SELECT a FROM t;", "with x as (select 1) select * from x", "select replace(a, 'b', 'c') from t", "select 1 -- drop it", "select x from t limit\n5", "delete from t", "", "select /* insert */ y from t", "SELECT updated FROM t", "select a from t where b = 'set'"]
+#: Statements that the guard lets through or not; # stands for a word of a document, @ for its source.
+_STATEMENTS = ["select #", "SELECT # FROM t;", "with x as (select #) select * from x", "select replace(#, 'b', 'c') from t", "select # -- drop it", "select x from # limit\n5", "delete from # where s = '@'", "", "select /* insert */ # from t", "SELECT updated FROM # where s = '@'", "select # from t where b = 'set'"]
+_STATEMENT = "replace(replace({0}, '#', coalesce(nullif(regexp_extract(text, '[a-z]+', 0), ''), 'x')), '@', source)"
 _FORBID = " ".join(f"when regexp_matches(n, '\\b{w}\\b') then 'Forbidden keyword detected: {w}'" for w in sqlqa.FORBIDDEN)
 
 
-@query(rf"""with s as (select unnest({_literal(_STATEMENTS)}) as sql), n as (select sql, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g'), '^[\s;]+|[\s;]+$', '', 'g'), '\s+', ' ', 'g')) as n from s)
-select sql, case when sql = '' then 'Empty SQL query' when contains(sql, ';') then 'Only one statement is allowed (no semicolons).' when not starts_with(n, 'select ') then 'Only SELECT statements are allowed.' {_FORBID} else '' end as verdict from n""")
+@query(rf"""with s as (select doc_id, {_STATEMENT.format(f'{_literal(_STATEMENTS)}[doc_id % {len(_STATEMENTS)} + 1]')} as sql from documents), n as (select doc_id, sql, lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sql, '(?s)/\*.*?\*/', '', 'g'), '--[^\n]*', '', 'g'), '^[\s;]+|[\s;]+$', '', 'g'), '\s+', ' ', 'g')) as n from s)
+select doc_id, sha256(sql) as digest, case when sql = '' then 'Empty SQL query' when contains(sql, ';') then 'Only one statement is allowed (no semicolons).' when not starts_with(n, 'select ') then 'Only SELECT statements are allowed.' {_FORBID} else '' end as verdict from n""")
 def sql_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Verdicts of the text guard."""
-    s = spark.range(1).select(F.explode(F.array(*map(F.lit, _STATEMENTS))).alias("sql"))
-    return s.select("sql", sqlqa.verdict(F.col("sql")).alias("verdict"))
+    """Verdicts of the text guard on a statement for each document, made with its words."""
+    held = F.element_at(F.array(*map(F.lit, _STATEMENTS)), (F.col("doc_id") % len(_STATEMENTS) + 1).cast("int"))
+    s = read_table(spark, sf_dir, "documents").withColumn("statement", held).select("doc_id", F.expr(_STATEMENT.format("statement")).alias("sql"))
+    return s.select("doc_id", F.sha2("sql", 256).alias("digest"), sqlqa.verdict(F.col("sql")).alias("verdict"))
 
 
 def _team(spark, sf_dir):
@@ -527,18 +534,23 @@ def answer_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sqlqa.confidence(_asked(spark, sf_dir, "core-dev count"), limited=False)
 
 
-_LEVELS = [("", 0), ("5", 1), ("0", 1), ("Not found here", 1), ("n/a", 2), ("unknown", 3), ("x", 100), ("x", 99)]
+#: Questions of one row, of as many rows as follow from the id, and (a user's number) of none; cells are numbers, zeros and words for nothing.
+_CELL = "case when event_id % 50 = 0 then 'n/a' when event_id % 41 = 0 then '0' when event_id % 47 = 0 then 'Not found here' else event_type end"
+_QUESTION = "case when event_id % 3 = 0 then 'one ' || cast(event_id as {0}) when event_id % 9 = 1 then 'all ' || event_type else 'some ' || cast(cast(floor(sqrt(event_id)) as bigint) as {0}) end"
+_SAYS_NOTHING = " or ".join(f"contains(said, '{w}')" for w in sqlqa.NEGATIVE)
 
 
-@query("select * from (values ('none', 0::bigint, 0.1::double), ('one', 1::bigint, 0.9::double), ('zero', 1::bigint, 0.3::double), ('negative', 1::bigint, 0.2::double), ('empty cell', 2::bigint, 0.3::double), ('many', 3::bigint, 0.9::double), ('cut', 100::bigint, 0.7::double), ('not cut', 99::bigint, 0.9::double)) t(name, n_rows, confidence)")
+@query(f"""with a as (select {_QUESTION.format('varchar')} as question, {_CELL} as value from events),
+g as (select question, count(*) as n_rows, bool_or(lower(trim(value)) in ('', 'none', 'null', 'n/a') or value = '0') as bad, case when count(*) = 1 then lower('{sqlqa.FOUND}' || max(value)) else '' end as said from a group by question),
+q as (select question from g union select distinct 'user ' || cast(user_id as varchar) from events)
+select question, coalesce(n_rows, 0) as n_rows, cast(case when n_rows is null then 0.1 when {_SAYS_NOTHING} then 0.2 when bad then 0.3 when n_rows >= 100 then 0.7 else 0.9 end as double) as confidence from q left join g using (question)""")
 def confidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each level of confidence, by answers that call for it. Only a single cell is said, so a word for nothing in a longer answer tells nothing."""
-    out = None
-    for name, (value, n) in zip(("none", "one", "zero", "negative", "empty cell", "many", "cut", "not cut"), _LEVELS):
-        rows = spark.range(n).select(F.lit(value).alias("value"))
-        got = sqlqa.confidence(rows, limited=True).select(F.lit(name).alias("name"), "n_rows", "confidence")
-        out = got if out is None else out.unionByName(got)
-    return out
+    """How far many answers may be trusted, each by its rows: none, one, few or as many as a limit lets through."""
+    e = read_table(spark, sf_dir, "events")
+    rows = e.select(F.expr(_QUESTION.format("string")).alias("question"), F.expr(_CELL).alias("value"))
+    got = sqlqa.confidence(rows, limited=True, by=["question"])
+    none = e.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("question")).distinct().join(got, "question", "left_anti")
+    return got.unionByName(none.select("question", F.lit(0).cast("long").alias("n_rows"), F.lit(0.1).alias("confidence")))
 
 
 # ---------------------------------------------------------------- reports
