@@ -117,6 +117,34 @@ def outside_code(c: Column, rule) -> Column:
     return let(c, joined)
 
 
+# Values of tabs, the preferred first.
+TAB_VALUES = ("pip", "python", "pt", "bash", "conda", "source")
+_TABS = r"(?i)<Tabs[^>]*>([^<]*+(?:<(?!/?Tabs[\s>/])[^<]*+)*+)</Tabs>"
+_TAB = r"(?is)<TabItem[^>]*\bvalue=[\"']([^\"']+)[\"'][^>]*>(.*?)</TabItem>"
+
+
+def chosen_tabs(c: Column, depth: int = 3) -> Column:
+    """Each block of tabs replaced by the stripped body of one: that of the most preferred value, the first of equals; a block without tabs by what it holds.
+
+    Innermost blocks are decided first, so tabs within tabs are whole; blocks deeper than `depth` stay.
+    """
+
+    def best(inner: Column) -> Column:
+        values, bodies = F.regexp_extract_all(inner, F.lit(_TAB), F.lit(1)), F.regexp_extract_all(inner, F.lit(_TAB), F.lit(2))
+        place = lambda v: F.array_position(F.array(*map(F.lit, TAB_VALUES)), v)
+        rank = F.transform(values, lambda v, i: F.struct(F.when(place(v) > 0, place(v)).otherwise(999).alias("p"), i.alias("i")))
+        return F.when(F.size(values) > 0, strip(F.get(bodies, F.array_min(rank)["i"]))).otherwise(inner)
+
+    def once(whole: Column) -> Column:
+        plain, blocks = F.split(whole, _TABS), F.transform(F.regexp_extract_all(whole, F.lit(_TABS), F.lit(1)), best)
+        return F.array_join(F.flatten(F.zip_with(plain, blocks, lambda p, b: F.array(F.coalesce(p, F.lit("")), F.coalesce(b, F.lit(""))))), "")
+
+    out = c
+    for _ in range(depth):
+        out = F.when(out.rlike(_TABS), let(out, once)).otherwise(out)
+    return out
+
+
 def normalize_markdown(c: Column) -> Column:
     """Markup stripped and white space tidied outside of fences."""
     tidy = lambda p: F.regexp_replace(F.regexp_replace(strip_markup(p), r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")

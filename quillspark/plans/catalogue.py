@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import ids, text
 from quillspark.functions import vectors as V
 from quillspark.operators import chunking, dedup, payloads, retrieval, routing, sqlqa, stats, store
-from quillspark.plans import approximate, searches, streams, times  # noqa: F401
+from quillspark.plans import approximate, markup, searches, streams, times  # noqa: F401
 from quillspark.plans.fixtures import MD_SQL, md_documents
 from quillspark.plans.registry import ORACLES, QUERIES, query, scratch
 from quillspark.sources.documents import read_table

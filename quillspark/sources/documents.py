@@ -109,7 +109,7 @@ def read_parents(spark: SparkSession, root: str) -> DataFrame:
 
 def parse(files: DataFrame, *, product: str, product_code: str, version: str, lang: str, commit: str | None = None, blanks: bool = False) -> DataFrame:
     """Documents in the columns of DOCUMENT from path and text; blank texts are left out, or with `blanks` kept as empty ones."""
-    body = text.normalize_markdown(text.without_front_matter(F.col("text")))
+    body = text.normalize_markdown(text.chosen_tabs(text.without_front_matter(F.col("text"))))
     stored = files.select("path", F.sha2("text", 256).alias("hash_raw"), F.coalesce(text.first_h1(text.without_front_matter(F.col("text"))), text.front_matter_title(F.col("text")), text.title_from_path(F.col("path"))).alias("title"), text.clean_text(body).alias("t"), text.last_heading_anchor(body).alias("anchor"))
     stored = stored.withColumn("t", F.coalesce("t", F.lit(""))) if blanks else stored.where("t <> ''")
     url = F.concat_ws("/", F.lit(f"repo://{product_code}"), F.lit(commit), F.col("path"))

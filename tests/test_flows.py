@@ -150,6 +150,17 @@ def test_text_rules(spark):
     assert one(spark, ids.composite_id(F.col("a"), F.col("b")), a="x", b=3) == "x_3"
 
 
+def test_tabs(spark):
+    chosen = lambda x: one(spark, text.chosen_tabs(F.col("x")), x=x)
+    item = lambda v, b: f'<TabItem label="l" value="{v}" x>{b}</TabItem>'
+    assert chosen(f"a <Tabs>{item('npm', 'x')}\n{item('conda', ' y ')}{item('bash', 'z' * 200_000)}</Tabs> b") == f"a {'z' * 200_000} b"
+    assert chosen(f"<tabs a='b'>{item('npm', 'first')}{item('yarn', 'second')}</tabs>") == "first"
+    assert chosen("<Tabs> no <i>tabs</i> </Tabs>|<Tabs></Tabs>|") == " no <i>tabs</i> ||"
+    deep = f"<Tabs>{item('x', 'no')}{item('pip', 'in ' + '<Tabs>' + item('pt', '1') + item('python', '2') + '</Tabs>')}</Tabs>"
+    assert chosen(deep) == "in 2" and chosen("<Tabs>open " + deep) == "<Tabs>open in 2" and chosen("plain < text") == "plain < text" and chosen("") == ""
+    assert chosen("```\n<Tabs>\n" + item("pip", "```py\nx\n```") + "</Tabs>") == "```\n```py\nx\n```"
+
+
 def test_stream_survives_a_lost_write(spark, tmp_path, monkeypatch):
     """A batch that fails while it writes leaves the last version; the next run repeats it."""
     src, out, ck = (f"{tmp_path}/{x}" for x in ("in", "out", "ck"))
