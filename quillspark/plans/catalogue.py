@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import ids, text
 from quillspark.functions import vectors as V
-from quillspark.operators import chunking, dedup, payloads, retrieval, routing, sqlqa, stats, store
+from quillspark.operators import chunking, dedup, embedding, payloads, retrieval, routing, search, sqlqa, stats, store
 from quillspark.plans import approximate, markup, searches, streams, times  # noqa: F401
 from quillspark.plans.fixtures import MD_SQL, md_documents
 from quillspark.plans.registry import ORACLES, QUERIES, query, scratch
@@ -298,7 +298,7 @@ def budget_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def payload_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equality and membership filters before any scoring."""
     good = read_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
-    return read_table(spark, sf_dir, "embeddings").where("label = 3").join(good, "vec_id", "left_semi").select("vec_id", "label")
+    return search.by_ids(read_table(spark, sf_dir, "embeddings").where(embedding.payload_filter(label=3)), good, "vec_id").select("vec_id", "label")
 
 
 @query("select doc_id, source, text_sha from (select doc_id, source, sha256(text) as text_sha, row_number() over (partition by left(text, 500) order by n_chars desc, doc_id) as n from documents) where n = 1")
