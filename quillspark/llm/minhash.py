@@ -18,8 +18,8 @@ of its longest lists but one: passages that many texts hold make no candidates.
 Among whole sets that loses nothing either; a pair at exactly 0.8 of larger ones is
 lost with a chance below 1e-6.
 
-Lists give pairs in turns, not all pairs of a group: each member with few of the
-list's classes, twice; then, of members that are in different components even so,
+Lists give pairs in turns, not all pairs of a group: each class with few of the
+classes in its longest lists, twice; then, of members that are in different components even so,
 those pairs whose sizes allow the similarity and whose bitmaps do (bits that
 differ are elements that differ, so this loses nothing). A pair's sketches give the k smallest
 hashes of the union; the share of these that both hold estimates the similarity,
@@ -51,8 +51,8 @@ from quillspark.llm.textnum import Words, mixed, space_words, span_hash, text_sl
 WIDTH, PERCENT, K, RUN = 2, 80, 64, 3
 #: Rows of (id) that are broadcast at most, some 20 MB; more are joined by a shuffle.
 IDS = 500_000
-#: Classes of a list that all others meet in a turn, and such turns.
-LEADERS, TURNS = 4, 2
+#: Classes of a list that others meet in a turn, such turns, and the lists (its longest) in which a class meets them.
+LEADERS, TURNS, MEETS = 4, 2, 4
 #: Words of 64 bits in the bitmap of a set, by which classes are compared where a list's members meet one another.
 WORDS = 32
 
@@ -231,7 +231,8 @@ def similar_classes(classes: DataFrame, src: DataFrame, *, width: int, percent:
     sizes = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     # a class leaves its longest lists, so many that each similar class still meets it in another: the prefix filter
     rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("m"), "key"))
-    some = cut(entries.join(sizes, "key").select("key", "cls", "n", rank.alias("r")).where(F.col("r") >= _by_size(F.col("n"), lambda i: least_runs(i, percent, k, run), k + 1)).drop("r"))
+    left = rank - _by_size(F.col("n"), lambda i: least_runs(i, percent, k, run), k + 1) + 1
+    some = cut(entries.join(sizes, "key").select("key", "cls", "n", left.alias("r")).where("r > 0"))
     listed = cut(some.join(some.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "key"))
     drop_cut(some)
     full = full_sets(listed, classes, src, width=width, k=k)
@@ -243,13 +244,16 @@ def similar_classes(classes: DataFrame, src: DataFrame, *, width: int, percent:
         if turn < TURNS:
             # few of a list's classes, the same ones in as many lists as can be
             first = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("cls", F.lit(turn)), "cls"))
-            y = rest.withColumn("r", first).where(F.col("r") <= LEADERS).alias("y")
+            x = rest.where(F.col("r") <= MEETS).alias("x")
+            y = rest.withColumn("lead", first).where(F.col("lead") <= LEADERS).alias("y")
         apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & fits(F.col("x.n"), F.col("y.n"))
         if turn == TURNS:
             # all that is left: bitmaps decide in the join, so that it gives few rows besides links
-            mapped = rest.join(classes.select("cls", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)]), "cls")
+            bits = classes.select("cls", *[F.col("bits")[i].alias(f"b{i}") for i in range(WORDS)])
+            mapped = rest.join(bits, "cls").join(rest.groupBy("cls").agg(F.collect_list("key").alias("keys")), "cls")
             x, y = mapped.alias("x"), mapped.alias("y")
-            apart &= (F.col("x.cls") < F.col("y.cls")) & _differ(percent)
+            # a pair is told in the first of the lists that it shares
+            apart &= (F.col("x.cls") < F.col("y.cls")) & _differ(percent) & F.col("x.key").eqNullSafe(F.array_min(F.array_intersect("x.keys", "y.keys")))
         pairs = x.join(y, apart).select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
         new = links(pairs, classes, full, percent=percent, k=k)
         made.append(new)
@@ -259,7 +263,7 @@ def similar_classes(classes: DataFrame, src: DataFrame, *, width: int, percent:
         member = cut(components(edges))
         if turn < TURNS:
             # lists whose classes are in different components still
-            now = (listed if turn == 0 else rest).select("key", "cls", "n").join(member.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+            now = (listed if turn == 0 else rest).select("key", "cls", "n", "r").join(member.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", "n", "r", F.coalesce("root", "cls").alias("root"))
             split = now.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
             rest = cut(now.join(split, "key"))
             held.append(rest)
