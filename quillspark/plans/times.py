@@ -45,7 +45,6 @@ def _spans(e: DataFrame) -> DataFrame:
 
 @query(f"with {_SPANS} select x.span_id, count(*) as n_overlaps, min(y.span_id) as first_other from s x join s y on x.a < y.z and y.a < x.z and x.span_id <> y.span_id group by x.span_id")
 def overlapping_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of each span those of all users that overlap it: a join by time alone."""
+    """Of each span how many of all users overlap it, and the first of these: by time alone, without a row for each pair."""
     s = _spans(read_table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")).select("span_id", "a", "z")
-    both = timejoin.overlapping(s, s, start="a", end="z").where("span_id <> right_span_id")
-    return both.groupBy("span_id").agg(F.count("*").alias("n_overlaps"), F.min("right_span_id").alias("first_other"))
+    return timejoin.overlap_summary(s, start="a", end="z", id_="span_id")

@@ -58,6 +58,30 @@ def test_overlapping(spark):
     assert sorted((r.i, r.right_i) for r in got.collect()) == sorted(want) and got.columns == ["i", "a", "z", "right_i", "right_a", "right_z"]
 
 
+@pytest.mark.parametrize("slice_ends", [10**6, 40, 8])
+def test_overlap_summary(spark, slice_ends):
+    """Counts and smallest others, of one slice and of many: repeated ids and rows, equal starts, spans over all slices, empty ones, nulls."""
+    rng = random.Random(12)
+    spans = [(rng.choice([i, i, 5, 9]), a, a + rng.choice([-2, 0, 1, 20, 300, 4000])) for i, a in enumerate(rng.choice([700, 701, rng.randrange(6000)]) for _ in range(150))]
+    spans += [*spans[:4], (None, 1, 9000), (3, None, 5), (7, 3, None), (400, 20_000, 20_001), (401, 30_000, 30_005), (401, 30_001, 30_002)]
+    got = timejoin.overlap_summary(spark.createDataFrame(spans, "i long, a long, z long"), start="a", end="z", id_="i", slice_ends=slice_ends)
+    want = {}
+    whole = [s for s in spans if None not in s and s[1] < s[2]]
+    for i, a, z in whole:
+        others = [j for j, b, y in whole if j != i and a < y and b < z]
+        if others:
+            n, least = want.get(i, (0, 10**6))
+            want[i] = n + len(others), min(least, *others)
+    assert {r.i: (r.n_overlaps, r.first_other) for r in got.collect()} == want and got.columns == ["i", "n_overlaps", "first_other"]
+
+
+def test_overlaps_of_a_crowd(spark):
+    """30,000 spans that all overlap: 900 million pairs are counted, not made."""
+    crowd = spark.range(30_000).select("id", F.lit(0).cast("long").alias("a"), (F.col("id") + 1).alias("z"))
+    row = timejoin.overlap_summary(crowd, start="a", end="z", id_="id").agg(F.count("*"), F.sum("n_overlaps"), F.sum("first_other")).first()
+    assert tuple(row) == (30_000, 30_000 * 29_999, 1)
+
+
 def test_empty_and_timestamps(spark):
     e = spark.createDataFrame([(1, 10)], "k long, s long").withColumn("ts", F.timestamp_micros(F.col("s") * SECOND))
     none = e.where("false")
@@ -67,3 +91,4 @@ def test_empty_and_timestamps(spark):
     assert timejoin.as_of(later, e, within=1, **args).first().right_s == 10 and timejoin.as_of(e, later, **args).first().right_s is None
     spans = e.withColumn("z", F.timestamp_micros(F.col("s") * SECOND + 2))
     assert timejoin.within(later, spans, at="ts", start="ts", end="z").count() == 1 and timejoin.within(later, spans.where("false"), at="ts", start="ts", end="z").count() == 0
+    assert timejoin.overlap_summary(spans, start="ts", end="z", id_="k").count() == 0 and timejoin.overlap_summary(spans.where("false"), start="ts", end="z", id_="k").count() == 0
