@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from compare import same_rows
 from llm_fixtures import sentence
 
@@ -54,6 +56,26 @@ def test_planted_near_the_threshold(make, odd_rows):
     assert found(make(rows)) == brute(rows)
 
 
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_crowd_below_the_threshold(make, monkeypatch, tile):
+    """A crowd of texts near one another but mostly less than similar, whose lists are compared in full, in one tile and in many; no pair is told twice."""
+    rng = random.Random(10)
+    base = sentence(rng, 120, 99999)
+    rows = [(k, edited(rng, base, rng.choice([0.04, 0.06, 0.08, 0.1]))) for k in range(150)]
+    seen = []
+
+    def counted(spark_links):
+        def links(pairs, *args, **more):
+            seen.append([tuple(r) for r in pairs.select("a", "b").collect()])
+            return spark_links(pairs, *args, **more)
+
+        return links
+
+    monkeypatch.setattr(minhash, "links", counted(minhash.links))
+    assert found(make(rows), tile=tile) == brute(rows)
+    assert len(seen) == 3 and seen[2] and len(seen[2]) == len(set(seen[2]))
+
+
 def test_other_thresholds(make):
     rng = random.Random(9)
     rows = []
