@@ -1,9 +1,13 @@
 """Hand-written cases of the operators."""
+import random
 import uuid
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import ids, text
@@ -213,3 +217,33 @@ def test_modules_beyond_the_default_limit(spark, tmp_path):
     spark.createDataFrame([(1, "PERU", 1)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
     spark.createDataFrame([(f"m{i}", 1) for i in range(150)], "s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     assert QUERIES["nlsql_modules"](spark, str(tmp_path)).count() == 150
+
+
+@pytest.mark.parametrize("tile", [8192, 9])
+def test_children_by_tiles(spark, monkeypatch, tile):
+    """The k best children by products against all pairs scored by Spark: copies, ties, opposite and orthogonal vectors, odd ones; rows in proportion to hits."""
+    rng = random.Random(3)
+    vec = lambda: [float(rng.choice([-1, 0, 0, 1, rng.gauss(0, 1)])) for _ in range(4)]
+    copies = vec()
+    rows = [(rng.choice(["a", "b"]), i, rng.choice([vec(), vec(), copies, [0.0] * 4, [1.0, 0.0, 0.0, 0.0], [0.0, -1.0, 0.0, 0.0]])) for i in range(120)]
+    rows += [("a", 200, None), ("a", 201, [1.0]), ("b", 202, []), ("b", 203, [float("nan")] * 4), ("a", 5, copies), ("a", None, copies), ("none", 300, copies)]
+    asked = [(i, vec()) for i in range(30)] + [(50, [0.0] * 4), (51, [-x for x in copies]), (52, [1.0, 0.0, 0.0, 0.0]), (53, None)]
+    children = spark.createDataFrame(rows, "parent_id string, point_id long, vec array<float>")
+    queries = spark.createDataFrame(asked, "query_id long, query_vec array<double>")
+    monkeypatch.setattr(retrieval, "TILE_CHILDREN", tile)
+    monkeypatch.setattr(retrieval, "TILE_ASKED", tile)
+    hits = queries.join(spark.createDataFrame([("a",), ("b",)], "parent_id string"), F.lit(True))
+    got = retrieval.children_of(hits, children, 3, query_vec="query_vec")
+    scored = hits.join(children, "parent_id").withColumn("child_score", V.clamp01(V.cosine(V.doubles(F.col("vec")), F.col("query_vec"))))
+    w = Window.partitionBy("query_id", "parent_id").orderBy(F.desc("child_score"), "point_id")
+    want = scored.withColumn("child_rank", F.row_number().over(w)).where("child_rank <= 3")
+    cols = ["query_id", "parent_id", "point_id", "child_score", "child_rank"]
+    assert sorted(map(str, got.select(*cols).collect())) == sorted(map(str, want.select(*cols).collect()))
+
+
+def test_tile_keeps_few_of_a_crowd():
+    """Of 20,000 equal vectors and as many near ones a tile gives k pairs for each query."""
+    many = np.random.default_rng(1).normal(size=(5, 8))
+    points = pa.array([*([many[0].tolist()] * 20_000), *np.random.default_rng(2).normal(size=(5000, 8)).tolist()], pa.list_(pa.float64()))
+    i, j = retrieval._best_of_tile(points, pa.array(many.tolist(), pa.list_(pa.float64())), 4)
+    assert len(i) == 20 and j[i == 0].tolist() == [0, 1, 2, 3]
