@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import decontaminate, lines, mixing, simhash, toxicity
 from quillspark.llm.q_toxicity import held_out
-from quillspark.llm.session import cut, drop_cut
+from quillspark.llm.session import cut, drop_cut, free_shuffles
 
 #: Components and trained models cannot be told in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
@@ -57,6 +57,8 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A row is told by its id and its text: of two texts under one id each is judged by itself.
     """
+    # the many plans of the line dedup are garbage by now
+    free_shuffles(spark)
     held = docs.select(*_COLUMNS, F.xxhash64("text").alias("mark"))
     # ids come first, nulls last
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")
@@ -95,4 +97,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         done = cut(stage(spark, docs, sf_dir))
         drop_cut(docs)
         docs = done
+        # a stage's plans and shuffles are garbage now: the driver's memory need not hold those of all stages
+        free_shuffles(spark)
     return docs

@@ -16,6 +16,8 @@ share of toxic rows (0 if there are none); repeated rows are scored one by one,
 and each labelled copy teaches; texts of any length are taken whole; an empty
 table gives no rows; further columns stay. Only the text enters a score.
 """
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,7 +57,16 @@ def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1,
     empty = np.zeros(0, np.uint32), np.zeros(0, np.float64)
     if not toxic or toxic == len(rows):
         return (40.0 if toxic else -40.0), *empty
-    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    # the state has places for the features that occur, not for all hashes
+    seen = np.zeros(1 << BITS, bool)
+    for _, at in rows:
+        seen[at] = True
+    names = np.flatnonzero(seen).astype(np.uint32)
+    place = np.zeros(1 << BITS, np.uint32)
+    place[names] = np.arange(len(names), dtype=np.uint32)
+    rows = [(y, place[at]) for y, at in rows]
+    del seen, place
+    z, n = np.zeros(len(names), np.float32), np.zeros(len(names), np.float32)
     bias = np.zeros(2)
 
     def weight(zi, ni):
@@ -76,7 +87,7 @@ def train(rows: list[tuple[int, np.ndarray]], *, alpha=ALPHA, beta=BETA, l1=L1,
             n[at] = ni + g * g
             bias += g - (np.sqrt(bias[1] + g * g) - np.sqrt(bias[1])) / alpha * own, g * g
     kept = np.flatnonzero(np.abs(z) > l1)
-    return float(free()), kept.astype(np.uint32), weight(z[kept].astype(np.float64), n[kept].astype(np.float64))
+    return float(free()), names[kept], weight(z[kept].astype(np.float64), n[kept].astype(np.float64))
 
 
 def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, max_rows: int) -> list[tuple[int, np.ndarray]]:
@@ -92,9 +103,15 @@ def sample_features(docs: DataFrame, labels: DataFrame, *, id_col: str, text_col
                 got = _features(Words(buf, offs, table))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x.tobytes() for x in got], pa.binary())], names=["o", "y", "x"])
 
-    rows = [(o, y, bytes(x)) for o, y, x in picked.mapInArrow(trimmed(each), "o long, y int, x binary").toLocalIterator()]
-    rows.sort()
-    return [(y, np.frombuffer(x, np.uint32)) for _, y, x in rows]
+    # one buffer for all features, which goes as a whole: many small ones leave the driver's memory in pieces
+    held, rows = array("I"), []
+    for o, y, x in picked.mapInArrow(trimmed(each), "o long, y int, x binary").toLocalIterator():
+        rows.append((o, y, len(held), len(x) // 4))
+        held.frombytes(x)
+    held = np.frombuffer(held, np.uint32)
+    # rows of one id go by their features, as bytes
+    rows.sort(key=lambda r: (*r[:2], held[r[2] : r[2] + r[3]].tobytes()))
+    return [(y, held[a : a + n]) for _, y, a, n in rows]
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray], *, text_col: str = "text", out_col: str = "toxicity") -> DataFrame:

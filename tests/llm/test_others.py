@@ -379,3 +379,19 @@ def test_toxicity_odd(spark, make, odd_rows):
     none = toxicity.learn(df, labels.limit(0))
     assert max(r.toxicity for r in toxicity.score(df, none).collect()) < 1e-9
     assert toxicity.score(make([]), none).count() == 0
+
+
+def test_training_takes_memory_by_what_occurs():
+    """The learner's state grows with the features that occur, and its weights are those of a state for all hashes."""
+    import tracemalloc
+
+    from quillspark.llm import toxicity
+
+    rng = np.random.default_rng(3)
+    rows = [(int(i % 3 == 0), np.unique(np.append(rng.integers(0, 1 << toxicity.BITS, 20), [7, 99] if i % 3 == 0 else [11])).astype(np.uint32)) for i in range(300)]
+    tracemalloc.start()
+    bias, keys, weights = toxicity.train(rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20 and (np.diff(keys.astype(np.int64)) > 0).all() and {7, 99, 11} <= set(keys.tolist())
+    assert weights[keys == 7][0] > 0 > weights[keys == 11][0] and len(weights) == len(keys) and np.isfinite(bias)
