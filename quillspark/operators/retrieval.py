@@ -75,19 +75,19 @@ def _candidates(hits: DataFrame, children: DataFrame, k: int, *, query_vec: str,
     held = children.groupBy(parent).agg(F.count("*").alias("n")).select(parent, deal("n", TILE_CHILDREN).alias("n_held"))
     tiles = asked.join(held, parent)
     mine = children.select(parent, F.col(id_).alias("id"), V.doubles(F.col(vec)).alias("v")).join(tiles, parent)
-    left = mine.select(parent, "id", "v", F.pmod(F.xxhash64("id"), "n_held").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("r"))
+    left = mine.select(F.col(parent).alias("held"), "id", "v", F.pmod(F.xxhash64("id"), "n_held").cast("int").alias("p"), F.explode(F.sequence(F.lit(0), F.col("n_asked") - 1)).alias("r"))
     theirs = hits.select(parent, F.col(query).alias("q"), V.doubles(F.col(query_vec)).alias("v")).join(tiles, parent)
-    right = theirs.select(parent, "q", "v", F.explode(F.sequence(F.lit(0), F.col("n_held") - 1)).alias("p"), F.pmod(F.xxhash64("q"), "n_asked").cast("int").alias("r"))
+    right = theirs.select(F.col(parent).alias("hit"), "q", "v", F.explode(F.sequence(F.lit(0), F.col("n_held") - 1)).alias("p"), F.pmod(F.xxhash64("q"), "n_asked").cast("int").alias("r"))
     out = T.StructType([T.StructField(parent, children.schema[parent].dataType), T.StructField(query, hits.schema[query].dataType), T.StructField(id_, children.schema[id_].dataType)])
 
     def tile(points: pa.Table, queries: pa.Table) -> pa.Table:
         points = points.take(pc.sort_indices(points, [("id", "ascending")], null_placement="at_start"))
         i, j = _best_of_tile(points.column("v").combine_chunks(), queries.column("v").combine_chunks(), k)
         at, of = pa.array(j), pa.array(i)
-        return pa.table([points.column(parent).take(at), queries.column("q").take(of), points.column("id").take(at)], out.names)
+        return pa.table([points.column("held").take(at), queries.column("q").take(of), points.column("id").take(at)], out.names)
 
-    keys = [parent, "p", "r"]
-    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, out).distinct()
+    # parents may come from children: names of their own keep the sides apart
+    pairs = left.groupBy("held", "p", "r").cogroup(right.groupBy("hit", "p", "r")).applyInArrow(tile, out).distinct()
     found = pairs.toDF("_p", "_q", "_i").join(hits.withColumnsRenamed({parent: "_hp", query: "_hq"}), (F.col("_p") == F.col("_hp")) & F.col("_q").eqNullSafe(F.col("_hq"))).drop("_hp", "_hq")
     both = found.join(children, (F.col("_p") == F.col(parent)) & F.col("_i").eqNullSafe(F.col(id_)))
     return both.drop("_p", "_i").withColumnRenamed("_q", query)
