@@ -43,7 +43,7 @@ whatever their names.
 """
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
@@ -142,8 +142,11 @@ def similar(a: str, b: str, least: float = LEAST) -> Column:
     word = "if(x <=> y, 0, greatest(coalesce(char_length(x), 0), coalesce(char_length(y), 0)) + if(x is null or y is null, 1, 0))"
     placed = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> {word}), 0, (n, k) -> n + k) <= {most}"
     # narrow bands tell near forms at a fraction of the full band's cost
-    bands = [f"least({most}, 16)", f"least({most}, 48 + cast({long} div 50 as int))", most]
-    return F.expr(f"abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or {' or '.join(f'levenshtein({a}, {b}, {band}) >= 0' for band in bands)})")
+    middle = f"48 + cast({long} div 50 as int)"
+    near = lambda band: f"levenshtein({a}, {b}, {band}) >= 0"
+    # the full band follows only where it is wider than the one before
+    wide = f"{near(f'least({most}, {middle})')} or ({most} > {middle} and {near(most)})"
+    return F.expr(f"abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or {near(f'least({most}, 16)')} or ({most} > 16 and ({wide})))")
 
 
 def _join_few(big: DataFrame, small: DataFrame, places: str, how: str) -> DataFrame:
@@ -165,13 +168,47 @@ def _texts(docs: DataFrame, forms: DataFrame, shared: DataFrame, *, id_col: str,
     return out
 
 
+def _sizes_near(a: str, b: str, least: float) -> Column:
+    """Whether lengths of two forms leave room for an edit similarity of `least`; lossless, as each character more is an edit."""
+    return F.expr(f"abs({a} - {b}) <= cast(floor((1 - {least}) * greatest({a}, {b}) + 1e-9) as int)")
+
+
+def mixed_buckets(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, form, size, comp, main (the bucket's largest component) of members (key, form, size) of buckets with several components."""
+    placed = members.join(roots.select(F.col("node").alias("form"), "root"), "form", "left").select("key", "form", "size", F.coalesce("root", "form").alias("comp"))
+    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1")
+    return placed.join(sizes.select("key", "main"), "key")
+
+
+def beside(mixed: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b: each member of a mixed bucket with those before it by length: the nearest, and the nearest of the largest component or (for its members) outside of it.
+
+    Two pairs for each member at most, whatever the bucket's size.
+    """
+    w = Window.partitionBy("key").orderBy("size", "form").rowsBetween(Window.unboundedPreceding, -1)
+    me = F.struct("form", "size", "comp")
+    inner, outer = (F.last(F.when(c, me), ignorenulls=True).over(w) for c in (F.col("comp") == F.col("main"), F.col("comp") != F.col("main")))
+    near = mixed.select("form", "size", "comp", "main", inner.alias("inner"), outer.alias("outer"))
+    ends = F.when(F.col("comp") == F.col("main"), F.array("outer")).otherwise(F.array("inner", "outer"))
+    pairs = near.select("form", "size", "comp", F.explode(ends).alias("x")).where("x is not null and comp <> x.comp")
+    return pairs.where(_sizes_near("size", "x.size", least)).select(F.col("x.form").alias("a"), F.col("form").alias("b"))
+
+
+def apart(mixed: DataFrame, least: float = LEAST) -> DataFrame:
+    """a, b: all members of mixed buckets that are in different components and near enough in length, each pair once."""
+    out = mixed.where("comp <> main").select("key", F.col("form").alias("o"), F.col("comp").alias("oc"), F.col("size").alias("os"))
+    once = (F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("form")))
+    return out.join(mixed, "key").where(once & _sizes_near("os", "size", least)).select(F.col("o").alias("a"), F.col("form").alias("b"))
+
+
 def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:
     """(node, root) of forms (k1) that links join, as written tables. forms: k1, at, n, keys.
 
     First each bucket's members are compared with its pivot alone, and the links
-    found make components. Then only members of different components are
-    compared: in each bucket those outside of its largest component, with all
-    others but the pivot.
+    found make components. In buckets of several components members are then
+    compared with those next to them by length (`beside`). Only what is in
+    different components even then, and near enough in length, is compared in all
+    pairs (`apart`).
     """
     parts = parts_for(docs, 8 << 20)
     shared = cut(buckets(forms, parts))
@@ -179,30 +216,31 @@ def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col
     texts = _texts(docs, forms, shared, id_col=id_col, text_col=text_col)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # edit distances are dealt by b: a form is in few buckets, while one pivot may be that of many rows; the count keeps small rows from meeting in few tasks
         side = lambda k, x: texts.select(F.col("k").alias(k), F.col("form").alias(x))
-        return cut(both.join(side("a", "x"), "a").join(side("b", "y"), "b").where(similar("x", "y", least)).select("a", "b"))
+        both = pairs.where("a <> b").distinct().join(side("a", "x"), "a").repartition(parts, "b").join(side("b", "y"), "b")
+        return cut(both.where(similar("x", "y", least)).select("a", "b"))
 
     found = verified(shared.select(F.col("pivot").alias("a"), F.col("form").alias("b")))
     member = cut(components(found))
-    placed = shared.join(member.select(F.col("node").alias("form"), "root"), "form", "left").select("key", "form", "pivot", F.coalesce("root", "form").alias("comp"))
-    sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    # the pivot was compared with all of its bucket
-    mixed = cut(placed.where("form <> pivot").join(sizes.select("key", "main"), "key"))
-    out = mixed.where("comp <> main").select("key", F.col("form").alias("o"), F.col("comp").alias("oc"))
-    both = out.join(mixed, "key").where((F.col("comp") != F.col("oc")) & ((F.col("comp") == F.col("main")) | (F.col("o") < F.col("form"))))
-    more = verified(both.select(F.col("o").alias("a"), F.col("form").alias("b")))
-    # links of roots join whole components
-    root = member.select(F.col("node").alias("n"), "root")
-    ends = more.join(root.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(root.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    joined = components(ends)
-    upper = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-    all_ = member.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    fresh = joined.join(member.select("node"), "node", "left_anti").select("node", "root")
-    done = cut(all_.union(fresh))
-    for t in (shared, texts, found, member, mixed, more):
-        drop_cut(t)
-    return done
+    # the pivot was compared with all of its bucket; a bucket of two is done
+    size = texts.select(F.col("k").alias("form"), F.char_length("form").alias("size"))
+    root = member.select(F.col("node").alias("form"), "root")
+    others = shared.where("form <> pivot").join(root, "form", "left").withColumn("comp", F.coalesce("root", "form"))
+    open_ = others.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    members = cut(others.select("key", "form").join(open_, "key").join(size, "form").select("key", "form", "size"))
+    done = [shared, texts, found, members]
+    for pairs in (beside, apart):
+        mixed = cut(mixed_buckets(members, member))
+        more = verified(pairs(mixed, least))
+        done += [mixed, more, member]
+        if not more.isEmpty():
+            # a component's nodes and its root stand for all of its links
+            member = cut(components(more.union(member.select("node", "root"))))
+    for t in done:
+        if t is not member:
+            drop_cut(t)
+    return member
 
 
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST) -> DataFrame:

@@ -192,3 +192,28 @@ def test_text_ids_and_empty(spark, make):
     docs = spark.createDataFrame([("b", "one two three four"), ("a", "one two three four\nfive")], "doc_id string, text string")
     assert {r.doc_id: r.text for r in dedup_lines(docs).collect()} == {"a": "one two three four\nfive", "b": ""}
     assert dedup_lines(make([])).count() == 0
+
+
+def test_crowd_of_many_lengths_makes_few_pairs(spark):
+    """Members of one bucket of too different lengths make no pairs, and a chain of near lengths two for each member at most, not all."""
+    n = 300
+    far = spark.createDataFrame([(1, i, 1000 + 300 * i, i if i % 2 else 0, 0) for i in range(n)], "key long, form long, size int, comp long, main long")
+    assert lines.apart(far).count() < n * n / 8  # 22,500 outsiders and members of the largest component
+    near = spark.createDataFrame([(1, i, 1000 + i, i if i % 2 else 0, 0) for i in range(n)], "key long, form long, size int, comp long, main long")
+    met = {(r.a, r.b) for r in lines.beside(near).collect()}
+    assert len(met) <= 2 * n and {(i - 1, i) for i in range(1, n)} <= met
+
+
+def test_pairs_compared_in_a_crowd(spark, monkeypatch):
+    """A line whose ends move on a word at a time: each is near the next ones only, and all are one component."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    core = " ".join(words[:24])
+    rows = [(i, core + " " + " ".join(words[24 : 24 + i])) for i in range(1, 120)]
+    made = []
+    for name in ("beside", "apart"):
+        monkeypatch.setattr(lines, name, lambda mixed, least, real=getattr(lines, name): made.append(real(mixed, least)) or made[-1])
+    monkeypatch.setattr(lines, "drop_cut", lambda t: None)
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.text for r in got} == {d[1]: t for d, t in brute(rows).items()}
+    assert sum(p.distinct().count() for p in made) < len(rows) * 8
