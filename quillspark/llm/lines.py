@@ -56,6 +56,8 @@ PARTS, LONG, SHORT = 12, 16, 20
 CHARS, SHARE = 14, 30
 #: Bits of a feature's hash: sums of 2 ** 27 of them fit into a long, more than a string of 2 GB has.
 HASH_BITS = 36
+#: Characters of the pieces whose distances bound that of two forms.
+PIECE = 64
 #: Line places that a broadcast may have.
 FEW = 1_000_000
 
@@ -135,18 +137,38 @@ def buckets(forms: DataFrame, parts: int) -> DataFrame:
 
 
 def similar(a: str, b: str, least: float = LEAST) -> Column:
-    """Whether the edit similarity 1 - distance / longer length of two columns of normal forms is at least `least`."""
+    """Whether the edit similarity 1 - distance / longer length of two columns of normal forms is at least `least`.
+
+    Spark's levenshtein walks along the whole of one form for each character of
+    the other, however narrow its band is. So it gets what is left without the
+    words that both forms begin and end with (each word with the space after it;
+    the distance is the same), and only what two bounds leave open: the distances
+    of pieces cut at equal places add up to no less than that of the whole, and
+    the first halves of two texts are apart by no more than the whole and the
+    difference in length.
+    """
     long = f"greatest(char_length({a}), char_length({b}))"
     most = f"cast(floor((1 - {least}) * {long} + 1e-9) as int)"
     # replacing words place by place is one way to edit, so it bounds the distance from above
     word = "if(x <=> y, 0, greatest(coalesce(char_length(x), 0), coalesce(char_length(y), 0)) + if(x is null or y is null, 1, 0))"
     placed = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> {word}), 0, (n, k) -> n + k) <= {most}"
-    # narrow bands tell near forms at a fraction of the full band's cost
-    middle = f"48 + cast({long} div 50 as int)"
-    near = lambda band: f"levenshtein({a}, {b}, {band}) >= 0"
-    # the full band follows only where it is wider than the one before
-    wide = f"{near(f'least({most}, {middle})')} or ({most} > {middle} and {near(most)})"
-    return F.expr(f"abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or {near(f'least({most}, 16)')} or ({most} > 16 and ({wide})))")
+    # an array of one struct and a lambda name a value that is computed once
+    same = lambda x, y: f"array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) - 1"
+    words = f"array(struct(split({a}, ' ') as x, split({b}, ' ') as y, {most} as k))"
+    fewer = "least(size(w.x), size(w.y))"
+    ends = f"transform({words}, w -> struct(w.x as x, w.y as y, w.k as k, cast({same('w.x', 'w.y')} as int) as i, cast(least({same('reverse(w.x)', 'reverse(w.y)')}, {fewer} - ({same('w.x', 'w.y')})) as int) as j))"
+    left = lambda x: f"array_join(transform(slice({x}, v.i + 1, size({x}) - v.i - v.j), p -> concat(p, ' ')), '')"
+    cores = f"transform({ends}, v -> struct({left('v.x')} as x, {left('v.y')} as y, v.k as k))"
+    more, fewer = "greatest(char_length(c.x), char_length(c.y))", "least(char_length(c.x), char_length(c.y))"
+    piece = lambda x: f"substring({x}, i * {PIECE} + 1, {PIECE})"
+    pieces = f"aggregate(sequence(0, {more} div {PIECE}), 0, (n, i) -> n + levenshtein({piece('c.x')}, {piece('c.y')})) <= c.k"
+    half = f"cast({fewer} div 2 as int)"
+    reach = f"c.k + {more} - {fewer}"
+    halves = f"({half} <= {reach} or levenshtein(left(c.x, {half}), left(c.y, {half}), {reach}) >= 0)"
+    near = lambda band: f"levenshtein(c.x, c.y, {band}) >= 0"
+    full = f"({near('least(c.k, 16)')} or (c.k > 16 and {near('c.k')}))"
+    core = f"{more} <= c.k or ({more} > {2 * PIECE} and {pieces}) or ({halves} and {full})"
+    return F.expr(f"{a} <=> {b} or (abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or exists({cores}, c -> {core})))")
 
 
 def _join_few(big: DataFrame, small: DataFrame, places: str, how: str) -> DataFrame:
@@ -250,6 +272,9 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("id", "th", "line")
     forms = cut(occ.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.count("*").alias("n"), F.first("keys").alias("keys")))
     free_shuffles(docs.sparkSession)
+    # the forms have the blocks' keys now: places alone stay beside them, so keys lie on disk once while buckets are made
+    keyed, occ = occ, cut(occ.select("k1", "k2", "id", "th", "line"))
+    drop_cut(keyed)
     member = links(docs, forms, id_col=id_col, text_col=text_col, least=least)
     linked = forms.join(member.select(F.col("node").alias("k1"), "root"), "k1", "left").where("n > 1 or root is not null")
     linked = linked.select("k1", "k2", "at", F.coalesce("root", "k1").alias("r1"), F.when(F.col("root").isNull(), F.col("k2")).otherwise(0).alias("r2"))

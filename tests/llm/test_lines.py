@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import combinations
 
 import pytest
@@ -217,3 +218,55 @@ def test_pairs_compared_in_a_crowd(spark, monkeypatch):
     got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.text for r in got} == {d[1]: t for d, t in brute(rows).items()}
     assert sum(p.distinct().count() for p in made) < len(rows) * 8
+
+
+def test_similar_is_the_edit_distance(spark):
+    """Equal beginnings and ends, pieces and halves leave the verdict as the distance has it, on both sides of the limit."""
+    rng = random.Random(6)
+    words = ["a", "bc", "des", "ünd", "house", "running", "ab", "bca"]
+    rows = []
+    for n in range(700):
+        a = [rng.choice(words) for _ in range(rng.choice((1, 2, 5, 12, 30, 60)))]
+        b = list(a)
+        for _ in range(rng.randrange(0, 1 + len(a) // 2)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(([], ["house"], ["a", "bc"], [rng.choice(words)]))
+        rows.append((" ".join(a), " ".join(b) or "x") if n % 9 else (" ".join(a), " ".join(rng.sample(a, len(a)))))
+    pairs = spark.createDataFrame(rows, "x string, y string").cache()
+    got = [bool(r[0]) for r in pairs.select(lines.similar("x", "y")).collect()]
+    assert got == [alike(a, b) for a, b in rows] and 100 < sum(got) < 600
+
+
+def test_similar_compares_what_differs(spark):
+    """Of a pair of long forms that differ at one place, with words put in there, only that place is compared."""
+    rng = random.Random(3)
+    w = [f"w{rng.randrange(9999)}" for _ in range(60_000)]
+    x, y = " ".join(w), " ".join([*w[:30_000], "put", "in", "here", *w[30_000:]])
+    at = time.monotonic()
+    assert spark.createDataFrame([(x, y)], "x string, y string").select(lines.similar("x", "y")).first()[0]
+    assert time.monotonic() - at < 60
+
+
+def test_keys_of_blocks_lie_on_disk_once(spark, sf, monkeypatch):
+    """While buckets are made, no other written table than that of the forms holds the keys of blocks."""
+    there, seen = {}, []
+    real_cut, real_drop, real_buckets = lines.cut, lines.drop_cut, lines.buckets
+
+    def cut(df, parts=None):
+        out = real_cut(df, parts)
+        there[out._cut_path] = out.columns
+        return out
+
+    def drop(df):
+        there.pop(getattr(df, "_cut_path", None), None)
+        real_drop(df)
+
+    def buckets(forms, parts):
+        seen.append(sum("keys" in c for c in there.values()))
+        return real_buckets(forms, parts)
+
+    monkeypatch.setattr(lines, "cut", cut)
+    monkeypatch.setattr(lines, "drop_cut", drop)
+    monkeypatch.setattr(lines, "buckets", buckets)
+    lines.dedup_lines(spark.read.parquet(f"{sf}/documents.parquet")).count()
+    assert seen == [1]
