@@ -136,7 +136,7 @@ def buckets(forms: DataFrame, parts: int) -> DataFrame:
     return dealt.select("key", "form").join(shared.select("key", "pivot").hint("shuffle_hash"), "key")
 
 
-def similar(a: str, b: str, least: float = LEAST) -> Column:
+def similar(a: str, b: str, least: float = LEAST, likely: bool = True) -> Column:
     """Whether the edit similarity 1 - distance / longer length of two columns of normal forms is at least `least`.
 
     Spark's levenshtein walks along the whole of one form for each character of
@@ -145,13 +145,17 @@ def similar(a: str, b: str, least: float = LEAST) -> Column:
     the distance is the same), and only what two bounds leave open: the distances
     of pieces cut at equal places add up to no less than that of the whole, and
     the first halves of two texts are apart by no more than the whole and the
-    difference in length.
+    difference in length. That pays where most pairs are similar; with likely off
+    the distance of the whole forms is computed at once, with the same verdict.
     """
     long = f"greatest(char_length({a}), char_length({b}))"
     most = f"cast(floor((1 - {least}) * {long} + 1e-9) as int)"
     # replacing words place by place is one way to edit, so it bounds the distance from above
     word = "if(x <=> y, 0, greatest(coalesce(char_length(x), 0), coalesce(char_length(y), 0)) + if(x is null or y is null, 1, 0))"
     placed = f"aggregate(zip_with(split({a}, ' '), split({b}, ' '), (x, y) -> {word}), 0, (n, k) -> n + k) <= {most}"
+    sized = f"abs(char_length({a}) - char_length({b})) <= {most}"
+    if not likely:
+        return F.expr(f"{sized} and ({placed} or levenshtein({a}, {b}, least({most}, 16)) >= 0 or ({most} > 16 and levenshtein({a}, {b}, {most}) >= 0))")
     # an array of one struct and a lambda name a value that is computed once
     same = lambda x, y: f"array_position(zip_with({x}, {y}, (p, q) -> p <=> q), false) - 1"
     words = f"array(struct(split({a}, ' ') as x, split({b}, ' ') as y, {most} as k))"
@@ -168,7 +172,7 @@ def similar(a: str, b: str, least: float = LEAST) -> Column:
     near = lambda band: f"levenshtein(c.x, c.y, {band}) >= 0"
     full = f"({near('least(c.k, 16)')} or (c.k > 16 and {near('c.k')}))"
     core = f"{more} <= c.k or ({more} > {2 * PIECE} and {pieces}) or ({halves} and {full})"
-    return F.expr(f"{a} <=> {b} or (abs(char_length({a}) - char_length({b})) <= {most} and ({placed} or exists({cores}, c -> {core})))")
+    return F.expr(f"{a} <=> {b} or ({sized} and ({placed} or exists({cores}, c -> {core})))")
 
 
 def _join_few(big: DataFrame, small: DataFrame, places: str, how: str) -> DataFrame:
@@ -237,11 +241,11 @@ def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col
     free_shuffles(docs.sparkSession)
     texts = _texts(docs, forms, shared, id_col=id_col, text_col=text_col)
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, likely: bool = True) -> DataFrame:
         # edit distances are dealt by b: a form is in few buckets, while one pivot may be that of many rows; the count keeps small rows from meeting in few tasks
         side = lambda k, x: texts.select(F.col("k").alias(k), F.col("form").alias(x))
         both = pairs.where("a <> b").distinct().join(side("a", "x"), "a").repartition(parts, "b").join(side("b", "y"), "b")
-        return cut(both.where(similar("x", "y", least)).select("a", "b"))
+        return cut(both.where(similar("x", "y", least, likely)).select("a", "b"))
 
     found = verified(shared.select(F.col("pivot").alias("a"), F.col("form").alias("b")))
     member = cut(components(found))
@@ -254,7 +258,7 @@ def links(docs: DataFrame, forms: DataFrame, *, id_col: str = "doc_id", text_col
     done = [shared, texts, found, members]
     for pairs in (beside, apart):
         mixed = cut(mixed_buckets(members, member))
-        more = verified(pairs(mixed, least))
+        more = verified(pairs(mixed, least), likely=False)
         done += [mixed, more, member]
         if not more.isEmpty():
             # a component's nodes and its root stand for all of its links

@@ -233,8 +233,10 @@ def test_similar_is_the_edit_distance(spark):
             b[at : at + rng.randrange(2)] = rng.choice(([], ["house"], ["a", "bc"], [rng.choice(words)]))
         rows.append((" ".join(a), " ".join(b) or "x") if n % 9 else (" ".join(a), " ".join(rng.sample(a, len(a)))))
     pairs = spark.createDataFrame(rows, "x string, y string").cache()
-    got = [bool(r[0]) for r in pairs.select(lines.similar("x", "y")).collect()]
-    assert got == [alike(a, b) for a, b in rows] and 100 < sum(got) < 600
+    want = [alike(a, b) for a, b in rows]
+    for likely in (True, False):
+        assert [bool(r[0]) for r in pairs.select(lines.similar("x", "y", likely=likely)).collect()] == want
+    assert 100 < sum(want) < 600
 
 
 def test_similar_compares_what_differs(spark):
